@@ -28,7 +28,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
