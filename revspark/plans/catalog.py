@@ -6,7 +6,7 @@ import importlib
 from ..sources.fixtures import duckdb_with
 from .registry import ORACLE, QUERIES
 
-MODULES = ["q_scores", "q_anomalies"]
+MODULES = ["q_scores", "q_anomalies", "q_trends", "q_search"]
 
 
 def _load():
