@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .columns import col, largest_number_string, nonempty
 
 # Fixed rule patterns; (?U) gives Unicode \d, \w and \b as in Python 3 regexes.
-R_BRACKET = r"\((\d+)\)"
+R_BRACKET = r"(?U)\((\d+)\)"
 R_RANGE = r"(\d+)~\d+"
 R_NUMBER = r"(?U)\b\d+(\.\d+)?\b"
 R_ALPHA = r"(?iuU)\b(M|L|S|XS|XL|XXL)\b"
