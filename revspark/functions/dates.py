@@ -28,7 +28,7 @@ def relative_date(text, as_of) -> Column:
     return (F.when(t.contains(K.TODAY_WORD), a)
             .when(t.contains(K.YESTERDAY_WORD), F.date_sub(a, 1))
             .when(t.contains(K.DAYS_AGO_SUFFIX), F.date_sub(a, n))
-            .when(t.contains("."), F.try_to_date(F.concat(F.lit("20"), t), F.lit("yyyy.M.d")))
+            .when(t.contains("."), F.try_to_date(F.concat(F.lit("20"), t), "yyyy.M.d"))
             .otherwise(F.lit(None).cast("date")))
 
 

@@ -118,3 +118,8 @@ def lexicon_sentiment_logits(text, positive: Sequence[str] = POSITIVE_WORDS,
     toks = tokens(text)
     return F.array(lexicon_hits(toks, negative).cast("double"), F.lit(0.5),
                    lexicon_hits(toks, positive).cast("double"))
+
+
+def strip_ws(c) -> Column:
+    """Python's ``str.strip()``: every Unicode whitespace char at both ends."""
+    return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+$", "")

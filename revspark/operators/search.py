@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as K
 from ..functions.columns import ymd
-from ..functions.text import WS
+from ..functions.text import strip_ws
 
 
 def _icontains(c: str, text: str) -> Column:
@@ -54,11 +54,6 @@ def price_number(c: str = "price") -> Column:
     return F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("bigint")
 
 
-def strip_ws(c: Column) -> Column:
-    """Python's ``str.strip()``: every Unicode whitespace char at both ends."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
-
-
 def _half_up_avg_x50(sum_col: Column, n_col: Column) -> Column:
     """AVG of an integer column as a 4-scale decimal rounded half up (the SQL
     database's AVG), times 50: an exact decimal."""
