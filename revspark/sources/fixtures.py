@@ -82,6 +82,16 @@ SELECT cast(review_id AS string) AS review_id, cast(product_id AS string) AS pro
        CASE WHEN q % 2 = 0 THEN NULL ELSE '색상 블랙' END AS size_opt3,
        review_date, ord
 FROM {reviews_raw}"""),
+    # Stored recent-list entries as text: valid JSON, Python-style single quotes
+    # (kept as is: it starts with '{'), truncated JSON, and single-quoted text
+    # behind a leading space (repaired by the reader).
+    ("stored_alerts", """
+SELECT event_id, CASE event_id % 4
+         WHEN 0 THEN concat('{{"review_id": "', review_id, '", "category": "', category, '", "sentiment": ', cast(sentiment AS string), '}}')
+         WHEN 1 THEN concat('{{''review_id'': ''', review_id, ''', ''sentiment'': ', cast(sentiment AS string), '}}')
+         WHEN 2 THEN concat('{{"review_id": "', review_id, '", "sentiment": ', cast(sentiment AS string))
+         ELSE concat(' {{''review_id'': ''', review_id, ''', ''category'': ''', category, ''', ''sentiment'': ', cast(sentiment AS string), '}}') END AS stored
+FROM {review_events}"""),
 ]
 
 VIEW_NAMES = [n for n, _ in VIEWS]
