@@ -168,3 +168,22 @@ def q_json_projection(spark, sf):
     ra = fixture(spark, sf).review_analysis
     return json_ready(ra.select("review_id", "sentence", (F.col("rating") * 1.005).cast("decimal(12,3)").alias("rating"),
                                 "review_date"))
+
+
+@register("pipeline_day")
+def q_pipeline_day(spark, sf):
+    """B13 end to end at AS_OF: the crawl's landing rows for the day are written
+    as the landing folder, stored reviews are those before SPLIT_DAY; the result is
+    the cumulative analysis table after labelling (rows-only check)."""
+    from ..functions import text as T
+    from ..session import scratch_path
+    from .pipeline import PipelineConfig, run_pipeline
+    fx = fixture(spark, sf)
+    base = scratch_path(spark, "pipeline")
+    cfg = PipelineConfig(landing_path=f"{base}/landing", reviews_path=f"{base}/reviews",
+                         daily_path=f"{base}/daily", analysis_path=f"{base}/analysis", keep=T.LATIN_TEST_CLASS)
+    day = AS_OF.replace("-", "")
+    I.landing_rows(fx.landing, AS_OF, AS_OF).write.parquet(f"{cfg.landing_path}/dt={day}")
+    _old(fx).write.parquet(cfg.reviews_path)
+    run_pipeline(spark, cfg, AS_OF)
+    return spark.read.parquet(cfg.analysis_path)
