@@ -96,6 +96,13 @@ FROM {review_events}"""),
 
 VIEW_NAMES = [n for n, _ in VIEWS]
 
+# Views that stand for stored tables of the original system. They are written
+# once per session as Parquet below the checkpoint folder, range-sorted on their
+# date column so date filters skip row groups; intermediates stay logical.
+STORED = {"products": None, "reviews_raw": "review_date", "reviews": "review_date",
+          "review_analysis": "review_date", "review_events": "event_time",
+          "labelled_rows": "review_date", "landing": "review_date", "stored_alerts": None}
+
 
 def duckdb_with(sql_body: str, views: list[str] | None = None) -> str:
     """Prefix an oracle query with the fixture views as CTEs."""
@@ -113,6 +120,8 @@ class Fixture:
     spark: SparkSession
     sf_dir: str
     frames: dict = field(default_factory=dict)
+    materialize: bool = True
+    root: str | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self.frames:
@@ -122,11 +131,22 @@ class Fixture:
                 text = dict(VIEWS)[name]
                 deps = {n: self.table(n) for n in BASE_TABLES + tuple(VIEW_NAMES)
                         if "{" + n + "}" in text}
-                self.frames[name] = self.spark.sql(text, **deps)
+                df = self.spark.sql(text, **deps)
+                if self.materialize and name in STORED:
+                    df = self._store(name, df, STORED[name])
+                self.frames[name] = df
         return self.frames[name]
 
+    def _store(self, name: str, df: DataFrame, sort_key: str | None) -> DataFrame:
+        from ..session import scratch_path
+        if self.root is None:
+            self.root = scratch_path(self.spark, "fixtures-" + self.sf_dir.rsplit("/", 1)[-1])
+        path = f"{self.root}/{name}"
+        (df.orderBy(sort_key) if sort_key else df).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("spark", "sf_dir", "frames"):
+        if name.startswith("_") or name in ("spark", "sf_dir", "frames", "materialize", "root"):
             raise AttributeError(name)
         return self.table(name)
 

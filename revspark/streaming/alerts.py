@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
+from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType, TimestampType)
 
 from ..functions import constants as K
@@ -38,7 +38,8 @@ EVENT_SCHEMA = StructType([
 ])
 
 SENT_SCHEMA = StructType(EVENT_SCHEMA.fields + [StructField("type", StringType())])
-SENT_STATE = StructType([StructField("last_sent_us", LongType())])
+# Per hash bucket of alert keys: the keys sent within the expiry and their last send.
+SENT_STATE = StructType([StructField("keys", ArrayType(StringType())), StructField("last_us", ArrayType(LongType()))])
 
 
 def anomaly_stream(spark: SparkSession, path: str, schema: StructType = EVENT_SCHEMA,
@@ -56,38 +57,62 @@ def seen_once(alerts: DataFrame) -> DataFrame:
     return alerts.dropDuplicatesWithinWatermark(["review_id"])
 
 
+def _key_strings(pdf: pd.DataFrame) -> pd.Series:
+    return (pdf["review_id"].astype(str) + "\x1f" + pdf["product_id"].astype(str) + "\x1f"
+            + pdf["category"].astype(str))
+
+
 def _send_once(expiry_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    cols = [f.name for f in SENT_SCHEMA.fields]
+
+    def fn(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = dict(zip(*state.get)) if state.exists else {}
+        wm_us = max(state.getCurrentWatermarkMs(), 0) * 1000
+        frames = [p for p in pdfs if len(p)]
+        if frames:
+            pdf = pd.concat(frames, ignore_index=True)
+            pdf["_k"] = _key_strings(pdf)
+            pdf = pdf.sort_values(["_k", "event_time", "event_id"], kind="stable").reset_index(drop=True)
+            t = pdf["event_time"].astype("datetime64[us]").astype(np.int64).to_numpy()
+            k = pdf["_k"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            ends = np.r_[starts[1:], len(k)]
+            keep = []
+            for lo, hi in zip(starts, ends):          # one pass per key, jumps between sends
+                key, seg = k[lo], t[lo:hi]
+                prev = last.get(key)
+                i = 0 if prev is None else int(np.searchsorted(seg, prev + expiry_us, side="left"))
+                while i < len(seg):
+                    keep.append(lo + i)
+                    prev = int(seg[i])
+                    i = int(np.searchsorted(seg, prev + expiry_us, side="left"))
+                if prev is not None:
+                    last[key] = prev
+            if keep:
+                yield pdf.iloc[keep][cols]
+        # Forget keys whose expiry the watermark has passed: no later event can be
+        # suppressed by them any more. Empty bucket -> drop the state.
+        last = {key: v for key, v in last.items() if v + expiry_us > wm_us}
+        if not last:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["event_time", "event_id"], kind="stable").reset_index(drop=True)
-        t = pdf["event_time"].astype("datetime64[us]").astype(np.int64).to_numpy()
-        last = state.get[0] if state.exists else None
-        keep, i = [], 0
-        if last is not None:
-            i = int(np.searchsorted(t, last + expiry_us, side="left"))
-        while i < len(t):                      # jump from one send to the next
-            keep.append(i)
-            last = int(t[i])
-            i = int(np.searchsorted(t, last + expiry_us, side="left"))
-        state.update((last,))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(last // 1000 + expiry_us // 1000, wm + 1))
-        if keep:
-            yield pdf.iloc[keep][[f.name for f in SENT_SCHEMA.fields]]
+        state.update((list(last.keys()), list(last.values())))
+        state.setTimeoutTimestamp(max(min(last.values()) // 1000 + expiry_us // 1000, wm_us // 1000 + 1))
     return fn
 
 
-def send_once(alerts: DataFrame, expiry_seconds: int = K.ALERT_EXPIRY_SECONDS) -> DataFrame:
+def send_once(alerts: DataFrame, expiry_seconds: int = K.ALERT_EXPIRY_SECONDS, buckets: int = 64) -> DataFrame:
     """Per (review_id, product_id, category) send the first alert, then again
     only once ``expiry_seconds`` have passed since the last send (event time).
-    State is one timestamp per key, removed by timeout after the expiry."""
-    return (alerts.select(*[f.name for f in SENT_SCHEMA.fields])
-            .groupBy(*A.ALERT_KEYS)
+
+    Keys are grouped into ``buckets`` hash buckets so one vectorised pandas call
+    serves many keys (per-key Python calls dominate otherwise). A bucket's state
+    holds only the keys sent within the expiry; the watermark prunes the rest and
+    an event-time timeout clears idle buckets. Size ``buckets`` to a few times the
+    executor cores."""
+    b = F.pmod(F.xxhash64(*A.ALERT_KEYS), F.lit(buckets)).alias("_bucket")
+    return (alerts.select(*[f.name for f in SENT_SCHEMA.fields], b)
+            .groupBy("_bucket")
             .applyInPandasWithState(_send_once(expiry_seconds * 1_000_000), SENT_SCHEMA, SENT_STATE,
                                     "append", GroupStateTimeout.EventTimeTimeout))
 
