@@ -278,3 +278,23 @@ FROM months LEFT JOIN trl ON months.m = trl.m LEFT JOIN cal ON months.m = cal.m
 def q_month_report_lines(spark, sf):
     fx = _fx(spark, sf)
     return A.month_report_lines(fx.review_analysis, fx.products, TEST_CATEGORIES)
+
+
+@register("product_report_facts_day", f"""{ANOM_ROWS},
+ f AS (SELECT review_date AS d, product_id, min(product_name) AS product_name, count(*) AS n_reviews,
+              CAST(count_if(sentiment = 0) AS BIGINT) AS negative, CAST(count_if(sentiment = 1) AS BIGINT) AS neutral,
+              CAST(count_if(sentiment = 2) AS BIGINT) AS positive,
+              round_even(sum(CASE WHEN rating IS NOT NULL AND rating <> 0 THEN rating ELSE 0.0 END) / count(*), 2) AS avg_rating
+       FROM an GROUP BY 1, 2),
+ tx AS (SELECT review_date AS d, product_id, regexp_replace(x, '^{WSC}+|{WSC}+$', '', 'g') AS topic
+        FROM (SELECT review_date, product_id, unnest(string_split(category, ',')) AS x FROM an) u),
+ tc AS (SELECT d, product_id, topic, count(*) AS n FROM tx WHERE topic <> '' GROUP BY 1, 2, 3),
+ tr AS (SELECT *, row_number() OVER (PARTITION BY d, product_id ORDER BY n DESC, topic) AS rk FROM tc),
+ tt AS (SELECT d, product_id, string_agg(topic || '(' || CAST(n AS VARCHAR) || '회)', ', ' ORDER BY rk) AS top_topics
+        FROM tr WHERE rk <= 5 GROUP BY 1, 2)
+SELECT strftime(f.d, '%Y-%m-%d') AS review_date, f.product_id, f.product_name, f.n_reviews, f.negative, f.neutral,
+       f.positive, f.avg_rating, coalesce(tt.top_topics, '') AS top_topics
+FROM f LEFT JOIN tt ON f.d = tt.d AND f.product_id = tt.product_id""")
+def q_product_report_facts_day(spark, sf):
+    fx = _fx(spark, sf)
+    return A.product_report_facts(A.anomaly_reviews(fx.review_analysis, fx.products, fx.reviews), "day")

@@ -187,3 +187,10 @@ def q_pipeline_day(spark, sf):
     _old(fx).write.parquet(cfg.reviews_path)
     run_pipeline(spark, cfg, AS_OF)
     return spark.read.parquet(cfg.analysis_path)
+
+
+@register("page_reviews")
+def q_page_reviews(spark, sf):
+    """B9 over the fetched pages: review blocks with their fields (rows-only)."""
+    from ..sources.pages import page_reviews
+    return page_reviews(fixture(spark, sf).pages)
