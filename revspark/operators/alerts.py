@@ -60,10 +60,12 @@ def alert_records(alerts: DataFrame, products: DataFrame, with_json: bool = Fals
 
 def recent_negatives(rows: DataFrame, order: str, cap: int = K.RECENT_LIST_CAP) -> DataFrame:
     """The bounded recent list: first arrival per (review_id, category) is listed,
-    newest first, at most ``cap`` entries (``pos`` 1 = newest). The global top-k
-    is a TakeOrderedAndProject: each task keeps ``cap`` rows, one task merges."""
-    w = Window.partitionBy("review_id", "category").orderBy(F.col(order).asc())
-    first = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    newest first, at most ``cap`` entries (``pos`` 1 = newest). First arrival is a
+    ``min_by`` aggregate (partial aggregation); the global top-k is a
+    TakeOrderedAndProject: each task keeps ``cap`` rows, one task merges them."""
+    others = [c for c in rows.columns if c not in ("review_id", "category")]
+    first = (rows.groupBy("review_id", "category").agg(F.min_by(F.struct(*others), F.col(order)).alias("_v"))
+             .select("review_id", "category", "_v.*"))
     top = first.orderBy(F.col(order).desc()).limit(cap)
     return top.withColumn("pos", F.row_number().over(Window.orderBy(F.col(order).desc())))
 

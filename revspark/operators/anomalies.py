@@ -163,13 +163,12 @@ def sentiment_share(daily: DataFrame) -> DataFrame:
                     F.when(tot == 0, F.lit(None)).otherwise(F.bround(F.col("n") / tot * 100, 1)).alias("share"))
 
 
-def anomaly_by_product(anomalies: DataFrame, with_reviews: bool = False) -> DataFrame:
-    """Group anomaly rows per day and product: product attributes, total and
-    (optionally) the list of reviews."""
-    aggs = [F.count(F.lit(1)).alias("total_reviews")]
-    if with_reviews:
-        aggs.append(F.collect_list(F.struct("review_id", "sentence", "category", "rating", "sentiment")).alias("reviews"))
-    return (anomalies.groupBy(F.col(DAY), "product_id", "product_name", "brand", "price", "image_url").agg(*aggs)
+def anomaly_by_product(anomalies: DataFrame) -> DataFrame:
+    """Group anomaly rows per day and product: product attributes and the total.
+    The reviews themselves stay as rows (``anomaly_reviews``), never one list per
+    product, so a product with a flood of anomalies is not one giant value."""
+    return (anomalies.groupBy(F.col(DAY), "product_id", "product_name", "brand", "price", "image_url")
+            .agg(F.count(F.lit(1)).alias("total_reviews"))
             .withColumn(DAY, ymd(DAY)))
 
 
@@ -234,13 +233,20 @@ def product_report_facts(anomalies: DataFrame, period: str = "week", top: int =
 
 
 def product_report_lines(anomalies: DataFrame, period: str = "week") -> DataFrame:
-    """One formatted line per anomalous review, numbered within (period, product);
-    the prompt text is ``array_join`` of these at the sink."""
+    """One formatted line per anomalous review of each (period, product) with its
+    sort keys (date desc, review id, sentence). The prompt text is assembled at
+    the sink from a sorted scan; no per-product window or list, so a product with
+    a third of all rows is still split over many tasks by the range sort."""
     a, name = _period(anomalies, period)
-    w = Window.partitionBy("_p", "product_id").orderBy(F.col(DAY).desc(), F.col("review_id"), F.col("sentence"))
     label = code_label("sentiment", K.SENTIMENT_LABELS, K.UNKNOWN_SENTIMENT_LABEL)
     line = F.format_string('- "%s" (평점: %s, 감성: %s)', F.col("sentence"), F.col("rating").cast("string"), label)
-    return a.select(ymd("_p").alias(name), "product_id", F.row_number().over(w).alias("line_no"), line.alias("line"))
+    return a.select(ymd("_p").alias(name), "product_id", ymd(DAY).alias(DAY), "review_id", "sentence",
+                    line.alias("line"))
+
+
+def sorted_report_lines(lines: DataFrame, period_col: str = "week_start") -> DataFrame:
+    """Lines in prompt order: a global range-partitioned sort."""
+    return lines.orderBy(period_col, "product_id", F.col(DAY).desc(), "review_id", "sentence")
 
 
 def month_report_lines(daily: DataFrame, products: DataFrame,

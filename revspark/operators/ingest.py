@@ -1,8 +1,9 @@
 """Ingest: landing rows from the crawl, de-duplication, new-id selection, the
 reviews upsert and its load metrics.
 
-All operators are key-partitioned: de-duplication is ``row_number`` over the key
-(a unique-ish key, so no hot group), new-id selection is a ``left_anti`` join,
+All operators are key-partitioned: de-duplication is a ``min_by``/``max_by``
+aggregate per key (partial aggregation, so a hot key is pre-reduced in every map
+task), new-id selection is a ``left_anti`` join,
 and the upsert is one ``full_outer`` join on review_id. Spark row order is never
 used as an order: every keep-first / keep-last takes an explicit order column.
 """
@@ -12,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import constants as K
 from ..functions.columns import col
@@ -28,9 +28,13 @@ def dedup_any(df: DataFrame, keys: Sequence[str] = ("review_id",)) -> DataFrame:
 
 
 def _keep_one(df: DataFrame, keys: Sequence[str], order: str, last: bool) -> DataFrame:
-    o = F.col(order).desc() if last else F.col(order).asc()
-    w = Window.partitionBy(*keys).orderBy(o)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """One row per key: the one with the largest (``last``) or smallest ``order``.
+    An aggregate, not a window: map-side partial aggregation keeps one candidate
+    per key per task, so a key holding a third of all rows never lands whole in
+    one task."""
+    others = [c for c in df.columns if c not in keys]
+    pick = (F.max_by if last else F.min_by)(F.struct(*others), F.col(order))
+    return df.groupBy(*keys).agg(pick.alias("_v")).select(*keys, "_v.*").select(*df.columns)
 
 
 def dedup_keep_last(df: DataFrame, order: str, keys: Sequence[str] = ("review_id",)) -> DataFrame:

@@ -87,16 +87,16 @@ def size_summary(detail: DataFrame, threshold: float = K.NEGATIVE_RATIO_THRESHOL
 
 
 def size_donut_counts(detail: DataFrame, threshold: float = K.NEGATIVE_RATIO_THRESHOLD) -> DataFrame:
-    """Chart counts: rows per category and per brand among those over the threshold,
-    rows per size among the most negative."""
+    """Chart counts: rows per category and per brand among those over the threshold
+    (one aggregation over (chart, key) pairs), rows per size among the most
+    negative (a second pass: the global maximum must be known first)."""
     neg = detail.where(F.col("negative_ratio") >= threshold)
-    by_cat = neg.groupBy(F.col("category").alias("key")).agg(F.count(F.lit(1)).alias("count"))
-    by_brand = neg.groupBy(F.col("brand").alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    pairs = F.array(F.struct(F.lit("category").alias("chart"), F.col("category").alias("key")),
+                    F.struct(F.lit("brand").alias("chart"), F.col("brand").alias("key")))
+    by_attr = (neg.select(F.inline(pairs)).groupBy("chart", "key").agg(F.count(F.lit(1)).alias("count")))
     by_size = (most_negative_sizes(detail).groupBy(F.col("review_size").alias("key"))
-               .agg(F.count(F.lit(1)).alias("count")))
-    return (by_cat.withColumn("chart", F.lit("category"))
-            .unionByName(by_brand.withColumn("chart", F.lit("brand")))
-            .unionByName(by_size.withColumn("chart", F.lit("size"))))
+               .agg(F.count(F.lit(1)).alias("count")).withColumn("chart", F.lit("size")))
+    return by_attr.unionByName(by_size)
 
 
 def size_satisfaction_topk(stats: DataFrame, k: int = 3) -> DataFrame:

@@ -243,8 +243,7 @@ def q_product_report_facts(spark, sf):
 
 
 @register("product_report_lines", f"""{ANOM_ROWS}
-SELECT strftime({WK}, '%Y-%m-%d') AS week_start, product_id,
-       CAST(row_number() OVER (PARTITION BY {WK}, product_id ORDER BY review_date DESC, review_id, sentence) AS INTEGER) AS line_no,
+SELECT strftime({WK}, '%Y-%m-%d') AS week_start, product_id, {D} AS review_date, review_id, sentence,
        '- "' || sentence || '" (평점: ' || CAST(rating AS VARCHAR) || ', 감성: ' ||
        CASE sentiment WHEN 0 THEN '부정' WHEN 1 THEN '중립' WHEN 2 THEN '긍정' ELSE '알 수 없음' END || ')' AS line
 FROM an""")
