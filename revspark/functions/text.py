@@ -26,20 +26,39 @@ def tokens(text) -> Column:
     return F.filter(F.split(col(text), f"[{WS}]+"), lambda w: w != "")
 
 
+def token_pattern(words: Sequence[str]) -> str | None:
+    """A regex matching any of ``words`` as a whole whitespace-separated token.
+    Entries containing whitespace can never equal a token, so they are left out."""
+    ws = set(" \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | \
+        {chr(c) for c in range(0x2000, 0x200B)}
+    keep = sorted({w for w in words if w and not (set(w) & ws)}, key=lambda w: (-len(w), w))
+    if not keep:
+        return None
+    alts = "|".join(r"\Q" + w + r"\E" for w in keep)
+    return f"(?<=^|[{WS}])(?:{alts})(?=[{WS}]|$)"
+
+
+def _drop_tokens(t: Column, stopwords: Sequence[str]) -> Column:
+    """Remove stopword tokens, collapse whitespace runs to one space, strip: the
+    same as split / filter / join, as three native regex passes (no per-token
+    lambda)."""
+    pat = token_pattern(stopwords)
+    if pat:
+        t = F.regexp_replace(t, pat, "")
+    return F.trim(F.regexp_replace(t, f"[{WS}]+", " "))
+
+
 def clean_text(text, keep: str = HANGUL, stopwords: Sequence[str] = K.DEFAULT_STOPWORDS) -> Column:
     """Drop laugh/cry runs, every char outside ``keep`` and whitespace, stopword
     tokens; collapse whitespace. NULL text becomes the string 'None' first."""
     t = F.coalesce(col(text).cast("string"), F.lit("None"))
     t = F.regexp_replace(t, LAUGH_RUNS, "")
     t = F.regexp_replace(t, f"[^{keep}{WS}]", "")
-    stop = _lit_array(sorted(set(stopwords)))
-    kept = F.filter(tokens(t), lambda w: ~F.array_contains(stop, w))
-    return F.array_join(kept, " ")
+    return _drop_tokens(t, stopwords)
 
 
 def remove_stopwords(text, stopwords: Sequence[str] = K.DEFAULT_STOPWORDS) -> Column:
-    stop = _lit_array(sorted(set(stopwords)))
-    return F.array_join(F.filter(tokens(text), lambda w: ~F.array_contains(stop, w)), " ")
+    return _drop_tokens(col(text), stopwords)
 
 
 SENTENCE_END = r"[.!?。！？]+"
@@ -103,22 +122,24 @@ POSITIVE_WORDS = ("good", "great", "bon", "gut", "bueno", "with", "et", "und", "
 NEGATIVE_WORDS = ("bad", "poor", "mauvais", "schlecht", "malo", "not", "is", "que", "el")
 
 
-def lexicon_hits(toks, words: Sequence[str]) -> Column:
-    lex = _lit_array(list(words))
-    return F.size(F.filter(toks, lambda t: F.array_contains(lex, F.lower(t))))
+def lexicon_hits(text, words: Sequence[str]) -> Column:
+    """Tokens of ``text`` (case-insensitive) that are in ``words``: one native regex
+    scan counting whole-token matches."""
+    pat = token_pattern([w.lower() for w in words])
+    if pat is None:
+        return F.lit(0)
+    return F.size(F.regexp_extract_all(F.lower(col(text)), F.lit(pat), 0))
 
 
 def lexicon_topic_logits(text, lexicon: dict = TOPIC_LEXICON,
                          labels: Sequence[str] = K.CLASSIFIER_TOPICS) -> Column:
-    toks = tokens(text)
-    return F.array(*[(lexicon_hits(toks, lexicon.get(l, ())) - F.lit(0.5)).cast("double") for l in labels])
+    return F.array(*[(lexicon_hits(text, lexicon.get(l, ())) - F.lit(0.5)).cast("double") for l in labels])
 
 
 def lexicon_sentiment_logits(text, positive: Sequence[str] = POSITIVE_WORDS,
                              negative: Sequence[str] = NEGATIVE_WORDS) -> Column:
-    toks = tokens(text)
-    return F.array(lexicon_hits(toks, negative).cast("double"), F.lit(0.5),
-                   lexicon_hits(toks, positive).cast("double"))
+    return F.array(lexicon_hits(text, negative).cast("double"), F.lit(0.5),
+                   lexicon_hits(text, positive).cast("double"))
 
 
 def strip_ws(c) -> Column:

@@ -192,5 +192,6 @@ def q_pipeline_day(spark, sf):
 @register("page_reviews")
 def q_page_reviews(spark, sf):
     """B9 over the fetched pages: review blocks with their fields (rows-only)."""
+    from ..sources.io import balanced
     from ..sources.pages import page_reviews
-    return page_reviews(fixture(spark, sf).pages)
+    return page_reviews(balanced(fixture(spark, sf).pages))

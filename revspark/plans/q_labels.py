@@ -11,6 +11,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import labels as L
 from ..sources import fixture
+from ..sources.io import balanced
 from .params import AS_OF
 from .registry import register
 
@@ -67,8 +68,12 @@ DOC_REVIEWS = f"""
           FROM cl, LATERAL (SELECT unnest(range(0, CAST(ceil(len(w) / {WINDOW}.0) AS BIGINT))) AS i) r)"""
 
 
+def _text_table(spark, sf, name):
+    return balanced(fixture(spark, sf).table(name))
+
+
 def _docs(spark, sf):
-    d = fixture(spark, sf).documents
+    d = _text_table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("review_id"), F.col("source").alias("product_id"),
                     F.col("text").alias("review_text"), (F.col("n_chars") % 5 + 1).cast("double").alias("rating"),
                     F.lit(AS_OF).cast("date").alias("review_date"))
@@ -77,7 +82,7 @@ def _docs(spark, sf):
 @register("clean_text", f"""
 SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents""")
 def q_clean_text(spark, sf):
-    d = fixture(spark, sf).documents
+    d = _text_table(spark, sf, "documents")
     return d.select("doc_id", T.clean_text("text", keep=T.LATIN_TEST_CLASS).alias("cleaned"))
 
 
@@ -85,7 +90,7 @@ def q_clean_text(spark, sf):
 SELECT doc_id, array_to_string(list_filter({toks_sql('text')}, lambda w: NOT list_contains({_list(sorted(STOP_TEST))}, w)), ' ') AS text
 FROM documents""")
 def q_stopword_removal(spark, sf):
-    d = fixture(spark, sf).documents
+    d = _text_table(spark, sf, "documents")
     return d.select("doc_id", T.remove_stopwords("text", STOP_TEST).alias("text"))
 
 
@@ -102,7 +107,7 @@ def q_sentence_explode(spark, sf):
        FROM t, LATERAL (SELECT unnest(range(1, len(arr) + 1)) AS i) r)
 SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, sentence FROM u WHERE sentence <> ''""")
 def q_sentence_split_punct(spark, sf):
-    c = fixture(spark, sf).conversations
+    c = _text_table(spark, sf, "conversations")
     s = c.select("conv_id", "turn", F.posexplode(T.split_sentences_punct("text")).alias("pos", "sentence"))
     return s.select("conv_id", "turn", "pos", T.strip_ws("sentence").alias("sentence")).where(F.col("sentence") != "")
 

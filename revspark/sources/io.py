@@ -134,3 +134,15 @@ def json_ready(df: DataFrame, decimals: int = 2) -> DataFrame:
 
 def to_json_lines(df: DataFrame, col_name: str = "json") -> DataFrame:
     return json_ready(df).select(F.to_json(F.struct(*df.columns)).alias(col_name))
+
+
+# --- parallelism for CPU-heavy row work ----------------------------------------------------
+def balanced(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread rows over the cluster before CPU-heavy per-row work (text regexes,
+    HTML parsing) when the source has fewer splits than the cluster has cores -- a
+    file written as one row group is read by one task. Inputs that are already split
+    (the normal case at scale) are returned unchanged, with no shuffle."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism * factor)
+    return df
