@@ -2,10 +2,10 @@
 (+ load metrics) -> label the day's reviews -> daily and cumulative analysis.
 
 One Spark application, one logical plan per step. Tables live as Parquet below
-caller-given paths. Each step that replaces a table it has just read first
-checkpoints the new version (reliable checkpoint in ``spark.checkpoint.dir``),
-so the overwrite never reads the files it deletes and a lost executor
-recomputes from the checkpoint. Re-running a day is idempotent: the upsert is
+caller-given paths. Each step that replaces a table it has just read first writes
+the new version as a staging table in the shared ``spark.checkpoint.dir``, so the
+overwrite never reads the files it deletes and a lost executor recomputes from
+the staged files. Re-running a day is idempotent: the upsert is
 keyed and the day's analysis partition is overwritten dynamically.
 """
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import labels as L
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from ..sources import io
 
 
@@ -41,10 +41,15 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _replace(df: DataFrame, path: str) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    snap = df.checkpoint(eager=True)
-    snap.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Replace the table at ``path`` with ``df`` (which may read ``path``): the new
+    version is computed once into a staging table in the shared checkpoint folder,
+    then copied over the target, so the overwrite never reads the files it deletes
+    and a lost executor recomputes from the staged files."""
+    spark = df.sparkSession
+    staged = scratch_path(spark, "stage")
+    df.write.parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def load_batch(spark: SparkSession, landing: DataFrame, cfg: PipelineConfig, as_of) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +59,9 @@ def load_batch(spark: SparkSession, landing: DataFrame, cfg: PipelineConfig, as_
     if old is None:
         old = spark.createDataFrame([], batch.withColumn("review_date", F.lit(None).cast("date"))
                                     .select(*I.REVIEW_COLS).schema)
-    metrics = I.upsert_metrics(old, batch).checkpoint(eager=True)
+    # One row, taken before the table it describes is replaced.
+    m = I.upsert_metrics(old, batch)
+    metrics = spark.createDataFrame(m.collect(), m.schema)
     reviews = _replace(I.upsert_reviews(old, batch, as_of), cfg.reviews_path)
     return metrics, reviews
 

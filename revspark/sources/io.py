@@ -2,10 +2,10 @@
 accumulation, per-day analysis partitions, CSV exchange and JSON projection.
 
 Connection details are always caller-supplied options; nothing here names a host.
-Writes that replace data read in the same job first cut the lineage with a
-reliable ``checkpoint()`` (in the shared ``spark.checkpoint.dir``), so the
+Writes that replace data read in the same job first cut the lineage by writing
+the new version as a staging table in the shared ``spark.checkpoint.dir``, so the
 overwrite never reads the files it is deleting, and a lost executor recomputes
-from the checkpoint instead of from the overwritten source.
+from the staged files instead of from the overwritten source.
 """
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, StringType, StructField,
                                StructType)
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 # --- schemas -------------------------------------------------------------------------------
 LANDING_SCHEMA = StructType([StructField(c, StringType()) for c in
@@ -71,7 +71,7 @@ def accumulate(existing: DataFrame | None, new: DataFrame, order: str, key: str
 def save_day(spark: SparkSession, new: DataFrame, path: str, order: str,
              key: str = "review_id", schema: StructType | None = None) -> DataFrame:
     """Accumulate a batch into a day's Parquet folder. Existing rows are read,
-    merged (keep last), checkpointed (lineage cut) and only then is the folder
+    merged (keep last), staged in the checkpoint folder (lineage cut) and only then is the folder
     overwritten. An empty batch still writes a typed empty file."""
     try:
         existing = spark.read.parquet(path)
@@ -80,9 +80,9 @@ def save_day(spark: SparkSession, new: DataFrame, path: str, order: str,
     if schema is not None and new.isEmpty():
         new = spark.createDataFrame([], schema)
     merged = accumulate(existing, new, order, key)
-    checkpoint_dir(spark)
-    merged = merged.checkpoint(eager=True)
-    merged.write.mode("overwrite").parquet(path)
+    staged = scratch_path(spark, "stage")
+    merged.write.parquet(staged)                 # computed once, lineage cut
+    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
