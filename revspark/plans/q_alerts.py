@@ -107,12 +107,31 @@ def stage_events(spark, sf, files: int = 8) -> str:
     return path
 
 
-@register("alerts_send_once")
+# With every file in one micro-batch the send-once rule is a per-key greedy scan:
+# first alert, then the first one at least an hour after the last sent. The twin
+# walks it with a recursive CTE (one step per send) and keeps the lowest event id
+# at each sent time, as the stream does.
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+@register("alerts_send_once", f"""RECURSIVE
+ a AS (SELECT event_time, event_id, review_id, product_id, category, sentence, sentiment, rating, {TYPE_SQL} AS type,
+              review_id || chr(31) || CAST(product_id AS VARCHAR) || chr(31) || category AS k
+       FROM review_events WHERE (sentiment = 0 OR rating IN (1.0, 2.0, 3.0))),
+ s(k, t) AS (SELECT k, min(event_time) FROM a GROUP BY k
+             UNION ALL
+             SELECT a.k, min(a.event_time) FROM s JOIN a ON a.k = s.k AND a.event_time >= s.t + INTERVAL 1 HOUR
+             GROUP BY a.k),
+ pick AS (SELECT a.*, row_number() OVER (PARTITION BY a.k, a.event_time ORDER BY a.event_id) AS rn
+          FROM a JOIN s ON a.k = s.k AND a.event_time = s.t)
+SELECT strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time, event_id, review_id, product_id, category,
+       sentence, sentiment, rating, type FROM pick WHERE rn = 1""")
 def q_alerts_send_once(spark, sf):
     src = stage_events(spark, sf)
     out = scratch_path(spark, "alerts-sent")
     S.run_available_now(S.send_once(S.anomaly_stream(spark, src)), S.batch_writer(out), name="send-once")
-    return spark.read.parquet(out).drop("batch_id")
+    return (spark.read.parquet(out).drop("batch_id")
+            .withColumn("event_time", F.date_format("event_time", TS_FMT)))
 
 
 @register("alerts_seen_once")

@@ -111,8 +111,11 @@ def duckdb_with(sql_body: str, views: list[str] | None = None) -> str:
     names.update({n: n for n in VIEW_NAMES})
     ctes = ",\n".join(f"{n} AS ({t.format(**names).strip()})" for n, t in wanted)
     body = sql_body.strip()
+    kw = "WITH"
+    if body.split(None, 1)[0].upper() == "RECURSIVE":      # the body holds a recursive CTE
+        kw, body = "WITH RECURSIVE", body.split(None, 1)[1].strip()
     sep = "\n" if body[:6].upper() == "SELECT" else ",\n"
-    return f"WITH {ctes}{sep}{body}"
+    return f"{kw} {ctes}{sep}{body}"
 
 
 @dataclass
