@@ -69,12 +69,16 @@ def split_sentences_punct(text) -> Column:
     return F.split(F.coalesce(col(text), F.lit("")), SENTENCE_END)
 
 
-def token_windows(text, window: int) -> Column:
+def token_windows(text, window: int, single_spaced: bool = False) -> Column:
     """Consecutive runs of ``window`` whitespace-separated tokens, left to right
     (the last run may be shorter), each joined by single spaces. One regex scan
-    of the text: linear in its length, whatever the number of windows."""
+    of the text: linear in its length, whatever the number of windows. Text that is
+    already single-spaced (cleaned text) skips the per-window normalisation."""
+    t = F.coalesce(col(text), F.lit(""))
+    if single_spaced:
+        return F.regexp_extract_all(t, F.lit(rf"[^ ]+(?: [^ ]+){{0,{window - 1}}}"), 0)
     run = rf"[^{WS}]+(?:[{WS}]+[^{WS}]+){{0,{window - 1}}}"
-    found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(run), 0)
+    found = F.regexp_extract_all(t, F.lit(run), 0)
     return F.transform(found, lambda x: F.regexp_replace(x, f"[{WS}]+", " "))
 
 
@@ -131,15 +135,38 @@ def lexicon_hits(text, words: Sequence[str]) -> Column:
     return F.size(F.regexp_extract_all(F.lower(col(text)), F.lit(pat), 0))
 
 
+def lexicon_logits(text, groups: Sequence[Sequence[str]], base: Sequence[float]) -> Column:
+    """``base[i]`` + number of tokens of ``text`` found in ``groups[i]``, as one
+    array. One regex scan extracts every lexicon token; a single ``aggregate`` over
+    the (few) matches adds them to their groups (a word may be in several)."""
+    where: dict[str, list[int]] = {}
+    for i, g in enumerate(groups):
+        for w in g:
+            where.setdefault(w.lower(), []).append(i)
+    zero = F.array(*[F.lit(float(b)) for b in base])
+    pat = token_pattern(list(where))
+    if pat is None:
+        return zero
+    m = F.create_map(*[x for w, ix in sorted(where.items())
+                       for x in (F.lit(w), F.array(*[F.lit(i) for i in ix]))])
+    found = F.regexp_extract_all(F.lower(col(text)), F.lit(pat), 0)
+
+    def add(acc, w):
+        ix = m[w]
+        return F.transform(acc, lambda c, j: c + (F.size(ix) - F.size(F.array_remove(ix, j))).cast("double"))
+    return F.aggregate(found, zero, add)
+
+
 def lexicon_topic_logits(text, lexicon: dict = TOPIC_LEXICON,
                          labels: Sequence[str] = K.CLASSIFIER_TOPICS) -> Column:
-    return F.array(*[(lexicon_hits(text, lexicon.get(l, ())) - F.lit(0.5)).cast("double") for l in labels])
+    """Per label: (lexicon hits - 0.5), so any hit means sigmoid > 0.5."""
+    return lexicon_logits(text, [lexicon.get(l, ()) for l in labels], [-0.5] * len(labels))
 
 
 def lexicon_sentiment_logits(text, positive: Sequence[str] = POSITIVE_WORDS,
                              negative: Sequence[str] = NEGATIVE_WORDS) -> Column:
-    return F.array(lexicon_hits(text, negative).cast("double"), F.lit(0.5),
-                   lexicon_hits(text, positive).cast("double"))
+    """[negative hits, 0.5, positive hits]."""
+    return lexicon_logits(text, [negative, (), positive], [0.0, 0.5, 0.0])
 
 
 def strip_ws(c) -> Column:

@@ -37,7 +37,7 @@ def sentences(df: DataFrame, text_col: str = "review_text", keep: str = T.HANGUL
     Cleaning removes punctuation, so the default splitter cuts fixed windows of
     ``window`` tokens; pass ``splitter`` (Column -> array<string>) to replace it."""
     cleaned = T.clean_text(text_col, keep=keep, stopwords=stopwords)
-    split = splitter(cleaned) if splitter else T.token_windows(cleaned, window)
+    split = splitter(cleaned) if splitter else T.token_windows(cleaned, window, single_spaced=True)
     others = [c for c in df.columns if c != text_col]
     return df.select(*others, F.posexplode(split).alias("pos", "sentence"))
 
