@@ -62,12 +62,15 @@ def avg_rating(daily: DataFrame) -> DataFrame:
 
 
 def _topics_capped(cap: int | None, strip_all: bool) -> Column:
-    parts = F.split(F.col("category"), ",")
-    if cap is not None:
-        parts = F.slice(parts, 1, cap)
+    """Topics of a row: the day report reads at most ``cap`` parts and trims spaces,
+    the week report strips all whitespace. Trimming the whole string and splitting
+    on a separator that swallows the surrounding blanks equals trimming each part,
+    with no per-element lambda."""
     if strip_all:
-        return F.transform(parts, lambda x: F.regexp_replace(x, f"^[{WS}]+|[{WS}]+$", ""))
-    return F.transform(parts, lambda x: F.trim(x))
+        parts = F.split(F.regexp_replace(F.col("category"), f"^[{WS}]+|[{WS}]+$", ""), f"[{WS}]*,[{WS}]*")
+    else:
+        parts = F.split(F.trim(F.col("category")), " *, *")
+    return F.slice(parts, 1, cap) if cap is not None else parts
 
 
 def topic_counts(daily: DataFrame, period: str = "day", cap: int | None = 5,

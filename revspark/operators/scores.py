@@ -18,11 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
-from ..functions.columns import grade, topic_list
-
-
-def _equals(value: str):
-    return lambda x: x == F.lit(value)
+from ..functions.columns import count_in, grade, topic_list
 
 
 def _topic_sums(topics: Sequence[str]) -> list[Column]:
@@ -32,7 +28,7 @@ def _topic_sums(topics: Sequence[str]) -> list[Column]:
     lst = topic_list("category")
     out = []
     for i, t in enumerate(topics):
-        hits = F.when(ok, F.size(F.filter(lst, _equals(t)))).otherwise(0)
+        hits = F.when(ok, count_in(lst, t)).otherwise(0)
         out.append(F.sum(hits).alias(f"tc{i}"))
         out.append(F.sum(hits * F.col("sentiment")).alias(f"ts{i}"))
     return out
