@@ -4,6 +4,7 @@ from __future__ import annotations
 from ..functions.sizes import normalise_size
 from ..operators import sizes as Z
 from ..sources import fixture
+from ..sources.io import stage
 from .registry import register
 
 # DuckDB's regex engine has no Unicode \b; a word boundary before/after a match
@@ -49,6 +50,12 @@ def _detail(spark, sf):
     return Z.size_detail(_stats(spark, sf), fixture(spark, sf).products)
 
 
+def _detail_staged(spark, sf):
+    """The detail rows (one per product and size option) computed once, for the
+    reports that read them in several branches (rows and their global maximum)."""
+    return stage(_detail(spark, sf), "size-detail")
+
+
 @register("size_normalise", f"""
 SELECT review_id, review_size, {size_norm_sql('review_size')} AS size_norm FROM reviews""")
 def q_size_normalise(spark, sf):
@@ -93,7 +100,7 @@ def q_size_neg_brands(spark, sf):
 @register("size_max_negative", f"""{DETAIL}
 SELECT * FROM det WHERE negative_ratio = (SELECT max(negative_ratio) FROM det)""")
 def q_size_max_negative(spark, sf):
-    return Z.most_negative_sizes(_detail(spark, sf))
+    return Z.most_negative_sizes(_detail_staged(spark, sf))
 
 
 MODE = """
@@ -105,7 +112,7 @@ MODE = """
 @register("size_mode", f"""{DETAIL},{MODE}
 SELECT * FROM md""")
 def q_size_mode(spark, sf):
-    return Z.size_mode(Z.most_negative_sizes(_detail(spark, sf)))
+    return Z.size_mode(Z.most_negative_sizes(_detail_staged(spark, sf)))
 
 
 @register("size_summary", f"""{DETAIL},{MODE}
@@ -113,7 +120,7 @@ SELECT (SELECT count(*) FROM det WHERE negative_ratio >= 50) AS category_negativ
        (SELECT count(*) FROM det WHERE negative_ratio >= 50) AS brand_negative_count,
        most_frequent_size AS most_negative_count, most_frequent_size AS most_frequent_most_negative FROM md""")
 def q_size_summary(spark, sf):
-    return Z.size_summary(_detail(spark, sf))
+    return Z.size_summary(_detail_staged(spark, sf))
 
 
 @register("size_donut_counts", f"""{DETAIL}
@@ -124,7 +131,7 @@ UNION ALL
 SELECT review_size AS key, count(*) AS count, 'size' AS chart FROM det
 WHERE negative_ratio = (SELECT max(negative_ratio) FROM det) GROUP BY 1""")
 def q_size_donut_counts(spark, sf):
-    return Z.size_donut_counts(_detail(spark, sf))
+    return Z.size_donut_counts(_detail_staged(spark, sf))
 
 
 @register("size_satisfaction_topk", f"""{STATS},

@@ -146,3 +146,15 @@ def balanced(df: DataFrame, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() < sc.defaultParallelism:
         return df.repartition(sc.defaultParallelism * factor)
     return df
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute ``df`` once into a staging table in the shared checkpoint folder and
+    read it back. For an intermediate that several branches of one result read
+    (Spark would otherwise recompute it per branch, since column pruning makes the
+    branches differ); it also cuts the lineage, so a lost executor restarts from
+    the staged files."""
+    from ..session import scratch_path as _scratch
+    path = _scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
