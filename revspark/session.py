@@ -52,3 +52,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder below the checkpoint dir for staged tables and stream state."""
     import uuid
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``revspark`` importable on the executors' Python workers (pandas UDFs,
+    ``mapInPandas``, ``applyInPandasWithState`` refer to its functions): zip the
+    package once per SparkContext into the shared checkpoint folder and register
+    it with ``addPyFile`` -- what ``--py-files`` does at submit time."""
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target = scratch_path(spark, "pyfiles")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:          # a cluster file system: build locally, Spark ships it
+        local = tempfile.mkdtemp(prefix="revspark-pyfiles-")
+    os.makedirs(local, exist_ok=True)
+    zpath = os.path.join(local, "revspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -158,6 +158,8 @@ _CACHE: dict = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
+    from ..session import ship_package
+    ship_package(spark)          # executors' Python workers need the package too
     key = (id(spark), sf_dir.rstrip("/"))
     if key not in _CACHE:
         _CACHE[key] = Fixture(spark, sf_dir.rstrip("/"))
