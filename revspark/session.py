@@ -55,6 +55,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set = set()
+_SHIP_LOCK = __import__("threading").Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -62,11 +63,17 @@ def ship_package(spark: SparkSession) -> None:
     ``mapInPandas``, ``applyInPandasWithState`` refer to its functions): zip the
     package once per SparkContext into the shared checkpoint folder and register
     it with ``addPyFile`` -- what ``--py-files`` does at submit time."""
-    import zipfile
     sc = spark.sparkContext
     key = id(sc)
-    if key in _SHIPPED:
-        return
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        _ship(spark, sc)
+        _SHIPPED.add(key)
+
+
+def _ship(spark: SparkSession, sc) -> None:
+    import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     target = scratch_path(spark, "pyfiles")
@@ -82,4 +89,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
-    _SHIPPED.add(key)

@@ -7,6 +7,7 @@ test-input definition only; every operator works on the resulting DataFrames.
 """
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,8 +126,13 @@ class Fixture:
     frames: dict = field(default_factory=dict)
     materialize: bool = True
     root: str | None = None
+    lock: threading.RLock = field(default_factory=threading.RLock)
 
     def table(self, name: str) -> DataFrame:
+        with self.lock:               # callers may run queries from several threads
+            return self._table(name)
+
+    def _table(self, name: str) -> DataFrame:
         if name not in self.frames:
             if name in BASE_TABLES or name in ("region", "nation", "customer", "supplier", "orders"):
                 self.frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -149,18 +155,20 @@ class Fixture:
         return self.spark.read.parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("spark", "sf_dir", "frames", "materialize", "root"):
+        if name.startswith("_") or name in ("spark", "sf_dir", "frames", "materialize", "root", "lock"):
             raise AttributeError(name)
         return self.table(name)
 
 
 _CACHE: dict = {}
+_CACHE_LOCK = threading.Lock()
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     from ..session import ship_package
     ship_package(spark)          # executors' Python workers need the package too
     key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = Fixture(spark, sf_dir.rstrip("/"))
-    return _CACHE[key]
+    with _CACHE_LOCK:
+        if key not in _CACHE:
+            _CACHE[key] = Fixture(spark, sf_dir.rstrip("/"))
+        return _CACHE[key]
