@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType, TimestampType)
 
@@ -155,6 +156,38 @@ def recent_list_sink(path: str, cap: int = K.RECENT_LIST_CAP):
     return write
 
 
+def seen_ids_sink(path: str, inner, cap: int = K.SEEN_IDS_CAP, order: str = "event_time"):
+    """I2, exact form: the ids of the last ``cap`` processed alerts are kept as a
+    snapshot table (at most ``cap`` rows); each micro-batch passes on the rows whose
+    id is not in it (repeats inside one batch all pass, as the list is read once
+    per cycle), hands them to ``inner`` and pushes their ids, newest-first processing
+    order, in front of the old list, trimmed to ``cap``. The snapshot is bounded by
+    ``cap``, so it is broadcast explicitly."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        base = path.rstrip("/")
+        try:
+            snap = spark.read.parquet(f"{base}/latest")
+        except Exception:  # first batch: empty list
+            snap = spark.createDataFrame([], "review_id string, pos long")
+        fresh = df.join(F.broadcast(snap.select("review_id")), "review_id", "left_anti")
+        inner(fresh, batch_id)
+        # Rows are processed newest first and each id is pushed to the head, so the
+        # last processed (oldest) row ends up first in the list.
+        pushed = (fresh.select("review_id", F.col(order).alias("_t"), F.col("event_id").alias("_e"))
+                  .orderBy(F.col("_t").asc(), F.col("_e").desc()).limit(cap)
+                  .select("review_id", F.lit(0).alias("_g"), F.col("_t"), F.col("_e")))
+        old = snap.select("review_id", F.lit(1).alias("_g"), F.lit(None).cast("timestamp").alias("_t"),
+                          F.col("pos").alias("_e"))
+        w = Window.orderBy(F.col("_g"), F.col("_t").asc(), F.col("_e").desc())
+        both = pushed.unionByName(old.withColumn("_e", -F.col("_e")))     # old keeps its order
+        new = (both.orderBy(F.col("_g"), F.col("_t").asc(), F.col("_e").desc()).limit(cap)
+               .select("review_id", F.row_number().over(w).cast("long").alias("pos")))
+        new.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+        spark.read.parquet(f"{base}/v={batch_id}").write.mode("overwrite").parquet(f"{base}/latest")
+    return write
+
+
 def run_available_now(df: DataFrame, sink, checkpoint: str | None = None, name: str = "alerts",
                       timeout_s: int = 600) -> str:
     """Drain everything currently in the source (``availableNow``) through the

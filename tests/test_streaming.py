@@ -59,3 +59,26 @@ def test_recent_list_sink(spark):
     lst = spark.read.parquet(f"{out}/latest")
     assert lst.count() == 100
     assert lst.agg(F.max("event_id")).first()[0] == 119
+
+
+def test_seen_ids_exact_list(spark):
+    """Ids in the last-100 list are skipped in later batches; repeats inside one
+    batch all pass; the list never exceeds 100 ids."""
+    src = scratch_path(spark, "t-events4")
+    _write(spark, src, [(T0 + dt.timedelta(minutes=i), i, f"r{i}", 1, "error", "s", 0, 5.0) for i in range(150)]
+           + [(T0 + dt.timedelta(minutes=200), 999, "r149", 1, "error", "s", 0, 5.0)])
+    _write(spark, src, [(T0 + dt.timedelta(minutes=300 + i), 1000 + i, f"r{i}", 1, "error", "s", 0, 5.0)
+                        for i in (0, 100, 149)])
+    out, ids = scratch_path(spark, "t-seen-out"), scratch_path(spark, "t-seen-ids")
+    S.run_available_now(S.anomaly_stream(spark, src, max_files=1), S.seen_ids_sink(ids, S.batch_writer(out)),
+                        name="t-seen-ids")
+    got = spark.read.parquet(out)
+    b0 = sorted(r.event_id for r in got.where("batch_id = 0").collect())
+    b1 = sorted(r.event_id for r in got.where("batch_id = 1").collect())
+    assert len(b0) == 151                      # both rows of r149 pass inside one batch
+    # Newest rows are processed first and every id is pushed to the head, so after
+    # batch 0 the list holds the 100 oldest ids (r0..r99): r0 is skipped, r100 and
+    # r149 pass again.
+    assert b1 == [1100, 1149]
+    lst = spark.read.parquet(f"{ids}/latest")
+    assert lst.count() == 100
