@@ -95,3 +95,38 @@ def test_pipeline_idempotent(spark):
     a2 = sorted(map(tuple, spark.read.parquet(cfg.analysis_path).collect()))
     assert (m1.inserted, m2.inserted, m2.already_existing) == (2, 0, 2)
     assert a1 == a2 and len(a1) == 2
+
+
+def test_read_table_prunes_and_filters(spark):
+    path = scratch_path(spark, "t-table")
+    _landing(spark, [("1", "p", "5", "a", "2025-03-17", "M"), ("2", "q", "4", "b", "2025-03-18", "L")]).write.parquet(path)
+    df = io.read_table(spark, "parquet", ["review_id", "rating"], F.col("rating") == "4", path=path)
+    assert [tuple(r) for r in df.collect()] == [("2", "4")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(rating), EqualTo(rating,4)]" in plan
+
+
+def test_stage_and_balanced(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") % 7)
+    staged = io.stage(df.groupBy("x").count(), "t-stage")
+    assert staged.count() == 7
+    one = spark.range(10).coalesce(1)
+    assert io.balanced(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 2
+    many = spark.range(10).repartition(spark.sparkContext.defaultParallelism)
+    assert io.balanced(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_ingest_stream_runs_pipeline(spark):
+    from revspark.streaming import alerts as SA
+    from revspark.streaming.ingest import ingest_stream, pipeline_sink
+    base = scratch_path(spark, "t-ingest")
+    cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis",
+                         keep=T.LATIN_TEST_CLASS)
+    _landing(spark, [("1", "10", "5", "good design", "2025-03-17", "260 구매")]).write.parquet(cfg.landing_path)
+    _landing(spark, [("2", "11", "2", "bad size", "2025-03-17", "M 구매")]).write.mode("append").parquet(cfg.landing_path)
+    metrics = f"{base}/metrics"
+    SA.run_available_now(ingest_stream(spark, cfg, "2025-03-17", max_files=1),
+                         pipeline_sink(cfg, "2025-03-17", metrics), name="t-ingest")
+    assert sorted(r.review_id for r in spark.read.parquet(cfg.reviews_path).collect()) == [1, 2]
+    assert spark.read.parquet(cfg.analysis_path).count() == 2
+    assert spark.read.parquet(metrics).agg(F.sum("inserted")).first()[0] == 2
