@@ -22,6 +22,10 @@ from ..session import scratch_path
 from ..sources import io
 
 
+METRICS_DDL = ("before_count long, batch_count long, already_existing long, unchanged long, "
+               "after_count long, inserted long, verdict string")
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     landing_path: str               # day folders of crawler output (all-string rows)
@@ -82,8 +86,8 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, as_of, landing: DataF
     if landing is None:
         day = str(as_of).replace("-", "")
         landing = io.read_landing(spark, cfg.landing_path, day)
-    if landing.isEmpty():
-        return spark.createDataFrame([], "before_count long")
+    if landing.isEmpty():          # B12: nothing landed, nothing to do
+        return spark.createDataFrame([], METRICS_DDL)
     metrics, reviews = load_batch(spark, landing, cfg, as_of)
     label_day(spark, reviews, cfg, as_of)
     return metrics

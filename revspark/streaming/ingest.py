@@ -19,6 +19,8 @@ def ingest_stream(spark: SparkSession, cfg: PipelineConfig, as_of, max_files: in
 
 def pipeline_sink(cfg: PipelineConfig, as_of, metrics_path: str | None = None):
     def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():        # e.g. the closing batch of availableNow
+            return
         m = run_pipeline(batch.sparkSession, cfg, as_of, landing=batch)
         if metrics_path:
             m.write.mode("overwrite").parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}")
