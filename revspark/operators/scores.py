@@ -124,18 +124,21 @@ def topic_sentiment_pivot(analysis: DataFrame, products: DataFrame,
                           keys: dict = K.SWAPPED_SENTIMENT_KEYS) -> DataFrame:
     """Per brand and topic: counts per sentiment class where the *whole* category
     string equals the topic. ``keys`` names the classes (swapped by default, as
-    on the brand page)."""
-    a = analysis.join(products.select("product_id", "brand"), "product_id")
-    brands = a.groupBy("brand").agg(F.count(F.lit(1)).alias("_n")).select("brand")
-    cnt = (a.where(F.col("category").isin(list(topics)))
-           .groupBy("brand", F.col("category").alias("topic"))
-           .agg(*[F.count_if(F.col("sentiment") == k).alias(v) for k, v in sorted(keys.items())]))
-    grid = brands.select("brand", F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic"))
-    names = [v for _, v in sorted(keys.items())]
-    out = grid.join(cnt, ["brand", "topic"], "left").na.fill(0, subset=names)
-    return out.select("brand", "topic", *[F.col(c).cast("bigint").alias(c) for c in
-                                          ("positive", "neutral", "negative")],
-                      (F.col("positive") + F.col("neutral") + F.col("negative")).cast("bigint").alias("count"))
+    on the brand page). One conditional aggregation per product (map-side
+    combined), then the product dimension, then a roll-up per brand."""
+    codes = sorted(keys)
+    cell = {(i, k): f"c{i}_{k}" for i in range(len(topics)) for k in codes}
+    cat, sen = F.col("category"), F.col("sentiment")
+    per_product = analysis.groupBy("product_id").agg(
+        *[F.count_if((cat == t) & (sen == k)).alias(cell[(i, k)]) for i, t in enumerate(topics) for k in codes])
+    per_brand = (per_product.join(products.select("product_id", "brand"), "product_id")
+                 .groupBy("brand").agg(*[F.sum(c).alias(c) for c in cell.values()]))
+    rows = F.array(*[F.struct(F.lit(t).alias("topic"),
+                              *[F.col(cell[(i, k)]).cast("bigint").alias(keys[k]) for k in codes])
+                     for i, t in enumerate(topics)])
+    out = per_brand.select("brand", F.inline(rows))
+    return out.select("brand", "topic", "positive", "neutral", "negative",
+                      (F.col("positive") + F.col("neutral") + F.col("negative")).alias("count"))
 
 
 def brand_yearly_reviews(reviews: DataFrame, products: DataFrame) -> DataFrame:
