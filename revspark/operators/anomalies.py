@@ -142,9 +142,10 @@ def month_anomaly_products(daily: DataFrame, products: DataFrame, top: int = 10)
 
 def month_anomaly_categories(daily: DataFrame, products: DataFrame,
                              categories: Sequence[str] = K.SHOE_CATEGORIES) -> DataFrame:
-    a = daily.where(is_anomaly()).select(month_start(DAY).alias("_m"), "product_id")
+    a = (daily.where(is_anomaly()).groupBy(month_start(DAY).alias("_m"), "product_id")
+         .agg(F.count(F.lit(1)).alias("n")))                       # counts meet the dimension
     p = products.where(F.col("category").isin(list(categories))).select("product_id", "category")
-    return (a.join(p, "product_id").groupBy("_m", "category").agg(F.count(F.lit(1)).alias("anomaly_count"))
+    return (a.join(p, "product_id").groupBy("_m", "category").agg(F.sum("n").alias("anomaly_count"))
             .select(ymd("_m").alias("month_start"), "category", "anomaly_count"))
 
 

@@ -142,9 +142,11 @@ def topic_sentiment_pivot(analysis: DataFrame, products: DataFrame,
 
 
 def brand_yearly_reviews(reviews: DataFrame, products: DataFrame) -> DataFrame:
-    return (reviews.join(products.select("product_id", "brand"), "product_id")
-            .groupBy("brand", F.year("review_date").alias("review_year"))
-            .agg(F.count(F.lit(1)).alias("total_reviews")))
+    """Reviews per brand and calendar year; counted per product first, so only
+    (product, year) counts meet the product dimension."""
+    per = reviews.groupBy("product_id", F.year("review_date").alias("review_year")).agg(F.count(F.lit(1)).alias("n"))
+    return (per.join(products.select("product_id", "brand"), "product_id")
+            .groupBy("brand", "review_year").agg(F.sum("n").alias("total_reviews")))
 
 
 def brand_of_product_score(analysis: DataFrame, products: DataFrame) -> DataFrame:

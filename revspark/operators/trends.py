@@ -67,14 +67,14 @@ def daily_counts_by(analysis: DataFrame, products: DataFrame, by: str | None,
     a = _clamped(analysis, clamp)
     if start_date and end_date:
         a = a.where(_between(start_date, end_date))
-    keys = []
-    if by == "brand":
-        a = a.join(products.select("product_id", "brand"), "product_id")
-        keys = ["brand"]
-    elif by == "product_id":
-        keys = ["product_id"]
-    elif by is not None:
+    if by == "brand":          # per (product, day) first; only counts meet the dimension
+        per = a.groupBy("product_id", DAY).agg(F.count(F.lit(1)).alias("n"))
+        out = (per.join(products.select("product_id", "brand"), "product_id")
+               .groupBy("brand", DAY).agg(F.sum("n").alias("count")))
+        return out.select("brand", ymd(DAY).alias("date"), "count")
+    if by not in ("product_id", None):
         raise ValueError(by)
+    keys = [by] if by else []
     out = a.groupBy(*keys, DAY).agg(F.count(F.lit(1)).alias("count"))
     return out.select(*keys, ymd(DAY).alias("date"), "count")
 
@@ -108,10 +108,11 @@ def _daily_sales(reviews: DataFrame, products: DataFrame | None, attr: str | Non
     if attr is None:
         out = r.groupBy(DAY).agg(F.count(F.lit(1)).alias("sales"))
         return out.select(ymd(DAY).alias("date"), "sales")
-    r = r.join(products.select("product_id", attr), "product_id")
+    per = r.groupBy("product_id", DAY).agg(F.count(F.lit(1)).alias("n"))   # counts meet the dimension
+    j = per.join(products.select("product_id", attr), "product_id")
     v = F.col(attr)
     label = F.when(v.isNull() | (v == ""), F.lit(K.FALLBACK_TOPIC)).otherwise(v)
-    out = r.groupBy(DAY, label.alias(attr)).agg(F.count(F.lit(1)).alias("sales"))
+    out = j.groupBy(DAY, label.alias(attr)).agg(F.sum("n").alias("sales"))
     return out.select(ymd(DAY).alias("date"), attr, "sales")
 
 
