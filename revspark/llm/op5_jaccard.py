@@ -3,15 +3,24 @@
 Sets are a document's distinct word shingles; documents link when ``|A & B| / |A | B| >= threshold``.
 Equal sets are one node (a 64-bit fingerprint), so copies are never paired.
 
-Top level of the trees, as Spark joins: under a global order of shingles from rare to common, two
-sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each (prefix principle), so
-each such shingle is a subtree and no pair outside a common subtree can have enough overlap.
-Subtrees whose members are all in one component already need no search. Below, a subtree's members
-are dealt by a hash into blocks of bounded size, and pairs of blocks are tasks: in each block the
-members, in order of size, form a tree whose nodes hold the OR of their members' token bitmaps and
-their size range; both trees are walked together and a pair of nodes is pruned when the greatest
-overlap its bitmaps and sizes allow is less than the least overlap a link needs. Pairs of sets that
-remain and are not connected yet are verified on the sets themselves.
+Top level of the trees, as Spark aggregations: under a global order of shingles from rare to common,
+two sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each, and one of the two
+among its first ``n - ceil(2t / (1 + t) * n) + 1`` (prefix principle, ``t`` the threshold); so each such
+shingle is a subtree, and no pair outside a common subtree can have enough overlap. Subtrees with
+the same members are one.
+
+Below, a subtree's members are dealt by a hash into blocks of bounded size, and pairs of blocks are
+tasks: in each block the members' signatures (token bitmap, size), in order of size, form a tree
+whose nodes hold the OR of their members' bitmaps and their size range; both trees are walked
+together and a pair of nodes is pruned when the greatest overlap its bitmaps and sizes allow is
+less than the least overlap a link needs. What remains is verified on the sets themselves.
+
+Only components matter, so pairs that are connected already are skipped: first the subtrees of the
+sets' rarest shingles are searched within blocks, each with the subtree's least member, which merges
+groups of near copies without all their pairs; then all subtrees that still hold several components,
+once with one pair for each set and foreign component of a block, and once with all pairs that are
+still apart: nothing is lost. There the members of a subtree's largest component are in blocks of
+their own, which need not meet each other.
 
 The order counts shingles over all documents in a hashed table of fixed size (``SKETCH`` counters;
 collisions only change the order, never the result); its logarithms, ``SKETCH`` bytes, are the one
@@ -64,6 +73,11 @@ def _prefix(n: int, t: tuple) -> int:
     return n - -(-t[0] * n // t[1]) + 1 if n else 0
 
 
+def _short_prefix(n: int, t: tuple) -> int:
+    """Length of the prefix in which the smaller of two linked sets shares a shingle."""
+    return n - -(-2 * t[0] * n // (t[0] + t[1])) + 1 if n else 0
+
+
 # --- nodes and the order of shingles ---------------------------------------------------------
 def _nodes_and_counts(width: int):
     """Rows (doc_id, text_hash, node, n_shingles), and at a task's end its shingle counts by pieces."""
@@ -118,7 +132,8 @@ def _ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 # --- subtrees --------------------------------------------------------------------------------
 def _postings(width: int, t: tuple, levels):
-    """(key, node, head) for the prefix shingles of each set; head marks its rarest shingle."""
+    """(key, node, head, short) for the prefix shingles of each set; head marks its rarest shingle,
+    short the part of the prefix that the smaller set of a link shares."""
     def run(batches):
         level = np.frombuffer(levels.value, np.uint8)
         for b in batches:
@@ -128,12 +143,12 @@ def _postings(width: int, t: tuple, levels):
                 if not keys:
                     continue
                 n = np.array([len(k) for k in keys])
-                head = np.zeros(n.sum(), bool)
-                head[np.concatenate([[0], np.cumsum(n)[:-1]])] = True
+                rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                short = rank < np.repeat([_short_prefix(len(s), t) for s in some], n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)),
-                     pa.array(np.repeat(np.array([_fingerprint(s) for s in some], np.int64), n)), pa.array(head)],
-                    names=["key", "node", "head"])
+                     pa.array(np.repeat(np.array([_fingerprint(s) for s in some], np.int64), n)), pa.array(rank == 0),
+                     pa.array(short)], names=["key", "node", "head", "short"])
     return run
 
 
@@ -147,18 +162,20 @@ def _set_rows(width: int):
     return run
 
 
+def signature(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's token bitmap, and its excess: tokens beyond the bits set."""
+    bits = np.zeros(BITS, bool)
+    bits[(s >> np.uint64(40)).astype(np.int64) % BITS] = True
+    return np.packbits(bits).view(np.uint64), len(s) - int(bits.sum())
+
+
 class Tree:
     """Signature tree over sets in order of size: levels of (OR bitmap, least size, greatest
-    size, greatest excess); level 0 has one node per set. ``excess`` is the number of tokens beyond
-    the bits set, so ``popcount(a & b) + min(excess)`` bounds an overlap from above."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        n = len(sets)
-        bits = np.zeros((n, BITS), bool)
-        for i, s in enumerate(sets):
-            bits[i, (s >> np.uint64(40)).astype(np.int64) % BITS] = True
-        size = np.array([len(s) for s in sets], np.int64)
-        self.levels = [(np.packbits(bits, axis=1).view(np.uint64), size, size, size - bits.sum(axis=1))]
+    size, greatest excess); level 0 has one node per set. Two sets have at most
+    ``popcount(a & b) + min(excess)`` tokens in common."""
+
+    def __init__(self, words: np.ndarray, size: np.ndarray, excess: np.ndarray):
+        self.levels = [(words, size, size, excess)]
         while len(self.levels[-1][1]) > 1:
             words, lo, hi, excess = self.levels[-1]
             at = np.arange(0, len(lo), FAN_OUT)
@@ -203,63 +220,108 @@ def _children(pairs: np.ndarray, na: int, nb: int, down_a: bool, down_b: bool) -
     return out[(out[:, 0] < na) & (out[:, 1] < nb)]
 
 
-def links(sets: list[np.ndarray], a: list[int], b: list[int] | None, label: np.ndarray, t: tuple) -> list[tuple[int, int]]:
-    """Links between sets of ``a`` and ``b`` (or within ``a``) that join labels still apart; updates
-    ``label``. Indices into ``sets``; every link between unconnected sets is found."""
-    a = sorted(a, key=lambda i: len(sets[i]))
-    ta = Tree([sets[i] for i in a])
-    if b is None:
-        b, tb = a, ta
+def survivors(words: np.ndarray, size: np.ndarray, excess: np.ndarray, left: np.ndarray, right: np.ndarray,
+              t: tuple) -> np.ndarray:
+    """Pairs (i, j) from ``left`` x ``right`` (within ``left`` if ``right`` is empty) that the trees keep."""
+    left = left[np.argsort(size[left], kind="stable")]
+    a = b = Tree(words[left], size[left], excess[left])
+    if len(right):
+        right = right[np.argsort(size[right], kind="stable")]
+        b = Tree(words[right], size[right], excess[right])
     else:
-        b = sorted(b, key=lambda i: len(sets[i]))
-        tb = Tree([sets[i] for i in b])
-    out = []
-    for x, y in walk(ta, tb, t).tolist():
-        i, j = a[x], b[y]
-        if label[i] == label[j]:
-            continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if t[1] * both >= t[0] * (len(sets[i]) + len(sets[j]) - both):
-            out.append((i, j))
-            label[label == label[j]] = label[i]
-    return out
-
-
-def _search(t: tuple):
-    """Arrow function over rows (key, a, b, side, node, label, tokens) sorted by key, a, b: the
-    blocks ``a`` and ``b`` of a subtree (the same: searched within itself)."""
+        right = left
+    pairs = walk(a, b, t)
+    return np.stack([left[pairs[:, 0]], right[pairs[:, 1]]], axis=1) if len(pairs) else np.zeros((0, 2), np.int64)
+
+
+def linked(x: np.ndarray, y: np.ndarray, t: tuple) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return t[1] * both >= t[0] * (len(x) + len(y) - both)
+
+
+def _edges(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()),
+                                       pa.array([int(y) for _, y in found], pa.int64())], names=["src", "dst"])
+
+
+def _search_sets(t: tuple):
+    """Rows (key, a, node, tokens) sorted by key, a -> links that connect each block's sets."""
     def run(batches):
-        for tab in whole_groups(batches, ["key", "a", "b"], 2000):
-            cut = bounds(tab, ["key", "a", "b"])
-            node, label = tab.column("node").to_numpy(), tab.column("label").to_numpy()
-            side, tokens = tab.column("side").to_numpy(), tab.column("tokens")
+        for tab in whole_groups(batches, ["key", "a"], 2000):
+            cut = bounds(tab, ["key", "a"])
+            node, tokens = tab.column("node").to_numpy(), tab.column("tokens")
             found = []
             for p, q in zip(cut[:-1], cut[1:]):
-                names, lab = node[p:q], label[p:q].copy()
+                sets = [np.frombuffer(tokens[int(k)].as_buffer(), np.uint64) for k in range(p, q)]
+                words, excess = zip(*map(signature, sets))
+                size = np.array([len(s) for s in sets])
+                label = np.arange(q - p)
+                for i, j in survivors(np.array(words), size, np.array(excess), label.copy(), label[:0], t).tolist():
+                    if label[i] != label[j] and linked(sets[i], sets[j], t):
+                        found.append((node[p + i], node[p + j]))
+                        label[label == label[j]] = label[i]
+            yield _edges(found)
+    return run
+
+
+def _search_signatures(t: tuple, one_each: bool):
+    """Rows (key, a, b, side, node, label, size, excess, bits) sorted by key, a, b -> pairs to verify.
+
+    ``a`` and ``b`` are blocks of a subtree (the same: searched within itself). Pairs of one label are
+    left out; ``one_each`` keeps one pair for each set and label of its partners."""
+    def run(batches):
+        for tab in whole_groups(batches, ["key", "a", "b"]):
+            cut = bounds(tab, ["key", "a", "b"])
+            node, label, side, size, excess = (tab.column(c).to_numpy() for c in ("node", "label", "side", "size", "excess"))
+            words = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in tab.column("bits")])
+            for p, q in zip(cut[:-1], cut[1:]):
+                lab, s = label[p:q], side[p:q]
                 if lab.min() == lab.max():
                     continue
-                sets = [np.frombuffer(tokens[int(k)].as_buffer(), np.uint64) for k in range(p, q)]
-                left = np.flatnonzero(side[p:q] == 0).tolist()
-                right = np.flatnonzero(side[p:q] == 1).tolist()
-                found += [(int(names[i]), int(names[j])) for i, j in links(sets, left, right or None, lab, t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())],
-                                             names=["src", "dst"])
+                pairs = survivors(words[p:q], size[p:q], excess[p:q], np.flatnonzero(s == 0), np.flatnonzero(s == 1), t)
+                pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
+                if one_each and len(pairs):
+                    _, at = np.unique(np.stack([pairs[:, 0], lab[pairs[:, 1]]]), axis=1, return_index=True)
+                    pairs = pairs[at]
+                if len(pairs):
+                    yield _edges(np.sort(node[p + pairs], axis=1).tolist())
     return run
 
 
+def _verify(t: tuple):
+    def run(batches):
+        for b in batches:
+            x, y = b.column("x"), b.column("y")
+            keep = [linked(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64), t)
+                    for k in range(b.num_rows)]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+    return run
+
+
+def _signatures(batches):
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("tokens")]
+        sig = [signature(s) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([e for _, e in sig], pa.int64()),
+             pa.array([w.tobytes() for w, _ in sig], pa.binary())], names=["node", "size", "excess", "bits"])
+
+
 def _pair(a, b, side: int):
     return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
 
 
-def _heads_tasks(members: DataFrame) -> DataFrame:
-    """Blocks of the subtrees of the sets' rarest shingles, each with the subtree's least node."""
-    rows = members.filter("head").select("key", "node", F.col("node").alias("label")).distinct()
+def _heads(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
+    """Links within blocks of the subtrees of the sets' rarest shingles; the subtree's least node is
+    in each of its blocks."""
+    rows = members.filter("head").select("key", "node").distinct()
     live = (rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
             .select("key", "first", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    to = (F.when(F.col("node") == F.col("first"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: _pair(o, o, 0)))
-          .otherwise(F.array(_pair(mine, mine, 0))))
-    return rows.join(live, "key").select("key", "node", "label", F.inline(to))
+    to = (F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1))
+          .otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))))
+    tasks = rows.join(live, "key").select("key", "node", F.explode(to).alias("a"))
+    return (tasks.join(sets, "node").select("key", "a", "node", "tokens").repartition("key", "a")
+            .sortWithinPartitions("key", "a").mapInArrow(_search_sets(t), "src long, dst long"))
 
 
 def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
@@ -282,11 +344,31 @@ def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame
     return rows.select("key", "node", "label", F.inline(to))
 
 
-def _search_tasks(tasks: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
+def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, t: tuple, one_each: bool, stage: Stage) -> DataFrame:
+    """Links between sets of different components that share a subtree."""
     order = ["key", "a", "b"]
-    dealt = (tasks.join(sets, "node").select("key", "a", "b", "side", "node", "label", "tokens")
-             .repartition(*order).sortWithinPartitions(*order))
-    return stage.save(dealt.mapInArrow(_search(t), "src long, dst long"), "links")
+    pairs = (_all_tasks(members, labels, stage).join(sets.mapInArrow(_signatures, "node long, size long, excess long, bits binary"), "node")
+             .select(*order, "side", "node", "label", "size", "excess", "bits")
+             .repartition(*order).sortWithinPartitions(*order)
+             .mapInArrow(_search_signatures(t, one_each), "src long, dst long").distinct())
+    pairs = stage.save(pairs, "pairs")
+    both = (pairs.join(sets.select(F.col("node").alias("src"), F.col("tokens").alias("x")), "src")
+            .join(sets.select(F.col("node").alias("dst"), F.col("tokens").alias("y")), "dst").select("src", "dst", "x", "y"))
+    return stage.save(both.mapInArrow(_verify(t), "src long, dst long"), "links")
+
+
+def _subtrees(postings: DataFrame) -> DataFrame:
+    """Keys of the subtrees that may hold a link: several members, one of them by its short
+    prefix; of subtrees with the same members, one (of those with a head, if there are any)."""
+    h = F.xxhash64("node")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    stat = postings.groupBy("key").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.try_sum(low).alias("s1"),
+        F.try_sum(high).alias("s2"), F.bool_or("short").alias("short"), F.count_if("head").alias("heads"))
+    # sums beyond 64 bits are null: such a subtree stays by itself
+    same = F.when(F.col("s1").isNull() | F.col("s2").isNull(), F.col("key"))
+    return (stat.filter("lo < hi and short").groupBy("lo", "hi", "n", "s1", "s2", same.alias("own"))
+            .agg(F.max_by("key", F.struct("heads", "key")).alias("key")).select("key"))
 
 
 def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, threshold: tuple = THRESHOLD) -> DataFrame:
@@ -299,21 +381,21 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
         _nodes_and_counts(width), "doc_id long, text_hash long, node long, n_shingles long, piece int, counts binary"), "nodes")
     nodes = both.filter("piece is null").drop("piece", "counts")
     levels = sc.broadcast(shingle_levels(both.filter("piece is not null").select("piece", "counts")))
-    postings = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels), "key long, node long, head boolean"),
-                          "postings")
-    shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    members = stage.save(postings.join(shared, "key", "left_semi"), "members")
+    postings = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels),
+                                                      "key long, node long, head boolean, short boolean"), "postings")
+    subtrees = stage.save(_subtrees(postings), "subtrees")
+    members = stage.save(postings.join(subtrees, "key", "left_semi"), "members")
     stage.drop(postings)
-    # one text per node that shares a shingle
+    # one text per node of a subtree
     one = (nodes.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"))
            .join(members.select("node").distinct(), "node", "left_semi")
            .select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash")))
-    text = d.join(one, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    text = d.join(stage.save(one, "wanted"), (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = stage.save(text.select("text").mapInArrow(_set_rows(width), "node long, tokens binary").dropDuplicates(["node"]), "sets")
-    found = _search_tasks(_heads_tasks(members), sets, threshold, stage)
-    labels = components(found, stage)
-    rest = _search_tasks(_all_tasks(members, labels, stage), sets, threshold, stage)
-    comp = (nodes.join(components(found.union(rest), stage), "node", "left")
+    found = stage.save(_heads(members, sets, threshold), "links")
+    for one_each in (True, False):
+        found = found.union(_apart(members, components(found, stage), sets, threshold, one_each, stage))
+    comp = (nodes.join(components(found, stage), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     comp = stage.save(comp, "labelled")
     least = comp.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
