@@ -236,7 +236,7 @@ def _bpe(data: bytes) -> Bpe:
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """docs -> ``keep`` columns, ids (little-endian unsigned 32-bit integers), decoded (string)."""
+    """docs -> ``keep`` columns, ids (little-endian unsigned 32-bit integers)."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, docs[text].alias("_text"))
 
@@ -244,11 +244,23 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple = ("do
         bpe = _bpe(handle.value)
         for b in batches:
             ids = bpe.encode_batch([t or "" for t in b.column("_text").to_pylist()])
-            cols = [b.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids])],
-                                             names=[*keep, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
-    return src.mapInArrow(run, f"{kept}, ids binary, decoded string")
+    return src.mapInArrow(run, f"{kept}, ids binary")
+
+
+def decode(coded: DataFrame, model: bytes, keep: tuple = ("doc_id",)) -> DataFrame:
+    """coded(ids, ...) -> ``keep`` columns, decoded; null ids decode to an empty string."""
+    handle = coded.sparkSession.sparkContext.broadcast(model)
+    src = coded.select(*keep, coded["ids"].alias("_ids"))
+
+    def run(batches):
+        bpe = _bpe(handle.value)
+        for b in batches:
+            text = [bpe.decode(i or b"") for i in b.column("_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], names=[*keep, "decoded"])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_ids")
+    return src.mapInArrow(run, f"{kept}, decoded string")
 
 
 def model_bytes(path: str | None = None) -> bytes:

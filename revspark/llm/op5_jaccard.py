@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, bounds, table, whole_groups
@@ -372,9 +372,9 @@ def _subtrees(postings: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, threshold: tuple = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, node, component_id, one row per row of docs.
+    """docs(doc_id, text) -> doc_id, text_hash, n_shingles, node, comp, component_id, one row per row of docs.
 
-    ``node`` is the fingerprint of the document's set (0 without shingles)."""
+    ``node`` is the fingerprint of the document's set (0 without shingles), ``comp`` that of its component."""
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     both = stage.save(d.mapInArrow(
@@ -400,10 +400,22 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     comp = stage.save(comp, "labelled")
     least = comp.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (comp.join(least, "comp", "left")
-            .select("doc_id", "n_shingles", "node",
+            .select("doc_id", "text_hash", "n_shingles", "node", "comp",
                     F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, stage: Stage, width: int = WIDTH, threshold: tuple = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component one row with its least doc_id
+    stays (a row without id only if none has one), and every text without words."""
+    comp = jaccard_components(docs, stage, width, threshold).filter("n_shingles > 0")
+    first = comp.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("o"))
+    first = stage.save(first.select(F.xxhash64("o.doc_id", "o.text_hash").alias("_row"), F.lit(True).alias("_first")), "kept")
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    d = docs.withColumns({"_row": F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), "_blank": blank})
+    d = d.join(first, "_row", "left").withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1))))
+    return d.filter("_blank or _first and _no = 1").select(*docs.columns)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard_components(docs, Stage(spark, "op5")).select("doc_id", "n_shingles", "component_id")

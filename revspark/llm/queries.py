@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["op2_mixing", "op5_jaccard", "op6_chat", "op9_warc", "op10_bpe"]
+MODULES = ["op1_caps", "op2_mixing", "op3_ordinal", "op4_html", "op5_jaccard", "op6_chat", "op7_quality", "op8_toxicity",
+           "op9_warc", "op10_bpe"]
 
 
 def _modules():
