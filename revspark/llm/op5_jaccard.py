@@ -15,12 +15,13 @@ whose nodes hold the OR of their members' bitmaps and their size range; both tre
 together and a pair of nodes is pruned when the greatest overlap its bitmaps and sizes allow is
 less than the least overlap a link needs. What remains is verified on the sets themselves.
 
-Only components matter, so pairs that are connected already are skipped: first the subtrees of the
-sets' rarest shingles are searched within blocks, each with the subtree's least member, which merges
-groups of near copies without all their pairs; then all subtrees that still hold several components,
-once with one pair for each set and foreign component of a block, and once with all pairs that are
-still apart: nothing is lost. There the members of a subtree's largest component are in blocks of
-their own, which need not meet each other.
+First the trees only tell which sets have a partner left at all (within blocks, then the others across
+blocks): the texts of these alone are read again. Only components matter, so pairs that are connected
+already are skipped: first the subtrees of the sets' rarest shingles are searched within blocks, each
+with the subtree's least member, which merges groups of near copies without all their pairs; then all
+subtrees that still hold several components, once with one pair for each set and foreign component of
+a block, and once with all pairs that are still apart: nothing is lost. There the members of a
+subtree's largest component are in blocks of their own, which need not meet each other.
 
 The order counts shingles over all documents in a hashed table of fixed size (``SKETCH`` counters;
 collisions only change the order, never the result); its logarithms, ``SKETCH`` bytes, are the one
@@ -79,31 +80,35 @@ def _short_prefix(n: int, t: tuple) -> int:
 
 
 # --- nodes and the order of shingles ---------------------------------------------------------
+NODE = "doc_id long, text_hash long, node long, n_shingles long, excess long, bits binary, piece int, counts binary"
+
+
 def _nodes_and_counts(width: int):
-    """Rows (doc_id, text_hash, node, n_shingles), and at a task's end its shingle counts by pieces."""
+    """A row for each document with its node and signature, and at a task's end its shingle counts by
+    pieces of the table."""
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
         for b in batches:
-            nodes, sizes = [], []
-            for _, sets in _sets(b.column("text"), width):
-                for s in sets:
-                    nodes.append(_fingerprint(s))
-                    sizes.append(len(s))
-                np.add(counts, np.bincount(np.concatenate(sets).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
+            sets = [s for _, part in _sets(b.column("text"), width) for s in part]
+            for k in range(0, len(sets), 500):
+                np.add(counts, np.bincount(np.concatenate(sets[k:k + 500]).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
                        .astype(np.uint32), out=counts)
-            n = b.num_rows
-            yield _row(b.column("doc_id"), b.column("text_hash"), nodes, sizes, [None] * n, [None] * n)
+            sig = [signature(s) for s in sets]
+            none = [None] * len(sets)
+            yield _row(b.column("doc_id"), b.column("text_hash"), [_fingerprint(s) for s in sets], [len(s) for s in sets],
+                       [e for _, e in sig], [w.tobytes() for w, _ in sig], none, none)
         pieces = counts.reshape(-1, CHUNK)
         some = [int(i) for i in np.flatnonzero(pieces.any(axis=1))]
-        none = pa.nulls(len(some), pa.int64())
-        yield _row(none, none, [0] * len(some), [0] * len(some), some, [pieces[i].tobytes() for i in some])
+        none, zero = [None] * len(some), [0] * len(some)
+        yield _row(none, none, zero, zero, zero, none, some, [pieces[i].tobytes() for i in some])
     return run
 
 
-def _row(ids, hashes, nodes, sizes, piece, counts):
-    return pa.RecordBatch.from_arrays(
-        [ids, hashes, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(piece, pa.int32()), pa.array(counts, pa.binary())],
-        names=["doc_id", "text_hash", "node", "n_shingles", "piece", "counts"])
+def _row(*columns):
+    names, types = zip(*(c.split(" ") for c in NODE.split(", ")))
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, t in zip(columns, types)],
+                                      names=list(names))
 
 
 def _add_pieces(batches):
@@ -131,27 +136,62 @@ def _ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 # --- subtrees --------------------------------------------------------------------------------
+SEEN = 200_000             # nodes that a task remembers, so as not to list copies again
+
+
 def _postings(width: int, t: tuple, levels):
     """(key, node, head, short) for the prefix shingles of each set; head marks its rarest shingle,
     short the part of the prefix that the smaller set of a link shares."""
     def run(batches):
-        level = np.frombuffer(levels.value, np.uint8)
+        level, seen = np.frombuffer(levels.value, np.uint8), set()
         for b in batches:
             for _, sets in _sets(b.column("text"), width):
-                some = [s for s in sets if len(s)]
-                keys = [_ordered(s, level)[:_prefix(len(s), t)] for s in some]
-                if not keys:
+                some = {f: s for s in sets if len(s) and (f := _fingerprint(s)) not in seen}
+                if not some:
                     continue
+                seen = set(some) | (seen if len(seen) < SEEN else set())
+                keys = [_ordered(s, level)[:_prefix(len(s), t)] for s in some.values()]
                 n = np.array([len(k) for k in keys])
                 rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                short = rank < np.repeat([_short_prefix(len(s), t) for s in some], n)
+                short = rank < np.repeat([_short_prefix(len(s), t) for s in some.values()], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)),
-                     pa.array(np.repeat(np.array([_fingerprint(s) for s in some], np.int64), n)), pa.array(rank == 0),
-                     pa.array(short)], names=["key", "node", "head", "short"])
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(list(some), np.int64), n)),
+                     pa.array(rank == 0), pa.array(short)], names=["key", "node", "head", "short"])
     return run
 
 
+def _shared(batches):
+    """Rows sorted by key, node -> distinct rows of the keys with several nodes. Holds one row of a
+    key until its second node comes, so a key of any size passes through."""
+    held, open_key, last_node = None, None, None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        if not len(key):
+            continue
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        if held is None and open_key is not None:
+            fresh[0] = key[0] != open_key or node[0] != last_node
+        t = t.filter(pa.array(fresh)).combine_chunks()
+        end = (key[-1], node[-1])
+        key = key[fresh]
+        if not len(key):
+            continue
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.cumsum(new) - 1
+        several = np.bincount(group) > 1
+        if held is None and open_key is not None and key[0] == open_key:
+            several[0] = True
+        keep = several[group]
+        held = None if several[-1] else t.slice(len(key) - 1)
+        open_key, last_node = end if several[-1] else (None, None)
+        if keep.any():
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _set_rows(width: int):
     def run(batches):
         for b in batches:
@@ -264,27 +304,34 @@ def _search_sets(t: tuple):
     return run
 
 
-def _search_signatures(t: tuple, one_each: bool):
+def _search_signatures(t: tuple, one_each: bool, alive: bool = False):
     """Rows (key, a, b, side, node, label, size, excess, bits) sorted by key, a, b -> pairs to verify.
 
     ``a`` and ``b`` are blocks of a subtree (the same: searched within itself). Pairs of one label are
-    left out; ``one_each`` keeps one pair for each set and label of its partners."""
+    left out; ``one_each`` keeps one pair for each set and label of its partners; ``alive`` gives only
+    the sets that are in a pair, each paired with itself."""
     def run(batches):
         for tab in whole_groups(batches, ["key", "a", "b"]):
             cut = bounds(tab, ["key", "a", "b"])
             node, label, side, size, excess = (tab.column(c).to_numpy() for c in ("node", "label", "side", "size", "excess"))
             words = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in tab.column("bits")])
+            found = []
             for p, q in zip(cut[:-1], cut[1:]):
                 lab, s = label[p:q], side[p:q]
-                if lab.min() == lab.max():
+                if q - p < 2 or lab.min() == lab.max():
                     continue
                 pairs = survivors(words[p:q], size[p:q], excess[p:q], np.flatnonzero(s == 0), np.flatnonzero(s == 1), t)
                 pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
-                if one_each and len(pairs):
+                if alive and len(pairs):
+                    pairs = np.repeat(np.unique(pairs)[:, None], 2, axis=1)
+                elif one_each and len(pairs):
                     _, at = np.unique(np.stack([pairs[:, 0], lab[pairs[:, 1]]]), axis=1, return_index=True)
                     pairs = pairs[at]
                 if len(pairs):
-                    yield _edges(np.sort(node[p + pairs], axis=1).tolist())
+                    found.append(np.sort(node[p + pairs], axis=1))
+            if found:
+                out = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["src", "dst"])
     return run
 
 
@@ -298,15 +345,6 @@ def _verify(t: tuple):
     return run
 
 
-def _signatures(batches):
-    for b in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("tokens")]
-        sig = [signature(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([e for _, e in sig], pa.int64()),
-             pa.array([w.tobytes() for w, _ in sig], pa.binary())], names=["node", "size", "excess", "bits"])
-
-
 def _pair(a, b, side: int):
     return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
 
@@ -314,7 +352,7 @@ def _pair(a, b, side: int):
 def _heads(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
     """Links within blocks of the subtrees of the sets' rarest shingles; the subtree's least node is
     in each of its blocks."""
-    rows = members.filter("head").select("key", "node").distinct()
+    rows = members.filter("head").select("key", "node")
     live = (rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
             .select("key", "first", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     to = (F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -327,7 +365,7 @@ def _heads(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
 def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
     """Pairs of blocks of every subtree that holds several components; the largest component's
     blocks come first and meet the others' blocks only."""
-    rows = stage.save(members.select("key", "node").distinct().join(labels, "node", "left")
+    rows = stage.save(members.select("key", "node").join(labels, "node", "left")
                       .select("key", "node", F.coalesce("comp", "node").alias("label")), "labels")
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     live = (sizes.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max_by("label", "n").alias("major"),
@@ -344,31 +382,48 @@ def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame
     return rows.select("key", "node", "label", F.inline(to))
 
 
-def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, t: tuple, one_each: bool, stage: Stage) -> DataFrame:
-    """Links between sets of different components that share a subtree."""
+def _block_tasks(members: DataFrame) -> DataFrame:
+    """Every block of every subtree by itself, each set with a label of its own."""
+    live = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return members.join(live, "key").select("key", "node", F.col("node").alias("label"), F.inline(F.array(_pair(mine, mine, 0))))
+
+
+def _pairs(tasks: DataFrame, sigs: DataFrame, search) -> DataFrame:
+    """Distinct (src, dst) that a signature search over tasks finds."""
     order = ["key", "a", "b"]
-    pairs = (_all_tasks(members, labels, stage).join(sets.mapInArrow(_signatures, "node long, size long, excess long, bits binary"), "node")
-             .select(*order, "side", "node", "label", "size", "excess", "bits")
-             .repartition(*order).sortWithinPartitions(*order)
-             .mapInArrow(_search_signatures(t, one_each), "src long, dst long").distinct())
-    pairs = stage.save(pairs, "pairs")
+    return (tasks.join(sigs, "node").select(*order, "side", "node", "label", "size", "excess", "bits")
+            .repartition(*order).sortWithinPartitions(*order).mapInArrow(search, "src long, dst long").distinct())
+
+
+def _alive(members: DataFrame, sigs: DataFrame, t: tuple, stage: Stage) -> DataFrame:
+    """(node) that keep a partner in some subtree: found within blocks, and the others across them."""
+    search = _search_signatures(t, False, alive=True)
+    near = stage.save(_pairs(_block_tasks(members), sigs, search), "alive").select(F.col("src").alias("node"))
+    # what is alive already needs no partner: one label for all of it
+    far = _pairs(_all_tasks(members, near.withColumn("comp", F.lit(0).cast("long")), stage), sigs, search)
+    return stage.save(near.union(far.select("src")).distinct(), "alive")
+
+
+def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, t: tuple, one_each: bool,
+           stage: Stage) -> DataFrame:
+    """Links between sets of different components that share a subtree."""
+    pairs = stage.save(_pairs(_all_tasks(members, labels, stage), sigs, _search_signatures(t, one_each)), "pairs")
     both = (pairs.join(sets.select(F.col("node").alias("src"), F.col("tokens").alias("x")), "src")
             .join(sets.select(F.col("node").alias("dst"), F.col("tokens").alias("y")), "dst").select("src", "dst", "x", "y"))
     return stage.save(both.mapInArrow(_verify(t), "src long, dst long"), "links")
 
 
-def _subtrees(postings: DataFrame) -> DataFrame:
-    """Keys of the subtrees that may hold a link: several members, one of them by its short
-    prefix; of subtrees with the same members, one (of those with a head, if there are any)."""
-    h = F.xxhash64("node")
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    stat = postings.groupBy("key").agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.try_sum(low).alias("s1"),
-        F.try_sum(high).alias("s2"), F.bool_or("short").alias("short"), F.count_if("head").alias("heads"))
-    # sums beyond 64 bits are null: such a subtree stays by itself
-    same = F.when(F.col("s1").isNull() | F.col("s2").isNull(), F.col("key"))
-    return (stat.filter("lo < hi and short").groupBy("lo", "hi", "n", "s1", "s2", same.alias("own"))
-            .agg(F.max_by("key", F.struct("heads", "key")).alias("key")).select("key"))
+def _subtrees(rows: DataFrame) -> DataFrame:
+    """Keys of the subtrees that may hold a link: one of several members has the key in its short
+    prefix; of subtrees with the same members, one (with a head, if there are any)."""
+    part = F.shiftrightunsigned(F.xxhash64("node"), 16)
+    stat = rows.groupBy("key").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.try_sum(part).alias("s"),
+        F.max("short").alias("short"), F.max("head").alias("head"))
+    same = F.when(F.col("s").isNull(), F.col("key"))           # a sum beyond 64 bits: a subtree by itself
+    return (stat.filter("short").groupBy("lo", "hi", "n", "s", same.alias("own"))
+            .agg(F.max_by("key", F.struct("head", "key")).alias("key")).select("key"))
 
 
 def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, threshold: tuple = THRESHOLD) -> DataFrame:
@@ -377,25 +432,27 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     ``node`` is the fingerprint of the document's set (0 without shingles), ``comp`` that of its component."""
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    both = stage.save(d.mapInArrow(
-        _nodes_and_counts(width), "doc_id long, text_hash long, node long, n_shingles long, piece int, counts binary"), "nodes")
+    both = stage.save(d.mapInArrow(_nodes_and_counts(width), NODE), "nodes")
     nodes = both.filter("piece is null").drop("piece", "counts")
     levels = sc.broadcast(shingle_levels(both.filter("piece is not null").select("piece", "counts")))
-    postings = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels),
-                                                      "key long, node long, head boolean, short boolean"), "postings")
-    subtrees = stage.save(_subtrees(postings), "subtrees")
-    members = stage.save(postings.join(subtrees, "key", "left_semi"), "members")
-    stage.drop(postings)
-    # one text per node of a subtree
-    one = (nodes.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"))
-           .join(members.select("node").distinct(), "node", "left_semi")
-           .select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash")))
-    text = d.join(stage.save(one, "wanted"), (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stage.save(text.select("text").mapInArrow(_set_rows(width), "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    shared = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels), "key long, node long, head boolean, short boolean")
+                        .repartition("key").sortWithinPartitions("key", "node")
+                        .mapInArrow(_shared, "key long, node long, head boolean, short boolean"), "shared")
+    members = stage.save(shared.join(stage.save(_subtrees(shared), "subtrees"), "key", "left_semi"), "members")
+    sigs = stage.save(nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.any_value("n_shingles").alias("size"), F.any_value("excess").alias("excess"), F.any_value("bits").alias("bits")), "signatures")
+    alive = _alive(members, sigs, threshold, stage)
+    members = stage.save(members.join(alive, "node", "left_semi").select("key", "node", "head"), "members")
+    # one text for each of these nodes
+    one = (nodes.join(alive, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"))
+           .select(F.xxhash64("o.doc_id", "o.text_hash").alias("_row")))
+    text = d.withColumn("_row", F.xxhash64("doc_id", "text_hash")).join(stage.save(one, "wanted"), "_row", "left_semi")
+    text = text.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))).filter("_no = 1")
+    sets = stage.save(text.select("text").mapInArrow(_set_rows(width), "node long, tokens binary"), "sets")
     found = stage.save(_heads(members, sets, threshold), "links")
     for one_each in (True, False):
-        found = found.union(_apart(members, components(found, stage), sets, threshold, one_each, stage))
-    comp = (nodes.join(components(found, stage), "node", "left")
+        found = found.union(_apart(members, components(found, stage), sigs, sets, threshold, one_each, stage))
+    comp = (nodes.drop("bits").join(components(found, stage), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     comp = stage.save(comp, "labelled")
     least = comp.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
