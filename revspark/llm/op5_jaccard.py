@@ -17,11 +17,11 @@ less than the least overlap a link needs. What remains is verified on the sets t
 
 First the trees only tell which sets have a partner left at all (within blocks, then the others across
 blocks): the texts of these alone are read again. Only components matter, so pairs that are connected
-already are skipped: first the subtrees of the sets' rarest shingles are searched within blocks, each
-with the subtree's least member, which merges groups of near copies without all their pairs; then all
-subtrees that still hold several components, once with one pair for each set and foreign component of
-a block, and once with all pairs that are still apart: nothing is lost. There the members of a
-subtree's largest component are in blocks of their own, which need not meet each other.
+already are skipped: first each set is searched in its largest subtree only, within blocks, each with
+the subtree's least member, which merges groups of near copies without all their pairs; then all
+subtrees that still hold several components are searched for all pairs that are apart: nothing is
+lost. There the members of a subtree's largest component are in blocks of their own, which need not
+meet each other.
 
 The order counts shingles over all documents in a hashed table of fixed size (``SKETCH`` counters;
 collisions only change the order, never the result); its logarithms, ``SKETCH`` bytes, are the one
@@ -51,7 +51,7 @@ THRESHOLD = (80, 100)          # as a fraction of integers
 SKETCH = 1 << 20               # counters of the shingle table
 CHUNK = 1 << 12                # counters per row of its pieces
 BLOCK = 256                    # members of a block of a subtree
-BITS = 2048                    # token bitmap
+BITS = 4096                    # token bitmap
 FAN_OUT = 8                    # children of a tree node
 
 
@@ -140,8 +140,8 @@ SEEN = 200_000             # nodes that a task remembers, so as not to list copi
 
 
 def _postings(width: int, t: tuple, levels):
-    """(key, node, head, short) for the prefix shingles of each set; head marks its rarest shingle,
-    short the part of the prefix that the smaller set of a link shares."""
+    """(key, node, short) for the prefix shingles of each set; short marks the part of the prefix that
+    the smaller set of a link shares."""
     def run(batches):
         level, seen = np.frombuffer(levels.value, np.uint8), set()
         for b in batches:
@@ -156,7 +156,7 @@ def _postings(width: int, t: tuple, levels):
                 short = rank < np.repeat([_short_prefix(len(s), t) for s in some.values()], n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(list(some), np.int64), n)),
-                     pa.array(rank == 0), pa.array(short)], names=["key", "node", "head", "short"])
+                     pa.array(short)], names=["key", "node", "short"])
     return run
 
 
@@ -304,12 +304,11 @@ def _search_sets(t: tuple):
     return run
 
 
-def _search_signatures(t: tuple, one_each: bool, alive: bool = False):
+def _search_signatures(t: tuple, alive: bool = False):
     """Rows (key, a, b, side, node, label, size, excess, bits) sorted by key, a, b -> pairs to verify.
 
     ``a`` and ``b`` are blocks of a subtree (the same: searched within itself). Pairs of one label are
-    left out; ``one_each`` keeps one pair for each set and label of its partners; ``alive`` gives only
-    the sets that are in a pair, each paired with itself."""
+    left out; ``alive`` gives only the sets that are in a pair, each paired with itself."""
     def run(batches):
         for tab in whole_groups(batches, ["key", "a", "b"]):
             cut = bounds(tab, ["key", "a", "b"])
@@ -324,9 +323,6 @@ def _search_signatures(t: tuple, one_each: bool, alive: bool = False):
                 pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
                 if alive and len(pairs):
                     pairs = np.repeat(np.unique(pairs)[:, None], 2, axis=1)
-                elif one_each and len(pairs):
-                    _, at = np.unique(np.stack([pairs[:, 0], lab[pairs[:, 1]]]), axis=1, return_index=True)
-                    pairs = pairs[at]
                 if len(pairs):
                     found.append(np.sort(node[p + pairs], axis=1))
             if found:
@@ -349,16 +345,16 @@ def _pair(a, b, side: int):
     return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
 
 
-def _heads(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
-    """Links within blocks of the subtrees of the sets' rarest shingles; the subtree's least node is
-    in each of its blocks."""
-    rows = members.filter("head").select("key", "node")
-    live = (rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-            .select("key", "first", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    to = (F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1))
-          .otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))))
-    tasks = rows.join(live, "key").select("key", "node", F.explode(to).alias("a"))
-    return (tasks.join(sets, "node").select("key", "a", "node", "tokens").repartition("key", "a")
+def _homes(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
+    """Links within blocks of each set's largest subtree; the subtree's least member is in each block."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    home = (members.join(sizes, "key").filter("n > 1").groupBy("node")
+            .agg(F.max(F.struct("n", "key", "first")).alias("h")).select("node", "h.key", "h.first"))
+    blocks = home.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.first("first").alias("first"))
+    mine = home.join(blocks.drop("first"), "key").filter("node <> first").select(
+        "key", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("a"))
+    pilot = blocks.select("key", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"))
+    return (mine.union(pilot).join(sets, "node").select("key", "a", "node", "tokens").repartition("key", "a")
             .sortWithinPartitions("key", "a").mapInArrow(_search_sets(t), "src long, dst long"))
 
 
@@ -398,17 +394,16 @@ def _pairs(tasks: DataFrame, sigs: DataFrame, search) -> DataFrame:
 
 def _alive(members: DataFrame, sigs: DataFrame, t: tuple, stage: Stage) -> DataFrame:
     """(node) that keep a partner in some subtree: found within blocks, and the others across them."""
-    search = _search_signatures(t, False, alive=True)
+    search = _search_signatures(t, alive=True)
     near = stage.save(_pairs(_block_tasks(members), sigs, search), "alive").select(F.col("src").alias("node"))
     # what is alive already needs no partner: one label for all of it
     far = _pairs(_all_tasks(members, near.withColumn("comp", F.lit(0).cast("long")), stage), sigs, search)
     return stage.save(near.union(far.select("src")).distinct(), "alive")
 
 
-def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, t: tuple, one_each: bool,
-           stage: Stage) -> DataFrame:
+def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
     """Links between sets of different components that share a subtree."""
-    pairs = stage.save(_pairs(_all_tasks(members, labels, stage), sigs, _search_signatures(t, one_each)), "pairs")
+    pairs = stage.save(_pairs(_all_tasks(members, labels, stage), sigs, _search_signatures(t)), "pairs")
     both = (pairs.join(sets.select(F.col("node").alias("src"), F.col("tokens").alias("x")), "src")
             .join(sets.select(F.col("node").alias("dst"), F.col("tokens").alias("y")), "dst").select("src", "dst", "x", "y"))
     return stage.save(both.mapInArrow(_verify(t), "src long, dst long"), "links")
@@ -416,14 +411,14 @@ def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFra
 
 def _subtrees(rows: DataFrame) -> DataFrame:
     """Keys of the subtrees that may hold a link: one of several members has the key in its short
-    prefix; of subtrees with the same members, one (with a head, if there are any)."""
+    prefix; of subtrees with the same members, one."""
     part = F.shiftrightunsigned(F.xxhash64("node"), 16)
     stat = rows.groupBy("key").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.try_sum(part).alias("s"),
-        F.max("short").alias("short"), F.max("head").alias("head"))
+        F.max("short").alias("short"))
     same = F.when(F.col("s").isNull(), F.col("key"))           # a sum beyond 64 bits: a subtree by itself
     return (stat.filter("short").groupBy("lo", "hi", "n", "s", same.alias("own"))
-            .agg(F.max_by("key", F.struct("head", "key")).alias("key")).select("key"))
+            .agg(F.min("key").alias("key")).select("key"))
 
 
 def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, threshold: tuple = THRESHOLD) -> DataFrame:
@@ -435,23 +430,22 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     both = stage.save(d.mapInArrow(_nodes_and_counts(width), NODE), "nodes")
     nodes = both.filter("piece is null").drop("piece", "counts")
     levels = sc.broadcast(shingle_levels(both.filter("piece is not null").select("piece", "counts")))
-    shared = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels), "key long, node long, head boolean, short boolean")
+    shared = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels), "key long, node long, short boolean")
                         .repartition("key").sortWithinPartitions("key", "node")
-                        .mapInArrow(_shared, "key long, node long, head boolean, short boolean"), "shared")
+                        .mapInArrow(_shared, "key long, node long, short boolean"), "shared")
     members = stage.save(shared.join(stage.save(_subtrees(shared), "subtrees"), "key", "left_semi"), "members")
     sigs = stage.save(nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.any_value("n_shingles").alias("size"), F.any_value("excess").alias("excess"), F.any_value("bits").alias("bits")), "signatures")
     alive = _alive(members, sigs, threshold, stage)
-    members = stage.save(members.join(alive, "node", "left_semi").select("key", "node", "head"), "members")
+    members = stage.save(members.join(alive, "node", "left_semi").select("key", "node"), "members")
     # one text for each of these nodes
     one = (nodes.join(alive, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"))
            .select(F.xxhash64("o.doc_id", "o.text_hash").alias("_row")))
     text = d.withColumn("_row", F.xxhash64("doc_id", "text_hash")).join(stage.save(one, "wanted"), "_row", "left_semi")
     text = text.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))).filter("_no = 1")
     sets = stage.save(text.select("text").mapInArrow(_set_rows(width), "node long, tokens binary"), "sets")
-    found = stage.save(_heads(members, sets, threshold), "links")
-    for one_each in (True, False):
-        found = found.union(_apart(members, components(found, stage), sigs, sets, threshold, one_each, stage))
+    found = stage.save(_homes(members, sets, threshold), "links")
+    found = found.union(_apart(members, components(found, stage), sigs, sets, threshold, stage))
     comp = (nodes.drop("bits").join(components(found, stage), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     comp = stage.save(comp, "labelled")
