@@ -3,7 +3,7 @@
 Every capture is written as three records: the request, the response (or a revisit of an equal
 payload) and a metadata record; request and metadata name the response in
 ``WARC-Concurrent-To``. Archives are written by Spark's text writer with the record terminator as
-line separator, so the commit protocol covers lost tasks, and read back as whole files of at most
+line separator (gzip), so the commit protocol covers lost tasks, and read back as whole files of at most
 ``RECORDS_PER_FILE`` records, cut by ``Content-Length`` alone: payloads may hold anything. The
 three kinds are then joined through their concurrent-to identifiers into one nested row.
 
@@ -15,6 +15,7 @@ apart: a record id holds the page_id and a number among the rows of that id.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,15 +31,25 @@ FIELDS = ("type string, record_id string, concurrent_to string, refers_to string
           "payload_digest string, payload_bytes long, payload string, content string")
 
 
-def plan_captures(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+def plan_captures(pages: DataFrame, stage: Stage, least: int = REVISIT_BYTES) -> DataFrame:
     """pages -> page_id, no, url, payload, sha1, n_bytes, first (the response's page_id for
-    revisits, else null)."""
+    revisits, else null); no tells rows apart that share a page_id.
+
+    Digests and ids that occur several times are small written tables, so payloads are only shuffled
+    where those are too large to broadcast, and for rows of repeated ids."""
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
-    same = (p.filter(F.col("n_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-            .filter("n > 1").drop("n"))
+    same = stage.save(p.filter(F.col("n_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+                      .filter("n > 1").drop("n"), "equal")
+    twice = stage.save(pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                       .select(F.col("page_id").alias("_id")), "repeated")
     first = F.when((F.col("last").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("first")
-    return p.join(same, "sha1", "left").select("page_id", "url", "payload", "sha1", "n_bytes", first)
+    p = p.join(same, "sha1", "left")
+    on = F.col("page_id").eqNullSafe(F.col("_id"))
+    # alike rows may swap numbers
+    no = F.row_number().over(Window.partitionBy("page_id").orderBy("sha1", "url"))
+    both = p.join(twice, on, "left_anti").withColumn("no", F.lit(1)).unionByName(p.join(twice, on, "left_semi").withColumn("no", no))
+    return both.select("page_id", "no", "url", "payload", "sha1", "n_bytes", first)
 
 
 def _urn(page_id, kind: str, no):
@@ -54,9 +65,6 @@ def _record(kind, headers: list, block):
 
 def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
     """captures (see ``plan_captures``) -> archives below ``path``, three records per capture."""
-    # rows that share a page_id are told apart by a number; alike rows may swap numbers
-    no = F.row_number().over(Window.partitionBy("page_id").orderBy("sha1", "url"))
-    c = captures.withColumn("no", no)
     pid, url = F.col("page_id"), F.regexp_replace("url", "[\r\n]+", " ")
     main = _urn(pid, "response", F.col("no"))
     common = [("WARC-Target-URI", url), ("WARC-Date", F.lit(date))]
@@ -77,8 +85,9 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.lit("metadata"), [("WARC-Record-ID", _urn(pid, "metadata", F.col("no"))), ("WARC-Concurrent-To", main), *common,
                             ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), F.coalesce(pid.cast("string"), F.lit("null")), F.lit("\r\n")))
-    (c.select(F.explode(F.array(request, response, metadata)).alias("value"))
-     .write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    (captures.select(F.explode(F.array(request, response, metadata)).alias("value"))
+     .write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .option("compression", "gzip").text(path))
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -108,7 +117,8 @@ def _parser(schema: pa.Schema, with_payload: bool):
         for batch in batches:
             for file in batch.column("content"):
                 rows = []
-                for f, content in records(file.as_buffer().to_pybytes()):
+                data = file.as_buffer()
+                for f, content in records(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data.to_pybytes()):
                     kind, payload = f["warc-type"], None
                     if kind == "response":
                         payload = content[content.index(b"\r\n\r\n") + 4:]
@@ -158,10 +168,10 @@ def assemble(recs: DataFrame) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "op9")
     path = stage.path("warc")
-    write_warc(plan_captures(table(spark, sf_dir, "pages")), path)
+    write_warc(plan_captures(table(spark, sf_dir, "pages"), stage), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d+):", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
-    r = assemble(read_warc(spark, path, with_payload=False))
+    r = assemble(stage.save(read_warc(spark, path, with_payload=False), "records"))
     return r.select(
         F.regexp_extract("metadata.content", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
