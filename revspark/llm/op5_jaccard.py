@@ -263,6 +263,8 @@ def _children(pairs: np.ndarray, na: int, nb: int, down_a: bool, down_b: bool) -
 def survivors(words: np.ndarray, size: np.ndarray, excess: np.ndarray, left: np.ndarray, right: np.ndarray,
               t: tuple) -> np.ndarray:
     """Pairs (i, j) from ``left`` x ``right`` (within ``left`` if ``right`` is empty) that the trees keep."""
+    if not len(left):
+        return np.zeros((0, 2), np.int64)
     left = left[np.argsort(size[left], kind="stable")]
     a = b = Tree(words[left], size[left], excess[left])
     if len(right):
