@@ -100,10 +100,11 @@ def landing_rows(raw: DataFrame, as_of, cutoff=None,
 
 # --- upsert -----------------------------------------------------------------------------
 def typed_batch(landing: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Landing strings -> table types for the upsert (bad numbers become NULL)."""
+    """Landing strings -> table types for the upsert. A rating that is no number becomes NULL; an id
+    that doesn't fit ``id_type`` raises, as rows without their id would be lost to every later upsert."""
     return landing.select(
-        F.col("review_id").try_cast(id_type).alias("review_id"),
-        F.col("product_id").try_cast(id_type).alias("product_id"),
+        F.col("review_id").cast(id_type).alias("review_id"),
+        F.col("product_id").cast(id_type).alias("product_id"),
         F.col("rating").try_cast("double").alias("rating"),
         "review_text", "review_size")
 

@@ -124,16 +124,3 @@ def model_scorer(load_model: Callable[[], Callable[[list[str]], list[list[float]
                 out.extend(predict(texts[i:i + batch_rows]))
             yield pd.Series([list(map(float, r)) for r in out])
     return lambda c: score(c)
-
-
-def onnx_scorer(model_path: str, tokenize: Callable[[list[str]], dict], output: int = 0) -> Scorer:
-    """A ``model_scorer`` over an ONNX classifier (onnxruntime, CPU). ``tokenize``
-    maps sentences to the model's input dict of numpy arrays."""
-    def load():
-        try:
-            import onnxruntime as ort
-        except ImportError as e:  # pragma: no cover - optional dependency
-            raise RuntimeError("onnxruntime is not installed on the executors") from e
-        sess = ort.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-        return lambda texts: sess.run(None, tokenize(texts))[output].tolist()
-    return model_scorer(load)

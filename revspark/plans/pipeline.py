@@ -2,10 +2,9 @@
 (+ load metrics) -> label the day's reviews -> daily and cumulative analysis.
 
 One Spark application, one logical plan per step. Tables live as Parquet below
-caller-given paths. Each step that replaces a table it has just read first writes
-the new version as a staging table in the shared ``spark.checkpoint.dir``, so the
-overwrite never reads the files it deletes and a lost executor recomputes from
-the staged files. Re-running a day is idempotent: the upsert is
+caller-given paths. Each step that replaces a table it has just read writes the new version beside it and
+swaps them (``io.replace_table``); only a missing table counts as not created yet, an unreadable
+one raises. Re-running a day is idempotent: the upsert is
 keyed and the day's analysis partition is overwritten dynamically.
 """
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import labels as L
-from ..session import scratch_path
 from ..sources import io
 
 
@@ -32,41 +30,23 @@ class PipelineConfig:
     reviews_path: str               # the reviews table (Parquet)
     daily_path: str                 # daily analysis, partitioned by review_date
     analysis_path: str              # cumulative analysis
-    id_type: str = "bigint"
+    id_type: str = "bigint"         # ids of the stored tables; "string" where they are not numbers
     keep: str = T.HANGUL            # kept character class of the cleaner
     window: int = 12                # tokens per sentence window
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # table not created yet
-        return None
-
-
-def _replace(df: DataFrame, path: str) -> DataFrame:
-    """Replace the table at ``path`` with ``df`` (which may read ``path``): the new
-    version is computed once into a staging table in the shared checkpoint folder,
-    then copied over the target, so the overwrite never reads the files it deletes
-    and a lost executor recomputes from the staged files."""
-    spark = df.sparkSession
-    staged = scratch_path(spark, "stage")
-    df.write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def load_batch(spark: SparkSession, landing: DataFrame, cfg: PipelineConfig, as_of) -> tuple[DataFrame, DataFrame]:
     """Upsert one landing batch into reviews; returns (metrics, reviews)."""
-    batch = I.typed_batch(I.dedup_any(landing), cfg.id_type)
-    old = _read_or_none(spark, cfg.reviews_path)
+    # staged once: the metrics and the upsert must see the same survivors
+    batch = io.stage(I.typed_batch(I.dedup_any(landing), cfg.id_type), "batch")
+    old = io.read_if_exists(spark, cfg.reviews_path)
     if old is None:
         old = spark.createDataFrame([], batch.withColumn("review_date", F.lit(None).cast("date"))
                                     .select(*I.REVIEW_COLS).schema)
     # One row, taken before the table it describes is replaced.
     m = I.upsert_metrics(old, batch)
     metrics = spark.createDataFrame(m.collect(), m.schema)
-    reviews = _replace(I.upsert_reviews(old, batch, as_of), cfg.reviews_path)
+    reviews = io.replace_table(I.upsert_reviews(old, batch, as_of), cfg.reviews_path)
     return metrics, reviews
 
 
@@ -75,10 +55,10 @@ def label_day(spark: SparkSession, reviews: DataFrame, cfg: PipelineConfig, as_o
     (key review_id, sentence) and upsert the cumulative table (review_id, category)."""
     rows = L.analysis_rows(L.incremental_slice(reviews, as_of), keep=cfg.keep, window=cfg.window)
     daily = L.upsert_analysis(None, rows, ["review_id", "sentence"], "seq")
-    io.write_day_partitions(daily, cfg.daily_path)
-    old = _read_or_none(spark, cfg.analysis_path)
+    io.write_day_partitions(daily, cfg.daily_path, day=as_of)
+    old = io.read_if_exists(spark, cfg.analysis_path)
     cumulative = L.upsert_analysis(old, rows, ["review_id", "category"], "seq")
-    return _replace(cumulative, cfg.analysis_path)
+    return io.replace_table(cumulative, cfg.analysis_path)
 
 
 def run_pipeline(spark: SparkSession, cfg: PipelineConfig, as_of, landing: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,9 @@
 accumulation, per-day analysis partitions, CSV exchange and JSON projection.
 
 Connection details are always caller-supplied options; nothing here names a host.
-Writes that replace data read in the same job first cut the lineage by writing
-the new version as a staging table in the shared ``spark.checkpoint.dir``, so the
-overwrite never reads the files it is deleting, and a lost executor recomputes
-from the staged files instead of from the overwritten source.
+Writes that replace data read in the same job write the new version beside the old one and
+swap them by renaming (``replace_table``), so no job reads files that it deletes, and a driver
+lost at any moment leaves a whole table.
 """
 from __future__ import annotations
 
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, StringType, StructField,
                                StructType)
 
-from ..session import scratch_path
-
 # --- schemas -------------------------------------------------------------------------------
 LANDING_SCHEMA = StructType([StructField(c, StringType()) for c in
                              ("review_id", "product_id", "rating", "review_text", "review_date", "review_size")])
@@ -59,6 +56,47 @@ def write_staging(df: DataFrame, fmt: str, path: str | None = None, **options) -
     w.save(path) if path else w.save()
 
 
+# --- tables that are replaced --------------------------------------------------------------
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a folder at ``path`` (errors of the file system are raised)."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``; None only if nothing is there. An unreadable table raises.
+    A replacement that was cut short between its two renames is undone first."""
+    path = path.rstrip("/")
+    if not table_exists(spark, path) and table_exists(spark, f"{path}.previous"):
+        _rename(spark, f"{path}.previous", path)
+    return spark.read.parquet(path) if table_exists(spark, path) else None
+
+
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """Replace the table at ``path`` by ``df``, which may read it: the new version is written beside it
+    and takes its place by renaming; the old one goes last, so a copy exists at all times."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    fs, old = _fs(spark, f"{path}.previous")
+    if table_exists(spark, path):
+        fs.delete(old, True)
+        _rename(spark, path, f"{path}.previous")
+    _rename(spark, f"{path}.next", path)
+    fs.delete(old, True)
+    return spark.read.parquet(path)
+
+
+def _rename(spark: SparkSession, a: str, b: str) -> None:
+    fs, p = _fs(spark, a)
+    if not fs.rename(p, _fs(spark, b)[1]):
+        raise OSError(f"cannot rename {a} to {b}")
+
+
 # --- A4 / A5: the day's landing file ---------------------------------------------------------
 def accumulate(existing: DataFrame | None, new: DataFrame, order: str, key: str = "review_id") -> DataFrame:
     """existing ∪ new, keeping the last row per key in ``order`` (new rows come after
@@ -70,20 +108,13 @@ def accumulate(existing: DataFrame | None, new: DataFrame, order: str, key: str
 
 def save_day(spark: SparkSession, new: DataFrame, path: str, order: str,
              key: str = "review_id", schema: StructType | None = None) -> DataFrame:
-    """Accumulate a batch into a day's Parquet folder. Existing rows are read,
-    merged (keep last), staged in the checkpoint folder (lineage cut) and only then is the folder
-    overwritten. An empty batch still writes a typed empty file."""
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # first batch of the day: no folder yet
-        existing = None
+    """Accumulate a batch into a day's Parquet folder: existing rows and the batch are merged (keep
+    last) into a new version that replaces the folder. An empty batch still writes a typed empty file."""
+    existing = read_if_exists(spark, path)
     if schema is not None and new.isEmpty():
         new = spark.createDataFrame([], schema)
     merged = accumulate(existing, new, order, key)
-    staged = scratch_path(spark, "stage")
-    merged.write.parquet(staged)                 # computed once, lineage cut
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return replace_table(merged, path)
 
 
 def empty_typed(spark: SparkSession, schema: StructType) -> DataFrame:
@@ -91,20 +122,22 @@ def empty_typed(spark: SparkSession, schema: StructType) -> DataFrame:
 
 
 # --- A6: per-day analysis partitions -----------------------------------------------------------
-def write_day_partitions(df: DataFrame, path: str, part: str = "review_date") -> None:
+def write_day_partitions(df: DataFrame, path: str, part: str = "review_date", day=None) -> None:
     """Overwrite only the days present in ``df`` (dynamic partition overwrite), so a
-    re-run of a day is idempotent and other days are untouched."""
+    re-run of a day is idempotent and other days are untouched. With ``day``, that day's old rows
+    go even if ``df`` has none for it."""
+    if day is not None:
+        fs, folder = _fs(df.sparkSession, f"{path.rstrip('/')}/{part}={day}")
+        if fs.exists(folder) and df.where(F.col(part) == F.lit(day).cast("date")).isEmpty():
+            fs.delete(folder, True)
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
 
 
 def day_exists(spark: SparkSession, path: str, day, part: str = "review_date") -> bool:
     """Does the day's partition hold a row (a pruned scan that stops at one row)."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:
-        return False
-    return not df.where(F.col(part) == F.lit(day).cast("date")).limit(1).isEmpty()
+    df = read_if_exists(spark, path)
+    return df is not None and not df.where(F.col(part) == F.lit(day).cast("date")).limit(1).isEmpty()
 
 
 # --- A8: CSV exchange --------------------------------------------------------------------------

@@ -30,6 +30,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
 from ..functions import constants as K
 from ..operators import alerts as A
 from ..session import scratch_path
+from ..sources import io
 
 EVENT_SCHEMA = StructType([
     StructField("event_time", TimestampType()), StructField("event_id", LongType()),
@@ -137,6 +138,18 @@ def alert_sink(products: DataFrame, path: str):
     return write
 
 
+def _before(spark, base: str, batch_id: int) -> DataFrame | None:
+    """The snapshot of the last batch before ``batch_id``: what a replay of that batch must start
+    from, whatever the lost run has written."""
+    if not io.table_exists(spark, base):
+        return None
+    fs, p = io._fs(spark, base)
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    done = [int(n[2:]) for n in names if n.startswith("v=") and io.table_exists(spark, f"{base}/{n}/_SUCCESS")]
+    last = max((v for v in done if v < batch_id), default=None)
+    return None if last is None else spark.read.parquet(f"{base}/v={last}")
+
+
 def recent_list_sink(path: str, cap: int = K.RECENT_LIST_CAP):
     """I7 live: merge each micro-batch of negatives into the <= ``cap``-row list.
     Every batch writes a new snapshot folder (never the files it reads)."""
@@ -145,11 +158,9 @@ def recent_list_sink(path: str, cap: int = K.RECENT_LIST_CAP):
         base = path.rstrip("/")
         cur = df.where(F.col("sentiment") == 0).select(
             "review_id", "category", "sentence", "event_time", "event_id")
-        try:
-            prev = spark.read.parquet(f"{base}/latest").drop("pos")
-            cur = prev.unionByName(cur)
-        except Exception:  # first batch: no snapshot yet
-            pass
+        prev = _before(spark, base, batch_id)
+        if prev is not None:
+            cur = prev.drop("pos").unionByName(cur)
         snap = A.recent_negatives(cur, "event_time", cap)
         snap.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
         spark.read.parquet(f"{base}/v={batch_id}").write.mode("overwrite").parquet(f"{base}/latest")
@@ -166,9 +177,8 @@ def seen_ids_sink(path: str, inner, cap: int = K.SEEN_IDS_CAP, order: str = "eve
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         base = path.rstrip("/")
-        try:
-            snap = spark.read.parquet(f"{base}/latest")
-        except Exception:  # first batch: empty list
+        snap = _before(spark, base, batch_id)
+        if snap is None:               # first batch: empty list
             snap = spark.createDataFrame([], "review_id string, pos long")
         fresh = df.join(F.broadcast(snap.select("review_id")), "review_id", "left_anti")
         inner(fresh, batch_id)
@@ -189,9 +199,9 @@ def seen_ids_sink(path: str, inner, cap: int = K.SEEN_IDS_CAP, order: str = "eve
 
 
 def run_available_now(df: DataFrame, sink, checkpoint: str | None = None, name: str = "alerts",
-                      timeout_s: int = 600) -> str:
+                      timeout_s: int | None = None) -> str:
     """Drain everything currently in the source (``availableNow``) through the
-    foreachBatch sink; returns the checkpoint location."""
+    foreachBatch sink; returns the checkpoint location. A time limit only where one is given."""
     spark = df.sparkSession
     ck = checkpoint or scratch_path(spark, f"{name}-ckpt")
     q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ck)

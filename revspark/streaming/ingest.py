@@ -18,10 +18,12 @@ def ingest_stream(spark: SparkSession, cfg: PipelineConfig, as_of, max_files: in
 
 
 def pipeline_sink(cfg: PipelineConfig, as_of, metrics_path: str | None = None):
+    """``as_of`` is a date, or a function of the batch id that gives each batch's own date (a replay of
+    a batch must get the same one)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():        # e.g. the closing batch of availableNow
             return
-        m = run_pipeline(batch.sparkSession, cfg, as_of, landing=batch)
+        m = run_pipeline(batch.sparkSession, cfg, as_of(batch_id) if callable(as_of) else as_of, landing=batch)
         if metrics_path:
             m.write.mode("overwrite").parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}")
     return run

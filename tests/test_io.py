@@ -2,6 +2,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -130,3 +131,34 @@ def test_ingest_stream_runs_pipeline(spark):
     assert sorted(r.review_id for r in spark.read.parquet(cfg.reviews_path).collect()) == [1, 2]
     assert spark.read.parquet(cfg.analysis_path).count() == 2
     assert spark.read.parquet(metrics).agg(F.sum("inserted")).first()[0] == 2
+
+
+def test_replace_table_keeps_a_copy(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert io.read_if_exists(spark, path) is None
+    io.replace_table(spark.range(3).toDF("id"), path)
+    io.replace_table(spark.read.parquet(path).union(spark.range(3, 5).toDF("id")), path)      # reads what it replaces
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "t").rename(tmp_path / "t.previous")                    # a driver lost between the renames
+    assert io.read_if_exists(spark, path).count() == 5
+    for f in (tmp_path / "t").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        io.read_if_exists(spark, path).count()
+
+
+def test_string_ids_survive_a_rerun(spark, tmp_path):
+    base = str(tmp_path)
+    cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis", id_type="string", keep=T.LATIN_TEST_CLASS)
+    _landing(spark, [("r-a1", "p-1", "5", "good design", "2025-03-17", "260"),
+                     ("r-b2", "p-2", "2", "bad size", "2025-03-17", "M")]).write.parquet(f"{cfg.landing_path}/dt=20250317")
+    for _ in range(2):
+        run_pipeline(spark, cfg, "2025-03-17")
+    assert sorted(r.review_id for r in spark.read.parquet(cfg.reviews_path).collect()) == ["r-a1", "r-b2"]
+
+
+def test_empty_day_resets_its_partition(spark, tmp_path):
+    df = spark.sql("select 'x' a, date'2025-03-17' review_date union all select 'y', date'2025-03-18'")
+    io.write_day_partitions(df, str(tmp_path))
+    io.write_day_partitions(df.limit(0), str(tmp_path), day="2025-03-17")
+    assert not io.day_exists(spark, str(tmp_path), "2025-03-17") and io.day_exists(spark, str(tmp_path), "2025-03-18")

@@ -82,3 +82,14 @@ def test_seen_ids_exact_list(spark):
     assert b1 == [1100, 1149]
     lst = spark.read.parquet(f"{ids}/latest")
     assert lst.count() == 100
+
+
+def test_seen_ids_replay_delivers_the_batch_again(spark, tmp_path):
+    got = {}
+    sink = S.seen_ids_sink(str(tmp_path / "ids"), lambda df, b: got.__setitem__(b, sorted(r.review_id for r in df.collect())))
+    row = lambda i: spark.sql(f"select '{i}' review_id, timestamp'2025-01-01 00:00:00' event_time, {i} event_id")
+    sink(row(1), 0)
+    sink(row(1), 0)                     # lost after its snapshot, before its commit
+    assert got[0] == ["1"]
+    sink(row(1).union(row(2)), 1)
+    assert got[1] == ["2"]
