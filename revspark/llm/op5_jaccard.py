@@ -436,6 +436,7 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
                         .repartition("key").sortWithinPartitions("key", "node")
                         .mapInArrow(_shared, "key long, node long, short boolean"), "shared")
     members = stage.save(shared.join(stage.save(_subtrees(shared), "subtrees"), "key", "left_semi"), "members")
+    stage.drop(shared)
     sigs = stage.save(nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.any_value("n_shingles").alias("size"), F.any_value("excess").alias("excess"), F.any_value("bits").alias("bits")), "signatures")
     alive = _alive(members, sigs, threshold, stage)
