@@ -91,7 +91,6 @@ class Caps:
                 high = self.threshold
         self.threshold = high
 
-
     def _count(self, x: np.ndarray) -> int:
         """Number of filters above the threshold; stops once it is well over the aim."""
         n = 0
@@ -105,7 +104,12 @@ class Caps:
 
 
 def _unit(col: pa.Array, dim: int) -> np.ndarray:
-    x = col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    return _scaled(col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; by their greatest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -214,8 +218,7 @@ def cap_links(vectors: DataFrame, stage: Stage, threshold: float = THRESHOLD) ->
     for r in nodes.groupBy("dim").count().collect():             # one row per vector length
         caps[r.dim] = Caps(r.dim, r["count"])
         sample = nodes.filter(F.col("dim") == r.dim).orderBy("node").limit(FIT_ROWS).select("embedding").collect()
-        x = np.array([s.embedding for s in sample], float)
-        caps[r.dim].fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+        caps[r.dim].fit(_scaled(np.array([s.embedding for s in sample], float)))
     handle = sc.broadcast(caps)
     hits = stage.save(nodes.select("node", "dim", "embedding").mapInArrow(_decode(handle), "filter long, node long, dim int"), "filters")
     live = (hits.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -25,10 +25,7 @@ meet each other.
 
 The order counts shingles over all documents in a hashed table of fixed size (``SKETCH`` counters;
 collisions only change the order, never the result); its logarithms, ``SKETCH`` bytes, are the one
-thing that is broadcast. First only the rarest shingle of each set is searched, each block together
-with the subtree's smallest member, so that groups of near copies merge without all their pairs;
-then all prefixes, among components still apart, without any loss: there the members of a
-subtree's largest component are in blocks of their own, which need not meet each other.
+thing that is broadcast.
 
 Cases: null, empty or blank texts have an empty set and link with nothing; texts with fewer words
 than a shingle are one shingle; repeated rows and equal texts with several ids are one component;

@@ -70,6 +70,14 @@ def test_caps_against_brute_force(spark, stage):
     assert cap_links(d.limit(0), stage).count() == 0
 
 
+def test_cap_links_of_any_length(spark, stage):
+    from revspark.llm.op1_caps import cap_links
+    x = np.random.default_rng(8).standard_normal(16)
+    rows = [(i, (x * f).tolist()) for i, f in enumerate([1.0, 1e200, 1e-200, 5e300])] + [(9, (-x).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cap_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), stage).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 9: (0, 9)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home with-sidebar"><header><h2>Site</h2></header>
 <nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies, all of them, always.</div>
 <div id="content"><h1>Head &amp; line</h1><p>First  <b>bold</b>
