@@ -47,20 +47,11 @@ def grade(score) -> Column:
     return F.when(s < 60, K.GRADE_LOW).when(s < 80, K.GRADE_MID).otherwise(K.GRADE_HIGH)
 
 
-def half_even(c, d: int) -> Column:
-    """Round half-to-even at ``d`` decimals (what Python's round gives on these values)."""
-    return F.bround(col(c), d)
-
-
 def ymd(c) -> Column:
     """Dates leave the engine as ``yyyy-MM-dd`` text."""
     return F.date_format(col(c), "yyyy-MM-dd")
 
 
-def ymd_hms(c) -> Column:
-    return F.date_format(col(c), "yyyy-MM-dd HH:mm:ss")
-
-
 def largest_number_string(arr) -> Column:
     """Among digit strings, the one with the largest value; first one wins ties."""
     a = col(arr)
@@ -73,7 +64,3 @@ def largest_number_string(arr) -> Column:
 def nonempty(c) -> Column:
     """'' -> NULL (regexp_extract yields '' on no match)."""
     return F.nullif(col(c), F.lit(""))
-
-
-def in_list(c, values: Sequence) -> Column:
-    return col(c).isin(list(values))

@@ -14,6 +14,7 @@ WS = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 HANGUL = "가-힣"
 LATIN_TEST_CLASS = r"\p{L}\p{N}"
+# fixed value: runs of laughing and crying letters
 LAUGH_RUNS = "ㅋ{2,}|ㅎ{2,}|ㅠ{2,}|ㅜ{2,}"
 
 
@@ -48,7 +49,7 @@ def _drop_tokens(t: Column, stopwords: Sequence[str]) -> Column:
     return F.trim(F.regexp_replace(t, f"[{WS}]+", " "))
 
 
-def clean_text(text, keep: str = HANGUL, stopwords: Sequence[str] = K.DEFAULT_STOPWORDS) -> Column:
+def clean_text(text, *, stopwords: Sequence[str], keep: str = HANGUL) -> Column:
     """Drop laugh/cry runs, every char outside ``keep`` and whitespace, stopword
     tokens; collapse whitespace. NULL text becomes the string 'None' first."""
     t = F.coalesce(col(text).cast("string"), F.lit("None"))
@@ -57,7 +58,7 @@ def clean_text(text, keep: str = HANGUL, stopwords: Sequence[str] = K.DEFAULT_ST
     return _drop_tokens(t, stopwords)
 
 
-def remove_stopwords(text, stopwords: Sequence[str] = K.DEFAULT_STOPWORDS) -> Column:
+def remove_stopwords(text, stopwords: Sequence[str]) -> Column:
     return _drop_tokens(col(text), stopwords)
 
 
@@ -113,7 +114,7 @@ def argmax(values) -> Column:
 
 # --- a tiny lexicon scorer (ours): logits from keyword hits ---------------------------
 # Used as the default, SQL-checkable scorer on the multilingual test prose; real
-# deployments inject a model scorer (see operators.text.model_scorer).
+# deployments inject a model scorer (see operators.labels.model_scorer).
 TOPIC_LEXICON = {
     "가성비": ("price", "prix", "preis", "precio", "cheap", "value"),
     "내구성 및 품질": ("quality", "qualité", "durable", "the"),
@@ -126,15 +127,6 @@ POSITIVE_WORDS = ("good", "great", "bon", "gut", "bueno", "with", "et", "und", "
 NEGATIVE_WORDS = ("bad", "poor", "mauvais", "schlecht", "malo", "not", "is", "que", "el")
 
 
-def lexicon_hits(text, words: Sequence[str]) -> Column:
-    """Tokens of ``text`` (case-insensitive) that are in ``words``: one native regex
-    scan counting whole-token matches."""
-    pat = token_pattern([w.lower() for w in words])
-    if pat is None:
-        return F.lit(0)
-    return F.size(F.regexp_extract_all(F.lower(col(text)), F.lit(pat), 0))
-
-
 def lexicon_logits(text, groups: Sequence[Sequence[str]], base: Sequence[float]) -> Column:
     """``base[i]`` + number of tokens of ``text`` found in ``groups[i]``, as one
     array. One regex scan extracts every lexicon token; a single ``aggregate`` over

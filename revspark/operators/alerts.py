@@ -79,6 +79,11 @@ def delete_first_match(listing: DataFrame, requests: DataFrame, pos: str = "pos"
     return out.where(~(F.coalesce(F.col("_del"), F.lit(False)) & (F.col("_k") == 1))).drop("_k", "_del")
 
 
+def delete_misses(listing: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requested review_ids that the list doesn't hold: the not-found answers of a deletion."""
+    return requests.select("review_id").distinct().join(listing.select("review_id"), "review_id", "left_anti")
+
+
 def parse_json_lenient(df: DataFrame, text: str, schema: StructType) -> DataFrame:
     """Parse stored JSON; text not starting with '{' gets its single quotes turned
     into double quotes first; what still does not parse (strict JSON: no single

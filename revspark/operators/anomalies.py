@@ -31,10 +31,6 @@ def _period(df: DataFrame, period: str) -> tuple[DataFrame, str]:
     raise ValueError(period)
 
 
-def on_day(df: DataFrame, day) -> DataFrame:
-    return df.where(F.col(DAY) == as_date(day))
-
-
 def in_week_of(df: DataFrame, day) -> DataFrame:
     """Monday..Sunday of ``day``'s week: a range filter the scan can prune on."""
     mon = F.to_date(F.date_trunc("week", as_date(day)))

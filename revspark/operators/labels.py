@@ -30,8 +30,8 @@ def incremental_slice(reviews: DataFrame, as_of) -> DataFrame:
     return reviews.where(F.col("review_date") == as_date(as_of))
 
 
-def sentences(df: DataFrame, text_col: str = "review_text", keep: str = T.HANGUL,
-              stopwords: Sequence[str] = K.DEFAULT_STOPWORDS, window: int = 12,
+def sentences(df: DataFrame, text_col: str = "review_text", *, stopwords: Sequence[str],
+              keep: str = T.HANGUL, window: int = 12,
               splitter: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per sentence of the cleaned text (``pos`` = 0-based sentence number).
     Cleaning removes punctuation, so the default splitter cuts fixed windows of
@@ -58,15 +58,17 @@ def label_sentences(df: DataFrame, topic_scorer: Scorer = T.lexicon_topic_logits
                      T.argmax("_sp").alias("sentiment"))
 
 
-def analysis_rows(reviews: DataFrame, text_col: str = "review_text", keep: str = T.HANGUL,
-                  stopwords: Sequence[str] = K.DEFAULT_STOPWORDS, window: int = 12,
+def analysis_rows(reviews: DataFrame, text_col: str = "review_text", *, stopwords: Sequence[str],
+                  keep: str = T.HANGUL, window: int = 12,
+                  splitter: Callable[[Column], Column] | None = None,
                   topic_scorer: Scorer = T.lexicon_topic_logits,
-                  sentiment_scorer: Scorer = T.lexicon_sentiment_logits) -> DataFrame:
+                  sentiment_scorer: Scorer = T.lexicon_sentiment_logits,
+                  labels: Sequence[str] = K.CLASSIFIER_TOPICS, threshold: float = 0.5) -> DataFrame:
     """Reviews -> flat analysis rows (sentence cut to 255 chars), with ``seq`` as
     the emission order within a review for the order-dependent upsert."""
     s = sentences(reviews.select("review_id", "product_id", text_col, "rating", "review_date"),
-                  text_col, keep, stopwords, window)
-    lab = label_sentences(s, topic_scorer, sentiment_scorer)
+                  text_col, stopwords=stopwords, keep=keep, window=window, splitter=splitter)
+    lab = label_sentences(s, topic_scorer, sentiment_scorer, labels, threshold)
     return lab.select("review_id", "product_id", T.truncate255("sentence").alias("sentence"), "category",
                       "sentiment", "rating", "review_date", F.col("pos").alias("seq"))
 

@@ -9,11 +9,13 @@ keyed and the day's analysis partition is overwritten dynamically.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import labels as L
@@ -30,9 +32,15 @@ class PipelineConfig:
     reviews_path: str               # the reviews table (Parquet)
     daily_path: str                 # daily analysis, partitioned by review_date
     analysis_path: str              # cumulative analysis
+    stopwords: Sequence[str]        # tokens that the cleaner drops
     id_type: str = "bigint"         # ids of the stored tables; "string" where they are not numbers
     keep: str = T.HANGUL            # kept character class of the cleaner
     window: int = 12                # tokens per sentence window
+    splitter: Callable[[Column], Column] | None = None       # cleaned text -> sentences, instead of windows
+    topic_scorer: L.Scorer = T.lexicon_topic_logits
+    sentiment_scorer: L.Scorer = T.lexicon_sentiment_logits
+    labels: Sequence[str] = K.CLASSIFIER_TOPICS              # in the order of the topic scorer's logits
+    threshold: float = 0.5
 
 
 def load_batch(spark: SparkSession, landing: DataFrame, cfg: PipelineConfig, as_of) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +61,9 @@ def load_batch(spark: SparkSession, landing: DataFrame, cfg: PipelineConfig, as_
 def label_day(spark: SparkSession, reviews: DataFrame, cfg: PipelineConfig, as_of) -> DataFrame:
     """Label the reviews stored on ``as_of``; write the day's analysis partition
     (key review_id, sentence) and upsert the cumulative table (review_id, category)."""
-    rows = L.analysis_rows(L.incremental_slice(reviews, as_of), keep=cfg.keep, window=cfg.window)
+    rows = L.analysis_rows(L.incremental_slice(reviews, as_of), stopwords=cfg.stopwords, keep=cfg.keep, window=cfg.window,
+                           splitter=cfg.splitter, topic_scorer=cfg.topic_scorer, sentiment_scorer=cfg.sentiment_scorer,
+                           labels=cfg.labels, threshold=cfg.threshold)
     daily = L.upsert_analysis(None, rows, ["review_id", "sentence"], "seq")
     io.write_day_partitions(daily, cfg.daily_path, day=as_of)
     old = io.read_if_exists(spark, cfg.analysis_path)

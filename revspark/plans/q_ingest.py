@@ -181,7 +181,8 @@ def q_pipeline_day(spark, sf):
     fx = fixture(spark, sf)
     base = scratch_path(spark, "pipeline")
     cfg = PipelineConfig(landing_path=f"{base}/landing", reviews_path=f"{base}/reviews",
-                         daily_path=f"{base}/daily", analysis_path=f"{base}/analysis", id_type="bigint", keep=T.LATIN_TEST_CLASS)
+                         daily_path=f"{base}/daily", analysis_path=f"{base}/analysis", id_type="bigint", keep=T.LATIN_TEST_CLASS,
+                         stopwords=())
     day = AS_OF.replace("-", "")
     I.landing_rows(fx.landing, AS_OF, AS_OF).write.parquet(f"{cfg.landing_path}/dt={day}")
     _old(fx).write.parquet(cfg.reviews_path)

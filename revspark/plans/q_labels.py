@@ -28,7 +28,7 @@ def toks_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[{WS}]+'), lambda w: w <> '')"
 
 
-def clean_sql(x: str, stop=K.DEFAULT_STOPWORDS) -> str:
+def clean_sql(x: str, stop) -> str:
     t = f"regexp_replace(coalesce(CAST({x} AS VARCHAR), 'None'), '{T.LAUGH_RUNS}', '', 'g')"
     t = f"regexp_replace({t}, '[^{T.LATIN_TEST_CLASS}{WS}]', '', 'g')"
     return f"array_to_string(list_filter({toks_sql(t)}, lambda w: NOT list_contains({_list(sorted(set(stop)))}, w)), ' ')"
@@ -62,7 +62,7 @@ def sentiment_sql(s: str) -> str:
 DOC_REVIEWS = f"""
  docs AS (SELECT doc_id AS review_id, source AS product_id, text AS review_text,
                  CAST(n_chars % 5 + 1 AS DOUBLE) AS rating, DATE '{AS_OF}' AS review_date FROM documents),
- cl AS (SELECT review_id, product_id, rating, review_date, {toks_sql(clean_sql('review_text'))} AS w FROM docs),
+ cl AS (SELECT review_id, product_id, rating, review_date, {toks_sql(clean_sql('review_text', STOP_TEST))} AS w FROM docs),
  sent AS (SELECT review_id, product_id, rating, review_date, i AS pos,
                  array_to_string(w[i * {WINDOW} + 1 : i * {WINDOW} + {WINDOW}], ' ') AS sentence
           FROM cl, LATERAL (SELECT unnest(range(0, CAST(ceil(len(w) / {WINDOW}.0) AS BIGINT))) AS i) r)"""
@@ -80,10 +80,10 @@ def _docs(spark, sf):
 
 
 @register("clean_text", f"""
-SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents""")
+SELECT doc_id, {clean_sql('text', STOP_TEST)} AS cleaned FROM documents""")
 def q_clean_text(spark, sf):
     d = _text_table(spark, sf, "documents")
-    return d.select("doc_id", T.clean_text("text", keep=T.LATIN_TEST_CLASS).alias("cleaned"))
+    return d.select("doc_id", T.clean_text("text", stopwords=STOP_TEST, keep=T.LATIN_TEST_CLASS).alias("cleaned"))
 
 
 @register("stopword_removal", f"""
@@ -97,7 +97,7 @@ def q_stopword_removal(spark, sf):
 @register("sentence_explode", f"""{DOC_REVIEWS}
 SELECT review_id, pos, sentence FROM sent""")
 def q_sentence_explode(spark, sf):
-    s = L.sentences(_docs(spark, sf), keep=T.LATIN_TEST_CLASS, window=WINDOW)
+    s = L.sentences(_docs(spark, sf), stopwords=STOP_TEST, keep=T.LATIN_TEST_CLASS, window=WINDOW)
     return s.select("review_id", "pos", "sentence")
 
 
@@ -133,7 +133,7 @@ def q_sentiment_argmax(spark, sf):
 SELECT review_id, product_id, substr(sentence, 1, 255) AS sentence, {topics_sql('sentence')} AS category,
        {sentiment_sql('sentence')} AS sentiment, rating, review_date, pos AS seq FROM sent""")
 def q_analysis_rows(spark, sf):
-    return L.analysis_rows(_docs(spark, sf), keep=T.LATIN_TEST_CLASS, window=WINDOW)
+    return L.analysis_rows(_docs(spark, sf), stopwords=STOP_TEST, keep=T.LATIN_TEST_CLASS, window=WINDOW)
 
 
 @register("sentiment_labels", """

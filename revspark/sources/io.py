@@ -12,8 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DateType, DoubleType, IntegerType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import (ArrayType, DataType, DateType, DecimalType, DoubleType, IntegerType, MapType, StringType,
+                               StructField, StructType, TimestampNTZType, TimestampType)
 
 # --- schemas -------------------------------------------------------------------------------
 LANDING_SCHEMA = StructType([StructField(c, StringType()) for c in
@@ -152,21 +152,28 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 # --- A9: JSON projection -------------------------------------------------------------------------
 def json_ready(df: DataFrame, decimals: int = 2) -> DataFrame:
-    """Decimals -> double at ``decimals`` dp, dates/timestamps -> 'yyyy-MM-dd HH:mm:ss'."""
-    out = []
-    for f in df.schema.fields:
-        t = f.dataType.typeName()
-        c = F.col(f.name)
-        if t == "decimal":
-            c = F.bround(c, decimals).cast("double")
-        elif t in ("date", "timestamp", "timestamp_ntz"):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Decimals -> double at ``decimals`` dp, dates/timestamps -> 'yyyy-MM-dd HH:mm:ss', also
+    inside structs, arrays and map values."""
+    return df.select(*(_json_value(F.col(f"`{f.name}`"), f.dataType, decimals).alias(f.name) for f in df.schema.fields))
+
+
+def _json_value(c: Column, t: DataType, decimals: int) -> Column:
+    if isinstance(t, DecimalType):
+        return F.bround(c, decimals).cast("double")
+    if isinstance(t, (DateType, TimestampType, TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    if isinstance(t, StructType):
+        inner = F.struct(*(_json_value(c.getField(f.name), f.dataType, decimals).alias(f.name) for f in t.fields))
+        return F.when(c.isNotNull(), inner)
+    if isinstance(t, ArrayType):
+        return F.transform(c, lambda x: _json_value(x, t.elementType, decimals))
+    if isinstance(t, MapType):
+        return F.transform_values(c, lambda _, v: _json_value(v, t.valueType, decimals))
+    return c
 
 
 def to_json_lines(df: DataFrame, col_name: str = "json") -> DataFrame:
-    return json_ready(df).select(F.to_json(F.struct(*df.columns)).alias(col_name))
+    return json_ready(df).select(F.to_json(F.struct(*(f"`{c}`" for c in df.columns))).alias(col_name))
 
 
 # --- parallelism for CPU-heavy row work ----------------------------------------------------

@@ -67,6 +67,27 @@ def test_json_ready(spark):
     assert row == {"id": 1, "d": "2025-03-17 00:00:00", "x": 1.0}
 
 
+def test_json_ready_nested(spark):
+    df = spark.range(1).select(F.struct(F.lit("1.256").cast("decimal(10,3)").alias("x"), F.lit("2025-03-17").cast("date").alias("d")).alias("s"),
+                               F.array(F.struct(F.lit("2025-03-18").cast("date").alias("e"))).alias("a"),
+                               F.create_map(F.lit("k"), F.lit("2.5").cast("decimal(4,1)")).alias("m"),
+                               F.lit(None).cast("struct<d date>").alias("n"), F.lit(3).alias("b.c"))
+    row = json.loads(io.to_json_lines(df).first().json)
+    assert row == {"s": {"x": 1.26, "d": "2025-03-17 00:00:00"}, "a": [{"e": "2025-03-18 00:00:00"}], "m": {"k": 2.5}, "b.c": 3}
+
+
+def test_pipeline_takes_scorers_and_splitter(spark):
+    base = scratch_path(spark, "t-cfg")
+    flag = lambda s: F.array(F.when(s.contains("good"), 1.0).otherwise(-1.0), F.lit(-1.0))
+    cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis", stopwords=("the",),
+                         keep=T.LATIN_TEST_CLASS, splitter=lambda c: F.split(c, " but "), topic_scorer=flag, sentiment_scorer=flag,
+                         labels=("praise", "other"))
+    _landing(spark, [("1", "10", "5", "the good shoe but bad fit", "2025-03-17", "260")]).write.parquet(f"{cfg.landing_path}/dt=20250317")
+    run_pipeline(spark, cfg, "2025-03-17")
+    got = {r.sentence: (r.category, r.sentiment) for r in spark.read.parquet(cfg.daily_path).collect()}
+    assert got["good shoe"] == ("praise", 0) and got["bad fit"][0] != "praise" and len(got) == 2
+
+
 def test_page_blocks_with_fallbacks():
     html = ('<div data-content-id="r1"><span class="rating">4</span><span class="date">오늘</span>'
             '<div class="review-text">좋아요 <b>정말</b></div><span class="option">FREE</span>'
@@ -86,7 +107,7 @@ def test_page_article_paragraphs():
 def test_pipeline_idempotent(spark):
     base = scratch_path(spark, "t-pipe")
     cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis",
-                         keep=T.LATIN_TEST_CLASS)
+                         stopwords=(), keep=T.LATIN_TEST_CLASS)
     rows = [("1", "10", "5", "good price and design", "2025-03-17", "260 구매"),
             ("2", "11", "1", "bad size not fit", "2025-03-17", "M 구매")]
     _landing(spark, rows).write.parquet(f"{cfg.landing_path}/dt=20250317")
@@ -122,7 +143,7 @@ def test_ingest_stream_runs_pipeline(spark):
     from revspark.streaming.ingest import ingest_stream, pipeline_sink
     base = scratch_path(spark, "t-ingest")
     cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis",
-                         keep=T.LATIN_TEST_CLASS)
+                         stopwords=(), keep=T.LATIN_TEST_CLASS)
     _landing(spark, [("1", "10", "5", "good design", "2025-03-17", "260 구매")]).write.parquet(cfg.landing_path)
     _landing(spark, [("2", "11", "2", "bad size", "2025-03-17", "M 구매")]).write.mode("append").parquet(cfg.landing_path)
     metrics = f"{base}/metrics"
@@ -149,7 +170,7 @@ def test_replace_table_keeps_a_copy(spark, tmp_path):
 
 def test_string_ids_survive_a_rerun(spark, tmp_path):
     base = str(tmp_path)
-    cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis", id_type="string", keep=T.LATIN_TEST_CLASS)
+    cfg = PipelineConfig(f"{base}/landing", f"{base}/reviews", f"{base}/daily", f"{base}/analysis", stopwords=(), id_type="string", keep=T.LATIN_TEST_CLASS)
     _landing(spark, [("r-a1", "p-1", "5", "good design", "2025-03-17", "260"),
                      ("r-b2", "p-2", "2", "bad size", "2025-03-17", "M")]).write.parquet(f"{cfg.landing_path}/dt=20250317")
     for _ in range(2):

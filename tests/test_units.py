@@ -43,7 +43,7 @@ def test_relative_dates(spark):
 
 def test_clean_text_hangul(spark):
     df = one_col(spark, ["좋아요ㅋㅋㅋ!! 100%", "너무 예뻐요", "abc", None])
-    got = [r.y for r in df.select(T.clean_text("x").alias("y")).collect()]
+    got = [r.y for r in df.select(T.clean_text("x", stopwords=("너무", "두 말")).alias("y")).collect()]
     assert got == ["좋아요", "예뻐요", "", ""]
 
 
@@ -182,7 +182,14 @@ def test_recent_list_cap(spark):
     assert max(r.event_id for r in lst) == 149        # first arrival per key only
 
 
+def test_delete_reports_misses(spark):
+    listing = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "pos int, review_id string")
+    req = spark.createDataFrame([("a",), ("x",), ("x",)], "review_id string")
+    assert [r.review_id for r in A.delete_misses(listing, req).collect()] == ["x"]
+    assert sorted(r.pos for r in A.delete_first_match(listing, req).collect()) == [2, 3]
+
+
 def test_no_python_in_column_operators(spark):
-    df = one_col(spark, ["(19)x · 225 구매"]).select(normalise_size("x"), T.clean_text("x"))
+    df = one_col(spark, ["(19)x · 225 구매"]).select(normalise_size("x"), T.clean_text("x", stopwords=("너무",)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
