@@ -102,12 +102,14 @@ def anomaly_reviews(daily: DataFrame, products: DataFrame, reviews: DataFrame) -
 
 def week_rating_distribution(daily: DataFrame, ratings: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
     d, name = _period(daily, "week")
-    weeks = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    spine = weeks.select("_p", F.explode(F.array(*[F.lit(r) for r in ratings])).alias("rating"))
-    cnt = (d.where(F.col("rating").isin([float(r) for r in ratings]))
-           .groupBy("_p", F.col("rating").cast("int").alias("rating")).agg(F.count(F.lit(1)).alias("count")))
-    return (spine.join(cnt, ["_p", "rating"], "left")
-            .select(ymd("_p").alias(name), "rating", F.coalesce("count", F.lit(0)).alias("count")))
+    return _rating_counts(d, F.col("_p"), name, ratings, lambda r: F.col("rating") == float(r))
+
+
+def _rating_counts(df: DataFrame, group: Column, name: str, ratings: Sequence[int], is_rating) -> DataFrame:
+    """One row per group and rating, absent ratings with 0: one conditional aggregation."""
+    counts = df.groupBy(group.alias("_g")).agg(*(F.count_if(is_rating(r)).alias(f"_r{r}") for r in ratings))
+    rows = F.array(*(F.struct(F.lit(r).alias("rating"), F.col(f"_r{r}").alias("count")) for r in ratings))
+    return counts.select(ymd("_g").alias(name), F.inline(rows))
 
 
 def week_avg_rating(daily: DataFrame) -> DataFrame:
@@ -181,12 +183,7 @@ def topic_total_vs_negative(daily: DataFrame, cap: int | None = 5) -> DataFrame:
 
 
 def rating_vector(daily: DataFrame, ratings: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
-    days = daily.groupBy(DAY).agg(F.count(F.lit(1)).alias("_n"))
-    spine = days.select(DAY, F.explode(F.array(*[F.lit(r) for r in ratings])).alias("rating"))
-    dist = (daily.where(F.col("rating").isNotNull())
-            .groupBy(DAY, F.col("rating").cast("int").alias("rating")).agg(F.count(F.lit(1)).alias("count")))
-    return (spine.join(dist, [DAY, "rating"], "left")
-            .select(ymd(DAY).alias(DAY), "rating", F.coalesce("count", F.lit(0)).alias("count")))
+    return _rating_counts(daily, F.col(DAY), DAY, ratings, lambda r: F.col("rating").cast("int") == r)
 
 
 def _js_number(c: Column) -> Column:
