@@ -52,6 +52,16 @@ def ymd(c) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd")
 
 
+def round_half_even(x, digits: int) -> Column:
+    """A double rounded to ``digits`` places as Python's ``round`` does: by its exact binary value, so
+    0.15 (just below the tie) gives 0.1 and 0.05 (just above) 0.1; true ties go to the even digit.
+
+    ``bround`` decides ties on the shortest decimal text instead; the number formatter works on the
+    exact value, and reading its text back gives the nearest double."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", col(x).cast("double"), F.lit(pattern)).cast("double")
+
+
 def largest_number_string(arr) -> Column:
     """Among digit strings, the one with the largest value; first one wins ties."""
     a = col(arr)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
-from ..functions.columns import code_label, is_anomaly, ymd
+from ..functions.columns import code_label, is_anomaly, round_half_even, ymd
 from ..functions.dates import as_date, month_start, week_start
 from ..functions.text import WS
 
@@ -87,17 +87,22 @@ def negative_reviews(daily: DataFrame) -> DataFrame:
         "review_id", "product_id", "sentence", "category", ymd(DAY).alias(DAY), "rating", "sentiment")
 
 
+ANOMALY_COLS = ("review_id", "product_id", "product_name", "brand", "price", "image_url", "sentence", "category",
+                DAY, "rating", "sentiment")
+
+
+def anomaly_rows(daily: DataFrame, products: DataFrame) -> DataFrame:
+    """Anomalous rows with product attributes (inner); reports that need no size read the
+    review table not at all."""
+    p = products.select("product_id", "product_name", "brand", "price", "image_url")
+    return daily.where(is_anomaly()).join(p, "product_id").select(*ANOMALY_COLS)
+
+
 def anomaly_reviews(daily: DataFrame, products: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Anomalous rows with product attributes (inner) and the review's size (left).
-    The size lookup first semi-joins the review table to the anomalous ids, so the
-    big review table is filtered before any shuffle."""
-    an = daily.where(is_anomaly())
-    an = an.join(products.select("product_id", "product_name", "brand", "price", "image_url"), "product_id")
-    sizes = (reviews.select("review_id", "review_size")
-             .join(an.select("review_id"), "review_id", "left_semi"))
-    out = an.join(sizes, "review_id", "left")
-    return out.select("review_id", "product_id", "product_name", "brand", "price", "image_url",
-                      "sentence", "category", DAY, "rating", "sentiment", "review_size")
+    """``anomaly_rows`` with the review's size: one left join by review id (two columns of the
+    review table are shuffled; each table is scanned once)."""
+    sizes = reviews.select("review_id", "review_size")
+    return anomaly_rows(daily, products).join(sizes, "review_id", "left").select(*ANOMALY_COLS, "review_size")
 
 
 def week_rating_distribution(daily: DataFrame, ratings: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
@@ -117,8 +122,7 @@ def week_avg_rating(daily: DataFrame) -> DataFrame:
     per_day = daily.groupBy(DAY).agg(F.avg("rating").alias("a"))
     d, name = _period(per_day, "week")
     ok = F.col("a").isNotNull() & (F.col("a") != 0)
-    # Sums of doubles depend on order; the mean of means leaves the engine at 6 dp.
-    mean = F.bround(F.sum(F.when(ok, F.col("a"))) / F.count_if(ok), 6)
+    mean = F.sum(F.when(ok, F.col("a"))) / F.nullif(F.count_if(ok), F.lit(0))
     return (d.groupBy("_p").agg(F.coalesce(mean, F.lit(0.0)).alias("avg_rating"))
             .select(ymd("_p").alias(name), "avg_rating"))
 
@@ -162,7 +166,7 @@ def sentiment_share(daily: DataFrame) -> DataFrame:
     c = daily.where(F.col("sentiment").isin(0, 1, 2)).groupBy(DAY, "sentiment").agg(F.count(F.lit(1)).alias("n"))
     tot = F.sum("n").over(Window.partitionBy(DAY))
     return c.select(ymd(DAY).alias(DAY), "sentiment", "n",
-                    F.when(tot == 0, F.lit(None)).otherwise(F.bround(F.col("n") / tot * 100, 1)).alias("share"))
+                    F.when(tot == 0, F.lit(None)).otherwise(round_half_even(F.col("n") / tot * 100, 1)).alias("share"))
 
 
 def anomaly_by_product(anomalies: DataFrame) -> DataFrame:
@@ -214,7 +218,7 @@ def product_report_facts(anomalies: DataFrame, period: str = "week", top: int =
         F.count_if(F.col("sentiment") == 0).alias("negative"),
         F.count_if(F.col("sentiment") == 1).alias("neutral"),
         F.count_if(F.col("sentiment") == 2).alias("positive"),
-        F.bround(F.sum(F.when(r.isNotNull() & (r != 0), r).otherwise(0.0)) / F.count(F.lit(1)), 2).alias("avg_rating"))
+        round_half_even(F.sum(F.when(r.isNotNull() & (r != 0), r).otherwise(0.0)) / F.count(F.lit(1)), 2).alias("avg_rating"))
     t = (a.select("_p", "product_id", F.explode(_topics_capped(None, strip_all=True)).alias("topic"))
          .where(F.col("topic") != "")
          .groupBy("_p", "product_id", "topic").agg(F.count(F.lit(1)).alias("n")))

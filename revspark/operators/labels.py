@@ -106,9 +106,22 @@ def with_sentiment_label(df: DataFrame, labels: dict = K.SENTIMENT_LABELS,
     return df.withColumn("sentiment_label", sentiment_label("sentiment", labels, default))
 
 
-def logits_from_array(c, n: int) -> Column:
-    """The first ``n`` entries of a numeric array column as double logits."""
-    return F.transform(F.slice(col(c), 1, n), lambda v: v.cast("double"))
+def class_centroids(df: DataFrame, vector: str, cls: Column, n_classes: int) -> list[list[float]]:
+    """Mean vector of each class 0..n_classes-1 over all rows: the model of an embedding classifier
+    (one map-side combined aggregation; the driver holds classes x dimensions numbers)."""
+    parts = df.select(cls.alias("_c"), F.posexplode(vector).alias("_i", "_v")).where(F.col("_c").between(0, n_classes - 1))
+    rows = parts.groupBy("_c", "_i").agg(F.avg(F.col("_v").cast("double")).alias("m")).collect()
+    means = {(r["_c"], r["_i"]): r["m"] for r in rows}
+    dim = 1 + max((i for _, i in means), default=-1)
+    return [[means.get((c, i), 0.0) for i in range(dim)] for c in range(n_classes)]
+
+
+def centroid_logits(vector, centroids: Sequence[Sequence[float]]) -> Column:
+    """Per class, the dot product of the whole vector with the class's centroid."""
+    def dot(m):
+        terms = F.zip_with(col(vector), F.array(*[F.lit(float(x)) for x in m]), lambda v, w: v.cast("double") * w)
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    return F.array(*[dot(m) for m in centroids])
 
 
 def model_scorer(load_model: Callable[[], Callable[[list[str]], list[list[float]]]],

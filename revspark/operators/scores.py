@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
-from ..functions.columns import count_in, grade, topic_list
+from ..functions.columns import count_in, grade, round_half_even, topic_list
+from ..functions.dates import as_date
 
 
 def _topic_sums(topics: Sequence[str]) -> list[Column]:
@@ -34,14 +35,14 @@ def _topic_sums(topics: Sequence[str]) -> list[Column]:
     return out
 
 
-def product_stats(analysis: DataFrame, topics: Sequence[str] = K.SCORE_TOPICS) -> DataFrame:
+def product_stats(analysis: DataFrame, topics: Sequence[str] = K.SCORE_TOPICS, more: Sequence[Column] = ()) -> DataFrame:
     """One row per product: n rows, sentiment sum, rows with sentiment >= 0.7,
-    and per-topic mention counts / sentiment sums."""
+    per-topic mention counts / sentiment sums, and the ``more`` aggregates asked for."""
     return (analysis.groupBy("product_id")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.sum("sentiment").alias("sent_sum"),
                  F.count_if(F.col("sentiment") >= 0.7).alias("pos_n"),
-                 *_topic_sums(topics)))
+                 *_topic_sums(topics), *more))
 
 
 def _rollup(stats: DataFrame, key: str, topics: Sequence[str]) -> DataFrame:
@@ -52,7 +53,7 @@ def _rollup(stats: DataFrame, key: str, topics: Sequence[str]) -> DataFrame:
 
 def _topic_score(i: int) -> Column:
     c, s = F.col(f"tc{i}"), F.col(f"ts{i}")
-    return F.when(c > 0, F.bround(s / c * 50, 2)).otherwise(F.lit(0.0))
+    return F.when(c > 0, round_half_even(s / c * 50, 2)).otherwise(F.lit(0.0))
 
 
 def _with_topic_scores(df: DataFrame, topics: Sequence[str]) -> DataFrame:
@@ -83,7 +84,7 @@ def _weights(n: Column, pos_ratio: Column, min_topic: Column) -> tuple[Column, C
 
 
 def _cap_round(x: Column) -> Column:
-    return F.least(F.lit(100.0), F.bround(x, 2))
+    return F.least(F.lit(100.0), round_half_even(x, 2))
 
 
 def brand_scores(analysis: DataFrame, products: DataFrame, *, all_brands: bool = True,
@@ -156,18 +157,19 @@ def brand_of_product_score(analysis: DataFrame, products: DataFrame) -> DataFram
             .join(bs, "brand"))
 
 
-def product_profile(analysis: DataFrame, products: DataFrame, as_of) -> DataFrame:
-    """Per product (left join): analysed rows, average rating, rows in the last 3
-    months and rows between 6 and 3 months ago (the 3-month day counts in both)."""
-    from ..functions.dates import as_date
+def _profile_counts(as_of) -> list[Column]:
     a = as_date(as_of)
     m3, m6 = F.add_months(a, -3), F.add_months(a, -6)
     d = F.col("review_date")
-    per = (analysis.groupBy("product_id")
-           .agg(F.count("review_id").alias("review_count"),
-                F.sum("rating").alias("rating_sum"), F.count("rating").alias("rating_n"),
-                F.count_if(d >= m3).alias("recent_reviews"),
-                F.count_if(d.between(m6, m3)).alias("past_reviews")))
+    return [F.count("review_id").alias("review_count"), F.sum("rating").alias("rating_sum"),
+            F.count("rating").alias("rating_n"), F.count_if(d >= m3).alias("recent_reviews"),
+            F.count_if(d.between(m6, m3)).alias("past_reviews")]
+
+
+def product_profile(analysis: DataFrame, products: DataFrame, as_of) -> DataFrame:
+    """Per product (left join): analysed rows, average rating, rows in the last 3
+    months and rows between 6 and 3 months ago (the 3-month day counts in both)."""
+    per = analysis.groupBy("product_id").agg(*_profile_counts(as_of))
     out = products.join(per, "product_id", "left")
     return out.select("product_id", "product_name", "brand",
                       F.coalesce("review_count", F.lit(0)).alias("review_count"),
@@ -178,14 +180,15 @@ def product_profile(analysis: DataFrame, products: DataFrame, as_of) -> DataFram
 
 def product_scores(analysis: DataFrame, products: DataFrame, as_of,
                    topics: Sequence[str] = K.SCORE_TOPICS) -> DataFrame:
-    """Product score for every product with analysis rows."""
-    prof = product_profile(analysis, products, as_of)
-    st = _with_topic_scores(product_stats(analysis, topics), topics)
+    """Product score for every product with analysis rows: one aggregation of the analysis table
+    (topic sums and profile together) meets the product dimension."""
+    st = _with_topic_scores(product_stats(analysis, topics, _profile_counts(as_of)), topics)
     pairs = F.arrays_zip(F.array(*[F.col(f"score{i}") for i in range(len(topics))]).alias("s"),
                          F.array(*[F.col(f"tc{i}") for i in range(len(topics))]).alias("c"))
-    st = st.select("product_id", "n", "sent_sum",
+    st = st.select("product_id", "n", "sent_sum", "review_count", "recent_reviews", "past_reviews",
+                   (F.col("rating_sum") / F.nullif("rating_n", F.lit(0))).alias("avg_rating"),
                    F.array_min(F.transform(F.filter(pairs, lambda p: p["c"] > 0), lambda p: p["s"])).alias("min_topic"))
-    j = st.join(prof, "product_id")
+    j = st.join(products.select("product_id", "product_name", "brand"), "product_id")
     n, rc = F.col("n"), F.col("review_count")
     w1 = F.when(rc < 50, 0.8).when(rc < 150, 0.9).otherwise(1.0)
     w2 = F.when((F.col("past_reviews") > 0) & (F.col("recent_reviews") / F.col("past_reviews") >= 1), 0.9).otherwise(1.0)

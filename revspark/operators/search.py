@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
-from ..functions.columns import ymd
+from ..functions.columns import round_half_even, ymd
 from ..functions.text import strip_ws
 
 
@@ -89,7 +89,7 @@ def product_topic_scores(analysis: DataFrame, product_ids: DataFrame) -> DataFra
          .where(F.col("category").isNotNull() & F.col("sentiment").isNotNull()))
     t = a.select("product_id", "sentiment", F.explode(F.split("category", ",")).alias("topic"))
     return (t.groupBy("product_id", strip_ws(F.col("topic")).alias("topic"))
-            .agg(F.bround(F.sum("sentiment") / F.count(F.lit(1)) * 50, 2).alias("score")))
+            .agg(round_half_even(F.sum("sentiment") / F.count(F.lit(1)) * 50, 2).alias("score")))
 
 
 def product_search_topic(products: DataFrame, analysis: DataFrame, topic: str,

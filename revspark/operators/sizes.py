@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
-from ..functions.columns import topic_list
+from ..functions.columns import round_half_even, topic_list
 from ..functions.sizes import normalise_size
 
 PRODUCT_COLS = ("product_name", "brand", "category", "gender", "price", "image_url")
@@ -105,7 +105,7 @@ def size_satisfaction_topk(stats: DataFrame, k: int = 3) -> DataFrame:
     (ties by size ascending), both listed in descending order (they may overlap)."""
     s = stats.where(F.col("total_reviews") != 0).select(
         "product_id", "review_size", "total_reviews",
-        F.bround((F.col("positive_count") * 100 + F.col("neutral_count") * 50) / F.col("total_reviews"), 1)
+        round_half_even((F.col("positive_count") * 100 + F.col("neutral_count") * 50) / F.col("total_reviews"), 1)
         .alias("satisfaction_score"))
     desc = Window.partitionBy("product_id").orderBy(F.col("satisfaction_score").desc(), F.col("review_size"))
     asc = Window.partitionBy("product_id").orderBy(F.col("satisfaction_score").asc(), F.col("review_size").desc())

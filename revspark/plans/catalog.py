@@ -21,31 +21,5 @@ def queries():
     return dict(QUERIES)
 
 
-def _expand_rounding(sql: str) -> str:
-    """``round_even(x, d)`` in oracle text rounds the shortest decimal form of the
-    double (as Spark's ``bround`` does), not the binary value scaled by 10^d."""
-    out, i, key = [], 0, "round_even("
-    while True:
-        j = sql.find(key, i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        depth, k, comma = 1, j + len(key), None
-        while depth:
-            ch = sql[k]
-            if ch == "(":
-                depth += 1
-            elif ch == ")":
-                depth -= 1
-            elif ch == "," and depth == 1:
-                comma = k
-            k += 1
-        expr = _expand_rounding(sql[j + len(key):comma])
-        digits = sql[comma + 1:k - 1].strip()
-        out.append(sql[i:j])
-        out.append(f"CAST(round_even(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
-        i = k
-
-
 def oracle_sql():
-    return {k: _expand_rounding(duckdb_with(v)) for k, v in ORACLE.items()}
+    return {k: duckdb_with(v) for k, v in ORACLE.items()}

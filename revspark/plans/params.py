@@ -7,3 +7,8 @@ DATE_CLAMP_TEST = ("1992-01-01", "2025-01-31")   # the fixed 2017.. clamp would
 TEST_CATEGORIES = ("ECONOMY", "LARGE", "PROMO", "STANDARD")   # in place of the shoe list
 
 TOPICS_SQL = "('내구성 및 품질', '디자인', '사이즈', '가성비', '착용감', '배송 및 포장 및 응대')"
+
+
+def rounded(x: str, digits: int) -> str:
+    """Oracle text: a double at ``digits`` places by its exact binary value (half to even), as Python's ``round``."""
+    return f"CAST(format('{{:.{digits}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"

@@ -1,9 +1,10 @@
 """Registered anomaly-report queries (H2-H19), all days / weeks / months at once."""
 from __future__ import annotations
 
+from ..functions.columns import round_half_even
 from ..operators import anomalies as A
 from ..sources import fixture
-from .params import TEST_CATEGORIES
+from .params import TEST_CATEGORIES, rounded
 from .registry import register
 
 D = "strftime(review_date, '%Y-%m-%d')"
@@ -136,10 +137,11 @@ def q_week_rating_distribution(spark, sf):
 @register("week_avg_rating", f"""
  d AS (SELECT review_date, avg(rating) AS a FROM review_analysis GROUP BY review_date)
 SELECT strftime({WK}, '%Y-%m-%d') AS week_start,
-       coalesce(round_even(sum(CASE WHEN a IS NOT NULL AND a <> 0 THEN a END) / count_if(a IS NOT NULL AND a <> 0), 6), 0.0) AS avg_rating
+       coalesce({rounded("sum(CASE WHEN a IS NOT NULL AND a <> 0 THEN a END) / count_if(a IS NOT NULL AND a <> 0)", 6)}, 0.0) AS avg_rating
 FROM d GROUP BY 1""")
 def q_week_avg_rating(spark, sf):
-    return A.week_avg_rating(_ra(spark, sf))
+    # sums of doubles depend on their order: both sides leave at 6 places
+    return A.week_avg_rating(_ra(spark, sf)).withColumn("avg_rating", round_half_even("avg_rating", 6))
 
 
 @register("month_anomaly_products", f"""
@@ -175,7 +177,7 @@ def q_month_anomaly_trend(spark, sf):
  c AS (SELECT review_date, sentiment, count(*) AS n FROM review_analysis WHERE sentiment IN (0, 1, 2) GROUP BY 1, 2)
 SELECT {D} AS review_date, sentiment, n,
        CASE WHEN sum(n) OVER (PARTITION BY review_date) = 0 THEN NULL
-            ELSE round_even(n / sum(n) OVER (PARTITION BY review_date) * 100, 1) END AS share FROM c""")
+            ELSE {rounded("n / sum(n) OVER (PARTITION BY review_date) * 100", 1)} END AS share FROM c""")
 def q_sentiment_share(spark, sf):
     return A.sentiment_share(_ra(spark, sf))
 
@@ -185,7 +187,7 @@ SELECT {D} AS review_date, product_id, product_name, brand, price, image_url, co
 FROM an GROUP BY review_date, product_id, product_name, brand, price, image_url""")
 def q_anomaly_by_product(spark, sf):
     fx = _fx(spark, sf)
-    return A.anomaly_by_product(A.anomaly_reviews(fx.review_analysis, fx.products, fx.reviews))
+    return A.anomaly_by_product(A.anomaly_rows(fx.review_analysis, fx.products))
 
 
 @register("topic_total_vs_negative", f"""
@@ -226,7 +228,7 @@ def q_anomaly_detail(spark, sf):
  f AS (SELECT {WK} AS wk, product_id, min(product_name) AS product_name, count(*) AS n_reviews,
               CAST(count_if(sentiment = 0) AS BIGINT) AS negative, CAST(count_if(sentiment = 1) AS BIGINT) AS neutral,
               CAST(count_if(sentiment = 2) AS BIGINT) AS positive,
-              round_even(sum(CASE WHEN rating IS NOT NULL AND rating <> 0 THEN rating ELSE 0.0 END) / count(*), 2) AS avg_rating
+              {rounded("sum(CASE WHEN rating IS NOT NULL AND rating <> 0 THEN rating ELSE 0.0 END) / count(*)", 2)} AS avg_rating
        FROM an GROUP BY 1, 2),
  tx AS (SELECT {WK} AS wk, product_id, regexp_replace(x, '^{WSC}+|{WSC}+$', '', 'g') AS topic
         FROM (SELECT review_date, product_id, unnest(string_split(category, ',')) AS x FROM an) u),
@@ -239,7 +241,7 @@ SELECT strftime(f.wk, '%Y-%m-%d') AS week_start, f.product_id, f.product_name, f
 FROM f LEFT JOIN tt ON f.wk = tt.wk AND f.product_id = tt.product_id""")
 def q_product_report_facts(spark, sf):
     fx = _fx(spark, sf)
-    return A.product_report_facts(A.anomaly_reviews(fx.review_analysis, fx.products, fx.reviews), "week")
+    return A.product_report_facts(A.anomaly_rows(fx.review_analysis, fx.products), "week")
 
 
 @register("product_report_lines", f"""{ANOM_ROWS}
@@ -249,7 +251,7 @@ SELECT strftime({WK}, '%Y-%m-%d') AS week_start, product_id, {D} AS review_date,
 FROM an""")
 def q_product_report_lines(spark, sf):
     fx = _fx(spark, sf)
-    return A.product_report_lines(A.anomaly_reviews(fx.review_analysis, fx.products, fx.reviews), "week")
+    return A.product_report_lines(A.anomaly_rows(fx.review_analysis, fx.products), "week")
 
 
 @register("month_report_lines", f"""
@@ -283,7 +285,7 @@ def q_month_report_lines(spark, sf):
  f AS (SELECT review_date AS d, product_id, min(product_name) AS product_name, count(*) AS n_reviews,
               CAST(count_if(sentiment = 0) AS BIGINT) AS negative, CAST(count_if(sentiment = 1) AS BIGINT) AS neutral,
               CAST(count_if(sentiment = 2) AS BIGINT) AS positive,
-              round_even(sum(CASE WHEN rating IS NOT NULL AND rating <> 0 THEN rating ELSE 0.0 END) / count(*), 2) AS avg_rating
+              {rounded("sum(CASE WHEN rating IS NOT NULL AND rating <> 0 THEN rating ELSE 0.0 END) / count(*)", 2)} AS avg_rating
        FROM an GROUP BY 1, 2),
  tx AS (SELECT review_date AS d, product_id, regexp_replace(x, '^{WSC}+|{WSC}+$', '', 'g') AS topic
         FROM (SELECT review_date, product_id, unnest(string_split(category, ',')) AS x FROM an) u),
@@ -296,4 +298,4 @@ SELECT strftime(f.d, '%Y-%m-%d') AS review_date, f.product_id, f.product_name, f
 FROM f LEFT JOIN tt ON f.d = tt.d AND f.product_id = tt.product_id""")
 def q_product_report_facts_day(spark, sf):
     fx = _fx(spark, sf)
-    return A.product_report_facts(A.anomaly_reviews(fx.review_analysis, fx.products, fx.reviews), "day")
+    return A.product_report_facts(A.anomaly_rows(fx.review_analysis, fx.products), "day")

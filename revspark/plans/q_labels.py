@@ -112,21 +112,36 @@ def q_sentence_split_punct(spark, sf):
     return s.select("conv_id", "turn", "pos", T.strip_ws("sentence").alias("sentence")).where(F.col("sentence") != "")
 
 
-@register("topic_threshold", f"""
-SELECT vec_id, {topics_from_logits_sql('embedding')} AS category FROM embeddings""")
-def q_topic_threshold(spark, sf):
+def _centroid_logits_sql(classes: int) -> str:
+    """vec_id, l: dot products of whole embeddings with the mean embedding of each class (label % classes)."""
+    return f"""
+ parts AS (SELECT label % {classes} AS c, i, CAST(embedding[i] AS DOUBLE) AS v
+           FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) r),
+ means AS (SELECT c, i, avg(v) AS m FROM parts GROUP BY 1, 2),
+ cents AS (SELECT c, list(m ORDER BY i) AS m FROM means GROUP BY c),
+ model AS (SELECT list(m ORDER BY c) AS ms FROM cents),
+ lg AS (SELECT vec_id, list_transform(ms, lambda m: list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), m)) AS l
+        FROM embeddings, model)"""
+
+
+def _with_centroid_logits(spark, sf, classes: int):
     e = fixture(spark, sf).embeddings
-    return e.select("vec_id", T.topics_from_logits(L.logits_from_array("embedding", 6)).alias("category"))
+    model = L.class_centroids(e, "embedding", F.col("label") % classes, classes)
+    return e.select("vec_id", L.centroid_logits("embedding", model).alias("l"))
 
 
-@register("sentiment_argmax", """
- p AS (SELECT vec_id, list_transform(embedding[1:3], lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
- e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM p),
- s AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS pr FROM e)
-SELECT vec_id, CAST(list_position(pr, list_max(pr)) - 1 AS INTEGER) AS sentiment FROM s""")
+@register("topic_threshold", f"""{_centroid_logits_sql(len(K.CLASSIFIER_TOPICS))}
+SELECT vec_id, {topics_from_logits_sql('l')} AS category FROM lg""")
+def q_topic_threshold(spark, sf):
+    e = _with_centroid_logits(spark, sf, len(K.CLASSIFIER_TOPICS))
+    return e.select("vec_id", T.topics_from_logits("l").alias("category"))
+
+
+@register("sentiment_argmax", f"""{_centroid_logits_sql(3)}
+SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS sentiment FROM lg""")
 def q_sentiment_argmax(spark, sf):
-    e = fixture(spark, sf).embeddings
-    return e.select("vec_id", T.argmax(T.softmax(L.logits_from_array("embedding", 3))).alias("sentiment"))
+    e = _with_centroid_logits(spark, sf, 3)
+    return e.select("vec_id", T.argmax(T.softmax("l")).alias("sentiment"))
 
 
 @register("analysis_rows", f"""{DOC_REVIEWS}

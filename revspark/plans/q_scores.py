@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ymd  # noqa: F401
 from ..operators import scores as S
 from ..sources import fixture
-from .params import AS_OF, H1_2001, JULY_2001, TOPICS_SQL
+from .params import AS_OF, H1_2001, JULY_2001, TOPICS_SQL, rounded
 from .registry import register
 
 
@@ -27,7 +27,7 @@ def _topic_rows(entity: str, rng) -> str:
  tx_{entity} AS (SELECT {entity}, sentiment, trim(x) AS topic FROM
                  (SELECT {entity}, sentiment, unnest(string_split(category, ',')) AS x FROM ra_{entity}
                   WHERE category IS NOT NULL AND sentiment IS NOT NULL) u),
- ts_{entity} AS (SELECT {entity}, topic, round_even(sum(sentiment) / count(*) * 50, 2) AS score, count(*) AS cnt
+ ts_{entity} AS (SELECT {entity}, topic, {rounded("sum(sentiment) / count(*) * 50", 2)} AS score, count(*) AS cnt
                  FROM tx_{entity} WHERE topic IN {TOPICS_SQL} GROUP BY {entity}, topic)"""
 
 
@@ -51,7 +51,7 @@ def brand_scores_all_ctes(rng=None) -> str:
        FROM products p LEFT JOIN (SELECT * FROM review_analysis {_where(rng)}) a ON a.product_id = p.product_id
        WHERE p.brand IS NOT NULL GROUP BY p.brand),
  sc AS (SELECT b.brand, b.n, CASE WHEN n = 0 THEN CAST(0.0 AS DOUBLE) ELSE
-          least(CAST(100 AS DOUBLE), round_even((s / n * 50) * {W_N} * {W_POS} * {_w_topic('coalesce(mt.mn, 0)')}, 2)) END AS overall_score
+          least(CAST(100 AS DOUBLE), {rounded(f'''(s / n * 50) * {W_N} * {W_POS} * {_w_topic('coalesce(mt.mn, 0)')}''', 2)}) END AS overall_score
         FROM b LEFT JOIN mt ON b.brand = mt.brand),
  bs AS (SELECT brand, overall_score, {GRADE} AS rating, CAST(n AS BIGINT) AS review_count FROM sc)"""
 
@@ -68,7 +68,7 @@ def brand_score_single_sql(rng=None) -> str:
        FROM (SELECT * FROM review_analysis {_where(rng)}) a JOIN products p ON a.product_id = p.product_id
        WHERE p.brand IS NOT NULL GROUP BY p.brand),
  sc AS (SELECT b.brand, b.n, CASE WHEN mt.mn IS NULL THEN NULL ELSE
-          least(CAST(100 AS DOUBLE), round_even((s / n * 50) * {W_N} * {W_POS} * {_w_topic('mt.mn')}, 2)) END AS overall_score
+          least(CAST(100 AS DOUBLE), {rounded(f'''(s / n * 50) * {W_N} * {W_POS} * {_w_topic('mt.mn')}''', 2)}) END AS overall_score
         FROM b LEFT JOIN mt ON b.brand = mt.brand)
 SELECT brand, overall_score, CASE WHEN overall_score IS NULL THEN NULL ELSE {GRADE} END AS rating,
        CAST(n AS BIGINT) AS review_count FROM sc"""
@@ -102,12 +102,11 @@ def product_scores_sql(as_of: str) -> str:
  pmt AS (SELECT product_id, min(score) AS mn FROM ts_product_id WHERE cnt > 0 GROUP BY product_id),
  st AS (SELECT product_id, count(*) AS n, sum(sentiment) AS s FROM review_analysis GROUP BY product_id),
  psc AS (SELECT prof.product_id, prof.product_name, prof.brand,
-          CASE WHEN pmt.mn IS NULL THEN NULL ELSE least(CAST(100 AS DOUBLE), round_even(
-            (st.s / st.n * 50)
+          CASE WHEN pmt.mn IS NULL THEN NULL ELSE least(CAST(100 AS DOUBLE), {rounded(f'''(st.s / st.n * 50)
             * CAST(CASE WHEN prof.review_count < 50 THEN 0.8 WHEN prof.review_count < 150 THEN 0.9 ELSE 1.0 END AS DOUBLE)
             * CAST(CASE WHEN prof.past_reviews > 0 AND prof.recent_reviews / prof.past_reviews >= 1 THEN 0.9 ELSE 1.0 END AS DOUBLE)
             * CAST(CASE WHEN pmt.mn <= 80 THEN 0.9 ELSE 1.0 END AS DOUBLE)
-            * CAST(CASE WHEN prof.avg_rating IS NOT NULL AND prof.avg_rating <> 0 AND prof.avg_rating < CAST(4.7 AS DOUBLE) THEN 0.95 ELSE 1.0 END AS DOUBLE), 2)) END AS overall_score
+            * CAST(CASE WHEN prof.avg_rating IS NOT NULL AND prof.avg_rating <> 0 AND prof.avg_rating < CAST(4.7 AS DOUBLE) THEN 0.95 ELSE 1.0 END AS DOUBLE)''', 2)}) END AS overall_score
         FROM st JOIN prof ON st.product_id = prof.product_id LEFT JOIN pmt ON st.product_id = pmt.product_id)"""
 
 

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from ..operators import search as S
 from ..sources import fixture
-from .registry import register
+from .params import rounded
 from .q_anomalies import WSC
+from .registry import register
 
 SEARCH = dict(category="", gender="남자", price_min=90000, price_max=95000, min_reviews=5)
 TOPIC = "디자인"
@@ -60,7 +61,7 @@ TOPIC_ROWS = f"""
  tx AS (SELECT a.product_id, a.sentiment, regexp_replace(x, '^{WSC}+|{WSC}+$', '', 'g') AS topic
         FROM (SELECT product_id, sentiment, unnest(string_split(category, ',')) AS x FROM review_analysis
               WHERE category IS NOT NULL AND sentiment IS NOT NULL AND product_id IN (SELECT product_id FROM found)) a),
- ts AS (SELECT product_id, topic, round_even(sum(sentiment) / count(*) * 50, 2) AS score FROM tx GROUP BY 1, 2)"""
+ ts AS (SELECT product_id, topic, {rounded("sum(sentiment) / count(*) * 50", 2)} AS score FROM tx GROUP BY 1, 2)"""
 
 
 @register("product_search", f"""{_search_sql(SEARCH)}

@@ -5,6 +5,7 @@ from ..functions.sizes import normalise_size
 from ..operators import sizes as Z
 from ..sources import fixture
 from ..sources.io import stage
+from .params import rounded
 from .registry import register
 
 # DuckDB's regex engine has no Unicode \b; a word boundary before/after a match
@@ -136,7 +137,7 @@ def q_size_donut_counts(spark, sf):
 
 @register("size_satisfaction_topk", f"""{STATS},
  s AS (SELECT product_id, review_size, total_reviews,
-              round_even((positive_count * 100 + neutral_count * 50) / total_reviews, 1) AS satisfaction_score
+              {rounded("(positive_count * 100 + neutral_count * 50) / total_reviews", 1)} AS satisfaction_score
        FROM sz WHERE total_reviews <> 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY satisfaction_score DESC, review_size) AS pos,
               row_number() OVER (PARTITION BY product_id ORDER BY satisfaction_score ASC, review_size DESC) AS back FROM s)

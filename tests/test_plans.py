@@ -12,8 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 
 def executed_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()      # AQE's final plan exists after a run
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The final adaptive plan of an execution of this very DataFrame."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=false" not in plan
+    return plan.split("== Initial Plan ==")[0]
 
 
 def test_brand_scores_scan_analysis_once(spark):
@@ -48,3 +51,14 @@ def test_product_dimension_broadcast(spark):
 def test_filters_reach_the_scan(spark):
     plan = executed_plan(E.queries()["daily_reviews_dates"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(review_date", plan)
+
+
+def test_product_scores_scan_analysis_once(spark):
+    plan = executed_plan(E.queries()["product_score"](spark, SF))
+    assert len(re.findall(r"review_analysis", plan)) == 1
+
+
+def test_reports_without_sizes_read_no_reviews(spark):
+    for q in ("anomaly_by_product", "product_report_lines"):
+        plan = executed_plan(E.queries()[q](spark, SF))
+        assert not re.findall(r"/reviews\b", plan) and len(re.findall(r"review_analysis", plan)) == 1, q

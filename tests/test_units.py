@@ -7,6 +7,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from revspark.functions import constants as K
 from revspark.functions import text as T
+from revspark.functions.columns import round_half_even
 from revspark.functions.dates import relative_date
 from revspark.functions.sizes import normalise_size
 from revspark.operators import alerts as A
@@ -193,3 +194,15 @@ def test_no_python_in_column_operators(spark):
     df = one_col(spark, ["(19)x · 225 구매"]).select(normalise_size("x"), T.clean_text("x", stopwords=("너무",)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_rounding_equals_python(spark):
+    ratios = [(a, b) for b in (7, 40, 64, 160, 1000, 2000, 3000, 9999, 10000) for a in range(0, b + 1)]
+    df = spark.createDataFrame(ratios, "a long, b long").select("a", "b", (F.col("a") / F.col("b") * 100).alias("p"), (F.col("a") / F.col("b")).alias("q"))
+    got = df.select("a", "b", round_half_even("p", 1).alias("r1"), round_half_even("q", 2).alias("r2"), round_half_even("p", 3).alias("r3")).collect()
+    bad = [r for r in got if (r.r1, r.r2, r.r3) != (round(r.a / r.b * 100, 1), round(r.a / r.b, 2), round(r.a / r.b * 100, 3))]
+    assert not bad
+    odd = [0.05, 0.15, 0.25, 0.35, -0.05, -0.15, -0.25, 2.675, 1e300, 2.0 ** 53, 1e15 + 0.5]
+    vals = [r.y for r in one_col(spark, odd, typ="double").select(round_half_even("x", 1).alias("y")).collect()]
+    assert vals == [round(x, 1) for x in odd]
+    assert one_col(spark, [None], typ="double").select(round_half_even("x", 1).alias("y")).first().y is None
