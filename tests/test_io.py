@@ -11,7 +11,7 @@ from revspark.functions import text as T
 from revspark.plans.pipeline import PipelineConfig, run_pipeline
 from revspark.session import scratch_path
 from revspark.sources import io
-from revspark.sources.pages import extract_blocks, FieldRules
+from revspark.sources.pages import page_reviews
 
 
 def _landing(spark, rows):
@@ -88,20 +88,34 @@ def test_pipeline_takes_scorers_and_splitter(spark):
     assert got["good shoe"] == ("praise", 0) and got["bad fit"][0] != "praise" and len(got) == 2
 
 
-def test_page_blocks_with_fallbacks():
-    html = ('<div data-content-id="r1"><span class="rating">4</span><span class="date">오늘</span>'
-            '<div class="review-text">좋아요 <b>정말</b></div><span class="option">FREE</span>'
+def page_rows(spark, *htmls):
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string")
+    return sorted(map(tuple, page_reviews(df).collect()))
+
+
+def test_page_blocks_with_fallbacks(spark):
+    html = ('<div data-content-id="r1"><span class="rating">4</span><span class="x date">오늘</span>'
+            '<div class="review-text">좋아요 <b>정말</b> 커요</div><span class="option">FREE</span>'
             '<span class="option">260 구매</span></div>'
-            '<div data-content-id="r2"><p>no fields</p></div>')
-    rows = extract_blocks(7, html, FieldRules())
-    assert rows[0] == (7, 0, "r1", "4", "오늘", "좋아요 정말", "FREE", "260 구매")
-    assert rows[1][3] == K.DEFAULT_RATING and rows[1][5] == K.DEFAULT_REVIEW_TEXT
+            '<div data-content-id="r2"><p>no fields</p></div>'
+            '<div data-content-id=""><span class="review-content"></span><span class="review-text">later</span></div>')
+    rows = page_rows(spark, html)
+    assert rows[0] == (0, 0, "r1", "4", "오늘", "좋아요 정말 커요", "FREE", "260 구매")
+    assert rows[1] == (0, 1, "r2", K.DEFAULT_RATING, None, K.DEFAULT_REVIEW_TEXT, None, None)
+    assert rows[2][2] == K.DEFAULT_REVIEW_ID and rows[2][5] == ""        # found but empty: stays empty
+
+
+def test_page_article_paragraphs(spark):
+    html = ("<html><script>var t='<p>x</p>';</script><nav><p>menu</p></nav><!-- <p>c</p> --><article><p>One <b>two</b> three."
+            "<p>A &amp;lt; &#48;&#x41;&#xD800; &#; B<p> </p><p>Two</article><p>foot</p>")
+    assert [r[5] for r in page_rows(spark, html)] == ["One two three.", "A &lt; 0A&#xD800; &#; B", "Two"]
 
 
-def test_page_article_paragraphs():
-    html = "<html><script>var t='<p>x</p>';</script><nav><p>menu</p></nav><article><p>One.<p>Two</article>"
-    rows = extract_blocks(1, html, FieldRules())
-    assert [r[5] for r in rows] == ["One.", "Two"]
+def test_page_edges(spark):
+    deep = "<div>" * 5000 + "<p>in" + "</div>" * 5000
+    nested = "<article><p>a</p><article><p>b</p></article></article>"
+    rows = page_rows(spark, None, "", "no markup", deep, nested)
+    assert [(r[0], r[2], r[5]) for r in rows] == [(3, "3-0", "in"), (4, "4-0", "a"), (4, "4-1", "b")]
 
 
 def test_pipeline_idempotent(spark):
