@@ -206,12 +206,11 @@ def _page_text_sql(x: str) -> str:
  ar AS (SELECT page_id, h, regexp_extract_all(h, '{PAGE.scope_pattern("article")}', 1) AS a FROM hs),
  ps AS (SELECT page_id, flatten(list_transform(CASE WHEN len(a) > 0 THEN a ELSE [h] END,
                                                lambda s: regexp_split_to_array(s, '{PAGE.PARAGRAPH}')[2:])) AS p FROM ar),
- tx AS (SELECT page_id, list_filter(list_transform(p, lambda x: {_page_text_sql(f"regexp_split_to_array(x, '{PAGE.PARAGRAPH_END}')[1]")}),
-                                    lambda t: t <> '') AS t FROM ps),
+ tx AS (SELECT page_id, list_transform(p, lambda x: {_page_text_sql(f"regexp_split_to_array(x, '{PAGE.PARAGRAPH_END}')[1]")}) AS t FROM ps),
  ix AS (SELECT page_id, t, i FROM tx, LATERAL (SELECT unnest(range(0, len(t))) AS i) r)
 SELECT page_id, CAST(i AS INTEGER) AS block, page_id || '-' || i AS review_id, '{K.DEFAULT_RATING}' AS rating,
        CAST(NULL AS VARCHAR) AS date_text, t[i + 1] AS review_text, CAST(NULL AS VARCHAR) AS size_opt1, CAST(NULL AS VARCHAR) AS size_opt2
-FROM ix""")
+FROM ix WHERE t[i + 1] <> ''""")
 def q_page_reviews(spark, sf):
     """B9 over the fetched pages: review blocks with their fields."""
     return PAGE.page_reviews(balanced(fixture(spark, sf).pages))

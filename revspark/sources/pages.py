@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import WS, strip_ws
+from ..functions.text import WS
 
 COLUMNS = ("page_id", "block", "review_id", "rating", "date_text", "review_text", "size_opt1", "size_opt2")
 
@@ -68,52 +68,55 @@ def _numeric_reference(p: Column) -> Column:
     return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), p))
 
 
+def _decoded(t: Column) -> Column:
+    """Text with ``&#`` references -> decoded."""
+    pieces = F.split(t, "&#")
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), _numeric_reference), ""))
+
+
 def html_text(html: Column) -> Column:
     t = F.regexp_replace(html, TAG, " ")
-    pieces = F.split(t, "&#")
-    later = F.transform(F.slice(pieces, 2, 1 << 30), _numeric_reference)
-    t = F.when(F.size(pieces) > 1, F.concat(F.element_at(pieces, 1), F.array_join(later, ""))).otherwise(t)
+    t = F.when(t.contains("&#"), _decoded(t)).otherwise(t)
     for name, char in NAMED.items():
         t = F.replace(t, F.lit(name), F.lit(char))
-    return strip_ws(F.regexp_replace(t, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(t, f"[{WS}]+", " "))
 
 
 def _first(html: Column, classes) -> Column:
     return F.coalesce(*[html_text(F.get(_elements(html, c), F.lit(0))) for c in classes])
 
 
-def _block(rules: FieldRules):
-    def fields(b: Column) -> Column:
-        body = b["body"]
-        sizes = F.concat(*[_elements(body, c) for c in rules.size])
-        return F.struct(
-            F.when(b["id"] == "", F.lit(K.DEFAULT_REVIEW_ID)).otherwise(b["id"]).alias("review_id"),
-            F.coalesce(_first(body, rules.rating), F.lit(K.DEFAULT_RATING)).alias("rating"),
-            _first(body, rules.date).alias("date_text"),
-            F.coalesce(_first(body, rules.text), F.lit(K.DEFAULT_REVIEW_TEXT)).alias("review_text"),
-            html_text(F.get(sizes, F.lit(0))).alias("size_opt1"), html_text(F.get(sizes, F.lit(1))).alias("size_opt2"))
-    return fields
-
-
-def _paragraph(t: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(none.alias("review_id"), F.lit(K.DEFAULT_RATING).alias("rating"), none.alias("date_text"),
-                    t.alias("review_text"), none.alias("size_opt1"), none.alias("size_opt2"))
+def _fields(rules: FieldRules) -> dict[str, Column]:
+    """Columns of a row (page_id, block, id, body); ``id`` is null for a paragraph."""
+    body, found = F.col("body"), F.col("id").isNotNull()
+    sizes = F.concat(*[_elements(body, c) for c in rules.size])
+    default = lambda c, d: F.when(found, F.coalesce(c, F.lit(d))).otherwise(F.lit(d))
+    place = F.concat_ws("-", F.col("page_id").cast("string"), F.col("block").cast("string"))
+    return {"review_id": F.when(F.col("id") == "", F.lit(K.DEFAULT_REVIEW_ID)).otherwise(F.coalesce("id", place)),
+            "rating": default(_first(body, rules.rating), K.DEFAULT_RATING),
+            "date_text": F.when(found, _first(body, rules.date)),
+            "review_text": F.when(found, F.coalesce(_first(body, rules.text), F.lit(K.DEFAULT_REVIEW_TEXT)))
+            .otherwise(html_text(body)),
+            "size_opt1": F.when(found, html_text(F.get(sizes, F.lit(0)))),
+            "size_opt2": F.when(found, html_text(F.get(sizes, F.lit(1))))}
 
 
 def page_reviews(pages: DataFrame, rules: FieldRules | None = None) -> DataFrame:
-    """pages(page_id, html) -> one row per review block (landing-row fields)."""
+    """pages(page_id, html) -> one row per review block (landing-row fields).
+
+    ``block`` is the position of the block or paragraph in its page (empty paragraphs count)."""
     rules = rules or FieldRules()
-    h = pages.select("page_id", F.regexp_replace("html", UNSEEN, " ").alias("h"))
     start = block_pattern(rules.id_attr)
-    parts = h.select("page_id", F.regexp_extract_all("h", F.lit(start), 1).alias("ids"),
-                     F.slice(F.split("h", start), 2, 1 << 30).alias("bodies"),
-                     F.regexp_extract_all("h", F.lit(scope_pattern(rules.fallback_scope)), 1).alias("scopes"), "h")
-    blocks = F.transform(F.arrays_zip(F.col("ids").alias("id"), F.col("bodies").alias("body")), _block(rules))
+    h = pages.select("page_id", F.regexp_replace("html", UNSEEN, " ").alias("h"))
+    h = h.select("page_id", "h", F.regexp_extract_all("h", F.lit(start), 1).alias("ids"),
+                 F.regexp_extract_all("h", F.lit(scope_pattern(rules.fallback_scope)), 1).alias("scopes"))
+    bodies = F.slice(F.split("h", start), 2, 1 << 30)
+    blocks = F.arrays_zip(F.col("ids").alias("id"), bodies.alias("body"))
     scopes = F.when(F.size("scopes") > 0, F.col("scopes")).otherwise(F.array("h"))
     cut = F.flatten(F.transform(scopes, lambda s: F.slice(F.split(s, PARAGRAPH), 2, 1 << 30)))
-    texts = F.filter(F.transform(cut, lambda p: html_text(F.element_at(F.split(p, PARAGRAPH_END), 1))), lambda t: t != "")
-    rows = parts.select("page_id", F.when(F.size("ids") > 0, blocks).otherwise(F.transform(texts, _paragraph)).alias("rows"))
-    out = rows.select("page_id", F.posexplode("rows").alias("block", "r")).select("page_id", "block", "r.*")
-    place = F.concat_ws("-", F.col("page_id").cast("string"), F.col("block").cast("string"))
-    return out.withColumn("review_id", F.coalesce("review_id", place)).select(*COLUMNS)
+    paragraphs = F.transform(cut, lambda p: F.struct(F.lit(None).cast("string").alias("id"),
+                                                     F.element_at(F.split(p, PARAGRAPH_END, 2), 1).alias("body")))
+    rows = h.select("page_id", F.posexplode(F.when(F.size("ids") > 0, blocks).otherwise(paragraphs)).alias("block", "r"))
+    rows = rows.select("page_id", "block", "r.id", "r.body")
+    out = rows.select("page_id", "block", "id", *[c.alias(n) for n, c in _fields(rules).items()])
+    return out.where(F.col("id").isNotNull() | (F.col("review_text") != "")).select(*COLUMNS)

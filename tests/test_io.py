@@ -116,6 +116,8 @@ def test_page_edges(spark):
     nested = "<article><p>a</p><article><p>b</p></article></article>"
     rows = page_rows(spark, None, "", "no markup", deep, nested)
     assert [(r[0], r[2], r[5]) for r in rows] == [(3, "3-0", "in"), (4, "4-0", "a"), (4, "4-1", "b")]
+    empty = page_rows(spark, "<p></p><p>x</p>")
+    assert [(r[1], r[2]) for r in empty] == [(1, "0-1")]
 
 
 def test_pipeline_idempotent(spark):
