@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import labels as L
+from ..operators import scorers as SC
 from ..sources import fixture
 from ..sources.io import balanced
 from .params import AS_OF
@@ -144,6 +145,16 @@ def q_sentiment_argmax(spark, sf):
     return e.select("vec_id", T.argmax(T.softmax("l")).alias("sentiment"))
 
 
+@register("text_sentiment")
+def q_text_sentiment(spark, sf):
+    """The default scorer fitted on the rated documents (low quality: class 0, high: 2) and applied to
+    every document (no SQL twin: a trained model)."""
+    fx = fixture(spark, sf)
+    docs = _text_table(spark, sf, "documents").select("doc_id", "text")
+    rated = docs.join(fx.table("labels").select("doc_id", (F.col("quality") * 2).alias("label")), "doc_id")
+    return SC.text_sentiment(docs, SC.fit_text_scorer(rated)).select("doc_id", "sentiment")
+
+
 @register("analysis_rows", f"""{DOC_REVIEWS}
 SELECT review_id, product_id, substr(sentence, 1, 255) AS sentence, {topics_sql('sentence')} AS category,
        {sentiment_sql('sentence')} AS sentiment, rating, review_date, pos AS seq FROM sent""")

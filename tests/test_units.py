@@ -14,6 +14,7 @@ from revspark.operators import alerts as A
 from revspark.operators import anomalies as H
 from revspark.operators import ingest as I
 from revspark.operators import labels as L
+from revspark.operators import scorers as SC
 from revspark.operators import scores as S
 from revspark.operators import search as Q
 from revspark.operators import sizes as Z
@@ -206,3 +207,19 @@ def test_rounding_equals_python(spark):
     vals = [r.y for r in one_col(spark, odd, typ="double").select(round_half_even("x", 1).alias("y")).collect()]
     assert vals == [round(x, 1) for x in odd]
     assert one_col(spark, [None], typ="double").select(round_half_even("x", 1).alias("y")).first().y is None
+
+
+def test_text_scorer(spark):
+    rows = [("good shoe fits well", 2), ("very good and light", 2), ("bad sole broke", 0), ("bad smell and broke", 0), (None, None)]
+    df = spark.createDataFrame(rows * 5, "text string, label int")
+    got = SC.text_sentiment(df, SC.fit_text_scorer(df, features=1 << 10)).collect()
+    assert len(got) == 25 and all(r.sentiment == r.label for r in got if r.label is not None)
+    with pytest.raises(ValueError):
+        SC.fit_text_scorer(df.where("label > 9"))
+
+
+def test_centroid_logits_read_whole_vectors(spark):
+    df = spark.createDataFrame([([1.0, 0.0, 0.0], 0), ([0.0, 0.0, 1.0], 1), ([0.0, 0.0, 3.0], 1)], "v array<double>, c int")
+    model = L.class_centroids(df, "v", F.col("c"), 3)
+    assert model == [[1.0, 0.0, 0.0], [0.0, 0.0, 2.0], [0.0, 0.0, 0.0]]
+    assert [r.l for r in df.select(L.centroid_logits("v", model).alias("l")).collect()] == [[1.0, 0.0, 0.0], [0.0, 2.0, 0.0], [0.0, 6.0, 0.0]]
