@@ -25,8 +25,8 @@ from .common import table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r".*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|select)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r".*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|</[^>]*+(?:>|\Z)", re.S | re.I)
@@ -36,7 +36,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption
 legend optgroup option""".split())
-CUT_TAGS = frozenset("nav aside footer form button dialog menu head fieldset audio video canvas".split())
+CUT_TAGS = frozenset("nav aside footer form button dialog menu head fieldset audio video canvas svg annotation annotation-xml".split())
+#: start tags that end an open svg or math element, as HTML parsers do
+BREAKOUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta
+nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section""".split())
+#: elements of svg and math that hold HTML
+HTML_INSIDE = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 CUT_NAMES = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner
 sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices comment comments
@@ -75,7 +80,8 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["#root"], [-1], [0]
         self.items: list[tuple[int, str | None]] = []       # (element, text), or None where a block starts or ends
-        stack, depth = [0], {"article": 0}
+        stack = [0]
+        foreign = False                                      # whether an svg or math element may be open
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -89,6 +95,8 @@ class Page:
                 self._close(stack, tag)
                 continue
             attrs = m["attrs"] or m["attrs2"] or ""
+            if foreign and tag in BREAKOUT:
+                foreign = self._break_out(stack)
             if tag in BLOCK and tag != "hr":
                 self._implied(stack, tag)
             if tag == "br":
@@ -103,6 +111,7 @@ class Page:
                 self.items.append((me, None))
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(me)
+                foreign = foreign or tag in ("svg", "math")
         if at < len(source):
             self.items.append((stack[-1], source[at:]))
 
@@ -116,6 +125,17 @@ class Page:
             if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
                 return                                       # an inline end tag closes nothing beyond its block
 
+    def _break_out(self, stack: list[int]) -> bool:
+        """Close an svg or math element that was left open; whether one is open still."""
+        for k in range(len(stack) - 1, 0, -1):
+            tag = self.tag[stack[k]]
+            if tag in HTML_INSIDE:
+                return True
+            if tag in ("svg", "math"):
+                del stack[k:]
+                return any(self.tag[x] in ("svg", "math") for x in stack)
+        return False
+
     def _implied(self, stack: list[int], tag: str) -> None:
         ends = CLOSES.get(tag, ("p",))
         stop = HOLDS.get(tag, ())

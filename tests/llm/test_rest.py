@@ -97,6 +97,18 @@ def test_main_text():
     assert main_text("<article><p>cut <a href='x") == "cut"
 
 
+def test_main_text_around_icons_and_formulas():
+    from revspark.llm.op4_html import main_text
+    page = lambda x: main_text(f"<body><article><p>One {x} two.</p><p>Three.</p></article></body>")
+    for icon in ('<svg class="i"/>', "<math/>", "<svg><title>t</title><svg><text>a</text></svg><text>b</text></svg>",
+                 "<svg-icon></svg-icon>", "<object-card></object-card>", "<title-bar></title-bar>", "<select-box></select-box>"):
+        assert page(icon).split() == ["One", "two.", "Three."], icon
+    assert page("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>").split() == ["One", "x=2", "two.", "Three."]
+    assert page("<object data=a><b>shown</b></object>").split() == ["One", "shown", "two.", "Three."]
+    assert page("<script>a</script x>").split() == ["One", "two.", "Three."]
+    assert main_text("<article><svg><path d=a><p>Left open.</p><p>Next.</p></article>").split() == ["Left", "open.", "Next."]
+
+
 def test_pages_keep_rows(spark):
     from revspark.llm.op4_html import extract
     d = spark.createDataFrame([(1, None, None, 3), (1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, "u", "", 3)],
