@@ -5,7 +5,8 @@ density is its characters per tag, adjusted for links; a node's density sum adds
 children. The node with the greatest sum is the core; the least density on the path from body to it
 is the threshold above which subtrees beside that path also belong to the text. Where the core lies
 inside an article or main element, that element is the text. Menus, footers, adverts and the like
-(by tag, role or class name) and hidden elements are cut out before.
+(by tag, role, or whole class or id) and hidden elements are cut out before; inside an article a name
+counts on container elements only, and only where links or density agree.
 
 Cases: a null or empty html, and a page without text, give an empty text; broken markup is read as far as
 it goes: an unclosed tag, comment or script at the end is markup; repeated rows and null ids are
@@ -30,7 +31,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|</[^>]*+(?:>|\Z)", re.S | re.I)
-ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -47,31 +48,46 @@ CUT_NAMES = frozenset("""ad ads advert adverts advertisement advertisements adve
 sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices comment comments
 commentlist replies respond discussion disqus share sharing social related recommended newsletter subscribe subscription signup
 login popup modal overlay widget widgets toolbar pagination pager masthead topbar skip""".split())
+#: words that say where a part stands; a name made of these and of words of CUT_NAMES is boilerplate too
+PLACE_WORDS = frozenset("""site page main top bottom left right primary secondary wrapper wrap container box block list inner outer
+bar area slot unit""".split())
+CONTAINERS = frozenset("div section ul ol dl table article center details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: start tags that close an open element of the same kind (up to the nearest container)
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
+def _boilerplate_name(name: str, words: frozenset) -> bool:
+    """A whole class or id: one of ``words``, or made of them and of words of place only."""
+    if name in words:
+        return True
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    return not words.isdisjoint(parts) and all(x in words or x in PLACE_WORDS for x in parts)
+
+
 def _cut(tag: str, attrs: str, inside: bool) -> int:
-    """2: boilerplate whatever it holds; 1: unless it holds the article; 0: no. ``inside`` an article."""
+    """2: boilerplate whatever it holds; 1: unless it holds the article; 3: by name ``inside`` an
+    article, where density or links must agree; 0: no."""
     if tag in CUT_TAGS or tag == "header" and not inside:
         return 2 if tag != "form" else 1
     if tag in ("html", "body", "main") or not attrs:
         return 0
+    named = False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return 1
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "style" and re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", value):
             return 1
-        if name == "role" and value in CUT_ROLES:
+        if name == "role" and not CUT_ROLES.isdisjoint(value.split()):
             return 1
-        if name in ("class", "id"):
-            words = re.split(r"[^a-z0-9]+", value)
-            if not CUT_NAMES.isdisjoint(words) or "header" in words and not inside and tag != "article":
-                return 1
-    return 0
+        # the id of a heading or paragraph is a link target, not a part of the page
+        if tag in CONTAINERS and name in ("class", "id") or name == "class" and not inside and tag not in HEADINGS:
+            words = CUT_NAMES if inside or tag == "article" else CUT_NAMES | {"header"}
+            named = named or any(_boilerplate_name(x, words) for x in value.split())
+    return 0 if not named else 3 if inside else 1
 
 
 class Page:
@@ -158,11 +174,27 @@ class Page:
         gone = [False] * n
         for k in range(1, n):
             gone[k] = gone[self.parent[k]] or self.cut[k] == 2 or self.cut[k] == 1 and not holds[k]
+        if 3 in self.cut:
+            self._drop_named(gone, holds)
         return gone
 
+    def _drop_named(self, gone: list[bool], holds: list[bool]) -> None:
+        """Cut parts with a boilerplate name inside an article that are mostly links, or less than half
+        as dense as the rest of the article."""
+        chars, tags, link_chars, _ = counts(self, gone)
+        host = [-1] * len(self.tag)                          # the nearest article or main around
+        for k in range(1, len(self.tag)):
+            up = self.parent[k]
+            host[k] = up if self.tag[up] in ("article", "main") else host[up]
+            if gone[up]:
+                gone[k] = True
+            elif self.cut[k] == 3 and not holds[k] and chars[k] and host[k] > 0:
+                rest = (chars[host[k]] - chars[k]) / max(tags[host[k]] - tags[k] - 1, 1)
+                gone[k] = 2 * link_chars[k] >= chars[k] or 2 * chars[k] / max(tags[k], 1) < rest
 
-def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
-    """Composite text density of each element, and the sum over its children."""
+
+def counts(page: Page, gone: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Characters, tags, and both in links, below each element."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -182,6 +214,13 @@ def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
         link_chars[p] += link_chars[k]
         tags[p] += tags[k] + 1
         link_tags[p] += link_tags[k] + (page.tag[k] == "a")
+    return chars, tags, link_chars, link_tags
+
+
+def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
+    """Composite text density of each element, and the sum over its children."""
+    n = len(page.tag)
+    chars, tags, link_chars, link_tags = counts(page, gone)
     ratio = link_chars[0] / max(chars[0], 1)
     density, total = [0.0] * n, [0.0] * n
     for k in range(n - 1, -1, -1):

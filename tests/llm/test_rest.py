@@ -109,6 +109,23 @@ def test_main_text_around_icons_and_formulas():
     assert main_text("<article><svg><path d=a><p>Left open.</p><p>Next.</p></article>").split() == ["Left", "open.", "Next."]
 
 
+def test_main_text_and_names_inside_the_article():
+    from revspark.llm.op4_html import main_text
+    para = "<p>A paragraph of the article, long enough to be one and to say something.</p>"
+    words = lambda n: [f"w{n}{i}" for i in range(30)]
+    long = lambda n: f"<p>{' '.join(words(n))}</p>"
+    parts = [f'<section id="side-effects">{long(1)}</section>', f'<section id="discussion"><h2>Talk</h2>{long(2)}</section>',
+             '<h2 id="Social_structure">Social</h2>', '<p class="notice-period">Three months.</p>', '<p class="notice">Mind this.</p>',
+             '<p>See <a href="/hidden-gems" title="a hidden place">gems</a>.</p>', f'<div data-hidden="false" data-id="ad-12">{long(3)}</div>']
+    text = main_text(f"<body><main><article>{para * 3}{''.join(parts)}</article></main></body>").split()
+    for want in [*words(1), *words(2), "Talk", "Social", "months.", "Mind", "gems.", *words(3)]:
+        assert want in text, want
+    # boilerplate by name and by links or density
+    for part in ('<div class="ad">Buy now</div>', '<ul class="related-list"><li><a href=x>Another long headline of another page</a></li></ul>',
+                 '<div hidden>unseen</div>', '<div class=x style="color:red; display : none">unseen</div>', "<p aria-hidden=true>unseen</p>"):
+        assert main_text(f"<article>{para}{part}{para}</article>") == main_text(f"<article>{para * 2}</article>"), part
+
+
 def test_pages_keep_rows(spark):
     from revspark.llm.op4_html import extract
     d = spark.createDataFrame([(1, None, None, 3), (1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, "u", "", 3)],
