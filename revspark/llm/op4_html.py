@@ -3,8 +3,14 @@
 A page is cut into tags and texts in one pass and kept as parent links. For every node the composite
 density is its characters per tag, adjusted for links; a node's density sum adds the densities of its
 children. The node with the greatest sum is the core; the least density on the path from body to it
-is the threshold above which subtrees beside that path also belong to the text. Where the core lies
-inside an article or main element, that element is the text. Menus, footers, adverts and the like
+is the threshold above which subtrees beside that path also belong to the text, as do text, headings and
+paragraphs that stand directly in an element of the path (unless mostly links), and an h1 before the core
+where the text has none.
+
+Where the core lies inside an article or main element (the article rule), that element is the text whole,
+the outermost article where they nest, with all other articles of the winning subtree (the main element around
+it, or else its parent) that are not mostly links. The threshold then decides only on what lies beside the
+article in the main element. Menus, footers, adverts and the like
 (by tag, role, or whole class or id) and hidden elements are cut out before; inside an article a name
 counts on container elements only, and only where links or density agree.
 
@@ -53,6 +59,7 @@ PLACE_WORDS = frozenset("""site page main top bottom left right primary secondar
 bar area slot unit""".split())
 CONTAINERS = frozenset("div section ul ol dl table article center details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+SHORT_TEXT = frozenset("p blockquote pre li dt dd figcaption caption".split())
 #: start tags that close an open element of the same kind (up to the nearest container)
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
@@ -234,6 +241,55 @@ def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
     return density, total
 
 
+def _subtree(page: Page, path: list[int], at: int, gone: list[bool]) -> int:
+    """The place on ``path`` of the element whose articles are the text: the parent of the article at
+    ``at``, or of the elements around it that hold nothing else."""
+    children = [0] * len(page.tag)
+    for k in range(1, len(page.tag)):
+        children[page.parent[k]] += not gone[k]
+    up = at + 1
+    while up + 1 < len(path) and children[path[up]] == 1 and page.tag[path[up]] not in ("body", "html"):
+        up += 1
+    return min(up, len(path) - 1)
+
+
+def _beside(page: Page, gone: list[bool], chosen: list[bool], path: set[int], core: int, headline: bool) -> list[list[str]]:
+    """The texts of the chosen elements by block, with those beside them: blocks that stand directly in an
+    element of ``path`` or are headings or paragraphs there, unless mostly links, and, with ``headline``,
+    h1 elements before the core. A heading after the core needs a chosen block right after it."""
+    n = len(page.tag)
+    host, in_link, h1 = [0] * n, [False] * n, [False] * n    # host: the nearest block element
+    for k in range(1, n):
+        up, tag = page.parent[k], page.tag[k]
+        host[k] = k if tag in BLOCK else host[up]
+        in_link[k] = tag == "a" or in_link[up]
+        h1[k] = tag == "h1" or h1[up]
+    found, now = [], []
+    for k, text in [*page.items, (0, None)]:
+        if text is None:
+            if now:
+                found.append(now)
+            now = []
+        elif not gone[k]:
+            now.append((k, text))
+    out, follows = [], False
+    for block in reversed(found):
+        shown = [(k, len(t.strip())) for k, t in block if t.strip()]
+        if not shown:
+            continue
+        first = host[shown[0][0]]
+        heading = page.tag[first] in HEADINGS
+        near = first in path or page.parent[first] in path and (heading or page.tag[first] in SHORT_TEXT)
+        links = sum(c for k, c in shown if in_link[k])
+        take = (near and (not heading or first < core or follows) and 2 * links < sum(c for _, c in shown)
+                or headline and first < core and h1[first])
+        texts = [t for k, t in block if take or chosen[k]]
+        follows = bool(texts)
+        if texts:
+            out.append(texts)
+    return out[::-1]
+
+
 def main_text(source: str | None) -> str:
     """The page's article: blocks joined by line feeds, white space inside a block as one blank."""
     if not source:
@@ -246,28 +302,31 @@ def main_text(source: str | None) -> str:
     path = [core]
     while path[-1] > 0:
         path.append(page.parent[path[-1]])
-    whole = next((k for k in path if page.tag[k] in ("article", "main")), None)
     chosen = [False] * n
-    if whole is not None:
-        chosen[whole] = True
-    else:
-        body = next((i for i, k in enumerate(path) if page.tag[k] == "body"), len(path) - 1)
-        threshold = min(density[k] for k in path[:body + 1])
-        chosen[core] = True
-        on_path = set(path)
-        for k in range(1, n):
-            if page.parent[k] in on_path and k not in on_path and not gone[k] and density[k] >= threshold > 0:
+    chars, _, link_chars, _ = counts(page, gone)
+    main = next((i for i, k in enumerate(path) if page.tag[k] == "main"), None)
+    article = max((i for i, k in enumerate(path[:main]) if page.tag[k] == "article"), default=None)
+    inner, outer = 0, next((i for i, k in enumerate(path) if page.tag[k] == "body"), len(path) - 1)
+    if article is not None:
+        inner, outer = article, main if main is not None else _subtree(page, path, article, gone)
+        below = [False] * n                                  # the winning subtree's articles
+        for k in range(path[outer] + 1, n):
+            below[k] = page.parent[k] == path[outer] or below[page.parent[k]]
+            if below[k] and page.tag[k] == "article" and not gone[k] and 2 * link_chars[k] < chars[k]:
                 chosen[k] = True
+    elif main is not None:
+        inner = outer = main
+    beside = set(path[inner + 1:outer + 1]) if main is not None or article is None else set()
+    threshold = min(density[k] for k in path[:outer + 1])
+    on_path = set(path)
+    for k in range(1, n):
+        if page.parent[k] in beside and k not in on_path and not gone[k] and density[k] >= threshold and density[k] > 0:
+            chosen[k] = True
+    chosen[path[inner]] = True
     for k in range(1, n):
         chosen[k] = chosen[k] or chosen[page.parent[k]]
-    blocks, now = [], []
-    for k, text in page.items:
-        if text is None:
-            blocks.append(now)
-            now = []
-        elif chosen[k] and not gone[k]:
-            now.append(text)
-    blocks.append(now)
+    headline = not any(chosen[k] and not gone[k] and page.tag[k] == "h1" for k in range(1, n))
+    blocks = _beside(page, gone, chosen, beside, path[inner], headline)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks if b)
     return "\n".join(x for x in lines if x)
 

@@ -126,6 +126,23 @@ def test_main_text_and_names_inside_the_article():
         assert main_text(f"<article>{para}{part}{para}</article>") == main_text(f"<article>{para * 2}</article>"), part
 
 
+def test_main_text_without_article_and_with_several():
+    from revspark.llm.op4_html import main_text
+    long = "".join(f"<p>{f'word{i} ' * 30}</p>" for i in range(10))
+    got = lambda x: main_text(x).split("\n")
+    core = [" ".join([f"word{i}"] * 30) for i in range(10)]
+    assert got(f"<body><h1>A headline of some thirty chars</h1><div>{long}</div></body>") == ["A headline of some thirty chars", *core]
+    assert got(f"<body><div><h1><a href=x>Head</a></h1></div><p>Short.</p><div>{long}</div><p>End.</p></body>") == ["Head", "Short.", *core, "End."]
+    assert got(f"<body>Bare <b>text</b> here.<div>{long}</div>more</body>") == ["Bare text here.", *core, "more"]
+    assert got(f"<body><a href=a>Home</a> | <a href=b>News</a><div>{long}</div><h3>Read on</h3><ul><li><a href=c>x</a></li></ul></body>") == core
+    # articles
+    two = f"<article><h2>One</h2>{long}</article><article><h2>Two</h2><p>Short part.</p></article>"
+    assert got(f"<body><div>{two}</div></body>") == ["One", *core, "Two", "Short part."]
+    assert got(f"<body><main><h1>Head</h1>{two}<article><a href=x>Another page</a></article></main></body>") == ["Head", "One", *core, "Two", "Short part."]
+    assert got(f"<body><div><div><article>{long}</article></div><div><article><p>Part.</p></article></div></div></body>") == [*core, "Part."]
+    assert got(f"<body><h1>Head</h1><article>{long}</article><div>beside</div></body>") == ["Head", *core]
+
+
 def test_pages_keep_rows(spark):
     from revspark.llm.op4_html import extract
     d = spark.createDataFrame([(1, None, None, 3), (1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, "u", "", 3)],
