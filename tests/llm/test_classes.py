@@ -143,6 +143,27 @@ def test_toxicity_and_grades(spark, docs_of):
     assert op3_ordinal.grade_texts(d.limit(0), op3_ordinal.train(d, lab.limit(0))).count() == 0
 
 
+def test_toxicity_from_confirmed_texts_only(spark, docs_of):
+    from revspark.llm import op8_toxicity
+    rng = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(300)]
+    d = docs_of([(i, " ".join(rng.choice(words, 40)) + (" vileness" if i % 5 == 0 else "")) for i in range(800)])
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(0, 800, 10)], "doc_id long, quality int, toxic int")   # half of the toxic ones
+    for prior in (None, 0.2):
+        got = op8_toxicity.score(d, op8_toxicity.train(d, labels, prior)).collect()
+        assert all((r.score >= 0.7) == (r.doc_id % 5 == 0) for r in got), prior
+    # a text that only the unlabelled side holds takes part
+    seen = []
+    fit = op8_toxicity.fit_nnpu
+    op8_toxicity.fit_nnpu = lambda toxic, other, *a: seen.append((toxic.n, other.n)) or fit(toxic, other, *a)
+    try:
+        op8_toxicity.train(d, labels)
+    finally:
+        op8_toxicity.fit_nnpu = fit
+    free = d.filter(~op8_toxicity.held_out(d.doc_id))
+    assert seen == [(free.filter("doc_id % 10 = 0").count(), free.filter("doc_id % 10 <> 0").count())]
+
+
 def test_toxic_rows_go_with_all_columns(docs_of):
     from revspark.llm import op8_toxicity
     w = np.zeros(1 << op8_toxicity.BITS)
