@@ -52,6 +52,16 @@ def scope_pattern(tag: str) -> str:
     return rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
 
 
+def _parts(html: Column, tag: str) -> Column:
+    """The parts of ``html`` inside elements ``tag``, cut at the tags of these; null without such an element."""
+    mark = rf"(?i)</?{tag}(?=[\s/>])[^>]*>"
+    marks = F.regexp_extract_all(html, F.lit(mark), 0)
+    depths = F.aggregate(marks, F.array(F.lit(0)), lambda a, m: F.concat(a, F.array(F.greatest(
+        F.element_at(a, -1) + F.when(m.startswith("</"), -1).otherwise(1), F.lit(0)))))
+    parts = F.filter(F.arrays_zip(depths.alias("depth"), F.split(html, mark).alias("part")), lambda x: x["depth"] > 0)
+    return F.when(F.size(parts) > 0, F.transform(parts, lambda x: x["part"]))
+
+
 def _elements(html: Column, cls: str) -> Column:
     """Inner HTML of the elements of a class, in order."""
     quoted = rf"""["'](?:[^"']*\s)?{re.escape(cls)}(?:\s[^"']*)?["']"""
@@ -109,10 +119,10 @@ def page_reviews(pages: DataFrame, rules: FieldRules | None = None) -> DataFrame
     start = block_pattern(rules.id_attr)
     h = pages.select("page_id", F.regexp_replace("html", UNSEEN, " ").alias("h"))
     h = h.select("page_id", "h", F.regexp_extract_all("h", F.lit(start), 1).alias("ids"),
-                 F.regexp_extract_all("h", F.lit(scope_pattern(rules.fallback_scope)), 1).alias("scopes"))
+                 _parts(F.col("h"), rules.fallback_scope).alias("scopes"))
     bodies = F.slice(F.split("h", start), 2, 1 << 30)
     blocks = F.arrays_zip(F.col("ids").alias("id"), bodies.alias("body"))
-    scopes = F.when(F.size("scopes") > 0, F.col("scopes")).otherwise(F.array("h"))
+    scopes = F.coalesce("scopes", F.array("h"))          # an article's tags end paragraphs, so none spans two parts
     cut = F.flatten(F.transform(scopes, lambda s: F.slice(F.split(s, PARAGRAPH), 2, 1 << 30)))
     paragraphs = F.transform(cut, lambda p: F.struct(F.lit(None).cast("string").alias("id"),
                                                      F.element_at(F.split(p, PARAGRAPH_END, 2), 1).alias("body")))

@@ -111,6 +111,11 @@ def test_page_article_paragraphs(spark):
     assert [r[5] for r in page_rows(spark, html)] == ["One two three.", "A &lt; 0A&#xD800; &#; B", "Two"]
 
 
+def test_page_nested_articles(spark):
+    nested = "<p>x</p><article><p>a</p><article><p>b</p></article><p>c</p></article><p>foot</p><article><p>d</p></article>"
+    assert [r[5] for r in page_rows(spark, nested)] == ["a", "b", "c", "d"]
+
+
 def test_page_edges(spark):
     deep = "<div>" * 5000 + "<p>in" + "</div>" * 5000
     nested = "<article><p>a</p><article><p>b</p></article></article>"
