@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["op1_caps", "op2_mixing", "op3_ordinal", "op4_html", "op5_jaccard", "op6_chat", "op7_quality", "op8_toxicity",
-           "op9_warc", "op10_bpe"]
+           "op9_warc", "op10_bpe", "op11_trie", "op12_grace", "op13_codes"]
 
 
 def _modules():
