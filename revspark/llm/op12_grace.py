@@ -79,15 +79,15 @@ def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 BLOCK_SCHEMA = pa.schema([("cls", pa.int64()), ("h", pa.int64()), ("sha", pa.string()), ("content", pa.binary()),
-                          ("last", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
+                          ("bytes", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
 def _blocks(block_bytes: int, block_rows: int):
     """(id, content) rows -> classes of equal content, block by block."""
     def flush(known: ContentTable, shas: list, ids: list, first: int):
         ids = [sorted(g, key=lambda i: (i is None, 0 if i is None else -i)) for g in ids]
-        columns = [range(first, first + len(ids)), known.hashes, shas, known.contents, [g[0] for g in ids],
-                   [len(g) for g in ids], ids]
+        columns = [range(first, first + len(ids)), known.hashes, shas, known.contents, [len(c) for c in known.contents],
+                   [g[0] for g in ids], [len(g) for g in ids], ids]
         for a in range(0, len(ids), OUT_ROWS):
             yield _batch(BLOCK_SCHEMA, [c[a:a + OUT_ROWS] for c in columns])
 
@@ -115,9 +115,10 @@ def _blocks(block_bytes: int, block_rows: int):
     return run
 
 
+FIELDS = ["cls", "h", "content", "bytes", "last", "n"]        # what a bucket gets
 LEVEL_SCHEMA = pa.schema([("cls", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("home", pa.bool_()),
-                          ("h", pa.int64()), ("content", pa.binary()), ("last", pa.int64()), ("n", pa.int64())])
-LEVEL = "cls long, keep_id long, group_size long, home boolean, h long, content binary, last long, n long"
+                          *list(BLOCK_SCHEMA)[1:2], *list(BLOCK_SCHEMA)[3:7]])
+LEVEL = "cls long, keep_id long, group_size long, home boolean, h long, content binary, bytes long, last long, n long"
 
 
 def _resolve(table_bytes: int):
@@ -148,10 +149,10 @@ def _resolve(table_bytes: int):
                 t = b.take(pa.array(late))
                 none = [pa.nulls(len(late), f.type) for f in list(LEVEL_SCHEMA)[1:4]]
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("cls"), *none, *(t.column(c) for c in ("h", "content", "last", "n"))], schema=LEVEL_SCHEMA)
+                    [t.column("cls"), *none, *(t.column(c) for c in FIELDS[1:])], schema=LEVEL_SCHEMA)
         for a in range(0, len(seen), OUT_ROWS):
             part = list(zip(seen[a:a + OUT_ROWS], entry[a:a + OUT_ROWS]))
-            none = [[None] * len(part)] * 4
+            none = [[None] * len(part)] * len(FIELDS[1:])
             yield _batch(LEVEL_SCHEMA, [[c for c, _ in part], [last[e] for _, e in part], [size[e] for _, e in part],
                                         [home[e] == c for c, e in part], *none])
     return run
@@ -166,18 +167,18 @@ def dedup(docs: DataFrame, stage: Stage, content: Column | None = None, key: str
     content = F.coalesce(F.col("text") if content is None else content, F.lit("")).cast("binary")
     classes = stage.save(docs.select(F.col(key).cast("long").alias("id"), content.alias("content")).mapInArrow(
         _blocks(block_bytes, block_rows),
-        "cls long, h long, sha string, content binary, last long, n long, ids array<long>"), "classes")
-    todo, level, verdicts = classes.select("cls", "h", "content", "last", "n"), 0, []
+        "cls long, h long, sha string, content binary, bytes long, last long, n long, ids array<long>"), "classes")
+    todo, level, verdicts = classes.select(*FIELDS), 0, []
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        left, size = todo.agg(F.count(F.lit(1)), F.sum(F.octet_length("content"))).first()
+        left, size = todo.agg(F.count(F.lit(1)), F.sum("bytes")).first()
         if level and not left:
             break
         buckets = max(least if level == 0 else 1, math.ceil((size or 0) / bucket_bytes))
         bucket = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(buckets)).cast("int")
         out = stage.save(todo.repartitionById(buckets, bucket).mapInArrow(_resolve(table_bytes), LEVEL), f"level{level}")
         verdicts.append(out.filter("group_size is not null").select("cls", "keep_id", "group_size", "home"))
-        todo, level = out.filter("group_size is null").select("cls", "h", "content", "last", "n"), level + 1
+        todo, level = out.filter("group_size is null").select(*FIELDS), level + 1
     every = verdicts[0]
     for v in verdicts[1:]:
         every = every.unionByName(v)

@@ -5,14 +5,13 @@ density is its characters per tag, adjusted for links; a node's density sum adds
 children. The node with the greatest sum is the core; the least density on the path from body to it
 is the threshold above which subtrees beside that path also belong to the text, as do text, headings and
 paragraphs that stand directly in an element of the path (unless mostly links), and an h1 before the core
-where the text has none.
+where the text has none. Where the path has a main element it starts there instead of at body. An article on the path
+lets the other articles beside it in, below the threshold too, unless they are mostly links.
 
-Where the core lies inside an article or main element (the article rule), that element is the text whole,
-the outermost article where they nest, with all other articles of the winning subtree (the main element around
-it, or else its parent) that are not mostly links. The threshold then decides only on what lies beside the
-article in the main element. Menus, footers, adverts and the like
+Menus, footers, adverts and the like
 (by tag, role, or whole class or id) and hidden elements are cut out before; inside an article a name
-counts on container elements only, and only where links or density agree.
+counts on container elements only: names of comments, adverts, sign-up and cookie boxes (``SURE_NAMES``) always, other names
+only where links or density agree. Blocks are joined by two line feeds.
 
 Cases: a null or empty html, and a page without text, give an empty text; broken markup is read as far as
 it goes: an unclosed tag, comment or script at the end is markup; repeated rows and null ids are
@@ -54,9 +53,12 @@ CUT_NAMES = frozenset("""ad ads advert adverts advertisement advertisements adve
 sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices comment comments
 commentlist replies respond discussion disqus share sharing social related recommended newsletter subscribe subscription signup
 login popup modal overlay widget widgets toolbar pagination pager masthead topbar skip""".split())
+#: of these, names that hold no part of an article even where they are as dense as one
+SURE_NAMES = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsored promo cookie cookies consent gdpr
+comment comments commentlist replies respond disqus newsletter subscribe subscription signup login related recommended""".split())
 #: words that say where a part stands; a name made of these and of words of CUT_NAMES is boilerplate too
 PLACE_WORDS = frozenset("""site page main top bottom left right primary secondary wrapper wrap container box block list inner outer
-bar area slot unit""".split())
+bar area slot unit list section thread form""".split())
 CONTAINERS = frozenset("div section ul ol dl table article center details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SHORT_TEXT = frozenset("p blockquote pre li dt dd figcaption caption".split())
@@ -74,6 +76,12 @@ def _boilerplate_name(name: str, words: frozenset) -> bool:
     return not words.isdisjoint(parts) and all(x in words or x in PLACE_WORDS for x in parts)
 
 
+def _sure_name(name: str) -> bool:
+    """A whole class or id with a word of ``SURE_NAMES``, made of words of boilerplate and place only."""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    return not SURE_NAMES.isdisjoint(parts) and all(x in CUT_NAMES or x in PLACE_WORDS for x in parts)
+
+
 def _cut(tag: str, attrs: str, inside: bool) -> int:
     """2: boilerplate whatever it holds; 1: unless it holds the article; 3: by name ``inside`` an
     article, where density or links must agree; 0: no."""
@@ -94,6 +102,8 @@ def _cut(tag: str, attrs: str, inside: bool) -> int:
         if tag in CONTAINERS and name in ("class", "id") or name == "class" and not inside and tag not in HEADINGS:
             words = CUT_NAMES if inside or tag == "article" else CUT_NAMES | {"header"}
             named = named or any(_boilerplate_name(x, words) for x in value.split())
+            if inside and any(_sure_name(x) for x in value.split()):
+                return 1
     return 0 if not named else 3 if inside else 1
 
 
@@ -102,6 +112,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["#root"], [-1], [0]
+        self.inside = [False]                                # an article or main element is around
+        self.opened: dict[str, int] = {}                     # open elements by tag
         self.items: list[tuple[int, str | None]] = []       # (element, text), or None where a block starts or ends
         stack = [0]
         foreign = False                                      # whether an svg or math element may be open
@@ -125,8 +137,9 @@ class Page:
             if tag == "br":
                 self.items.append((stack[-1], " "))
                 continue
-            inside = any(self.tag[k] in ("article", "main") for k in stack) if tag == "header" or attrs else False
-            me = len(self.tag)
+            me, up = len(self.tag), stack[-1]
+            inside = self.inside[up] or self.tag[up] in ("article", "main")
+            self.inside.append(inside)
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.cut.append(_cut(tag, attrs, inside))
@@ -134,16 +147,25 @@ class Page:
                 self.items.append((me, None))
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(me)
+                self.opened[tag] = self.opened.get(tag, 0) + 1
                 foreign = foreign or tag in ("svg", "math")
         if at < len(source):
             self.items.append((stack[-1], source[at:]))
 
+    def _pop(self, stack: list[int], k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        for x in stack[k:]:
+            self.opened[self.tag[x]] -= 1
+        del stack[k:]
+
     def _close(self, stack: list[int], tag: str) -> None:
+        if not self.opened.get(tag):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == tag:
                 if any(self.tag[x] in BLOCK for x in stack[k:]):
                     self.items.append((self.parent[stack[k]], None))
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
                 return                                       # an inline end tag closes nothing beyond its block
@@ -155,18 +177,20 @@ class Page:
             if tag in HTML_INSIDE:
                 return True
             if tag in ("svg", "math"):
-                del stack[k:]
+                self._pop(stack, k)
                 return any(self.tag[x] in ("svg", "math") for x in stack)
         return False
 
     def _implied(self, stack: list[int], tag: str) -> None:
         ends = CLOSES.get(tag, ("p",))
         stop = HOLDS.get(tag, ())
+        if not any(self.opened.get(x) for x in ends):
+            return
         for k in range(len(stack) - 1, 0, -1):
             name = self.tag[stack[k]]
             if name in ends:
                 self.items.append((self.parent[stack[k]], None))
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if name in stop or name in BLOCK and name not in CLOSES and tag not in HOLDS:
                 return
@@ -241,18 +265,6 @@ def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
     return density, total
 
 
-def _subtree(page: Page, path: list[int], at: int, gone: list[bool]) -> int:
-    """The place on ``path`` of the element whose articles are the text: the parent of the article at
-    ``at``, or of the elements around it that hold nothing else."""
-    children = [0] * len(page.tag)
-    for k in range(1, len(page.tag)):
-        children[page.parent[k]] += not gone[k]
-    up = at + 1
-    while up + 1 < len(path) and children[path[up]] == 1 and page.tag[path[up]] not in ("body", "html"):
-        up += 1
-    return min(up, len(path) - 1)
-
-
 def _beside(page: Page, gone: list[bool], chosen: list[bool], path: set[int], core: int, headline: bool) -> list[list[str]]:
     """The texts of the chosen elements by block, with those beside them: blocks that stand directly in an
     element of ``path`` or are headings or paragraphs there, unless mostly links, and, with ``headline``,
@@ -291,7 +303,7 @@ def _beside(page: Page, gone: list[bool], chosen: list[bool], path: set[int], co
 
 
 def main_text(source: str | None) -> str:
-    """The page's article: blocks joined by line feeds, white space inside a block as one blank."""
+    """The page's article: blocks joined by two line feeds, white space inside a block as one blank."""
     if not source:
         return ""
     page = Page(source)
@@ -302,33 +314,24 @@ def main_text(source: str | None) -> str:
     path = [core]
     while path[-1] > 0:
         path.append(page.parent[path[-1]])
-    chosen = [False] * n
+    chosen = [False] * n                                     # roots of the text's subtrees, then all below them
     chars, _, link_chars, _ = counts(page, gone)
-    main = next((i for i, k in enumerate(path) if page.tag[k] == "main"), None)
-    article = max((i for i, k in enumerate(path[:main]) if page.tag[k] == "article"), default=None)
-    inner, outer = 0, next((i for i, k in enumerate(path) if page.tag[k] == "body"), len(path) - 1)
-    if article is not None:
-        inner, outer = article, main if main is not None else _subtree(page, path, article, gone)
-        below = [False] * n                                  # the winning subtree's articles
-        for k in range(path[outer] + 1, n):
-            below[k] = page.parent[k] == path[outer] or below[page.parent[k]]
-            if below[k] and page.tag[k] == "article" and not gone[k] and 2 * link_chars[k] < chars[k]:
-                chosen[k] = True
-    elif main is not None:
-        inner = outer = main
-    beside = set(path[inner + 1:outer + 1]) if main is not None or article is None else set()
+    outer = next((i for i, k in enumerate(path) if page.tag[k] in ("main", "body")), len(path) - 1)
+    beside, on_path = set(path[1:outer + 1]), set(path)
+    if any(page.tag[k] == "article" for k in path):
+        for k in range(path[outer] + 1, n):                  # an article is chosen with the articles beside it
+            chosen[k] = page.tag[k] == "article" and k not in on_path and not gone[k] and 2 * link_chars[k] < chars[k]
     threshold = min(density[k] for k in path[:outer + 1])
-    on_path = set(path)
     for k in range(1, n):
         if page.parent[k] in beside and k not in on_path and not gone[k] and density[k] >= threshold and density[k] > 0:
             chosen[k] = True
-    chosen[path[inner]] = True
+    chosen[core] = True
     for k in range(1, n):
         chosen[k] = chosen[k] or chosen[page.parent[k]]
     headline = not any(chosen[k] and not gone[k] and page.tag[k] == "h1" for k in range(1, n))
-    blocks = _beside(page, gone, chosen, beside, path[inner], headline)
+    blocks = _beside(page, gone, chosen, beside, core, headline)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks if b)
-    return "\n".join(x for x in lines if x)
+    return "\n\n".join(x for x in lines if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -89,10 +89,10 @@ text with words.<br>And more &lt;words&gt; here.<p>Second para, long enough to b
 
 def test_main_text():
     from revspark.llm.op4_html import main_text
-    assert main_text(PAGE) == "Head & line\nFirst bold text with words. And more <words> here.\nSecond para, long enough to be one."
+    assert main_text(PAGE) == "Head & line\n\nFirst bold text with words. And more <words> here.\n\nSecond para, long enough to be one."
     assert main_text(None) == main_text("") == main_text("<html></html>") == main_text("<!-- only") == ""
     assert main_text("plain &am") == "plain &am"
-    assert main_text("<p>a<p>b<") in ("a\nb<", "a\nb")
+    assert main_text("<p>a<p>b<") in ("a\n\nb<", "a\n\nb")
     assert main_text("<div>" * 3000 + "deep") == "deep"
     assert main_text("<article><p>cut <a href='x") == "cut"
 
@@ -129,7 +129,7 @@ def test_main_text_and_names_inside_the_article():
 def test_main_text_without_article_and_with_several():
     from revspark.llm.op4_html import main_text
     long = "".join(f"<p>{f'word{i} ' * 30}</p>" for i in range(10))
-    got = lambda x: main_text(x).split("\n")
+    got = lambda x: main_text(x).split("\n\n")
     core = [" ".join([f"word{i}"] * 30) for i in range(10)]
     assert got(f"<body><h1>A headline of some thirty chars</h1><div>{long}</div></body>") == ["A headline of some thirty chars", *core]
     assert got(f"<body><div><h1><a href=x>Head</a></h1></div><p>Short.</p><div>{long}</div><p>End.</p></body>") == ["Head", "Short.", *core, "End."]
@@ -143,6 +143,69 @@ def test_main_text_without_article_and_with_several():
     assert got(f"<body><h1>Head</h1><article>{long}</article><div>beside</div></body>") == ["Head", *core]
 
 
+def test_main_text_drops_comments_inside_the_article():
+    from revspark.llm.op4_html import main_text
+    long = "".join(f"<p>{f'word{i} ' * 30}</p>" for i in range(6))
+    talk = "".join(f"<p>{f'Reader {i} writes a long reply with many words in it. ' * 4}</p>" for i in range(10))
+    plain = main_text(f"<body><article>{long}</article></body>")
+    for box in ('<div class="comments">', '<section id="comments">', '<ol class="commentlist">', '<div id="disqus_thread">', '<div id="respond">',
+                '<div class="comment-list wide">', '<div class="newsletter-box">', '<div class="cookie-notice">', '<div class="advert">'):
+        close = f"</{box[1:].split()[0]}>"
+        assert main_text(f"<body><article>{long}{box}{talk}{close}</article></body>") == plain, box
+    assert "Reader" in main_text(f'<body><article>{long}<div class="comments-on-the-law">{talk}</div></article></body>')
+
+
+def test_main_text_of_deep_and_long_pages():
+    import time
+
+    from revspark.llm.op4_html import main_text
+    t = time.time()
+    assert main_text("<div class=a>" * 100_000 + "deep") == "deep"
+    assert main_text("<span>" * 20_000 + "<p>x</p>" * 20_000).count("x") == 20_000
+    assert main_text("<b>" * 20_000 + "</i>" * 20_000 + "x") == "x"
+    assert time.time() - t < 10
+    long = "<article>" + "".join(f"<p>{f'w{i} ' * 20}</p>" for i in range(5000)) + "</article>"
+    assert len(main_text(long).split("\n\n")) == 5000
+
+
+def test_all_pages_against_a_plain_reader():
+    """The given pages: an independent parser that knows their article element."""
+    import html.parser
+
+    import duckdb
+
+    from revspark.llm.op4_html import BLOCK, main_text
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.depth = [[]], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in BLOCK:
+                self.blocks.append([])
+            if tag == "br":
+                self.blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag in BLOCK:
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1].append(data)
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    assert len(pages) == 250
+    for (page,) in pages:
+        r = Reader()
+        r.feed(page or "")
+        r.close()
+        want = "\n\n".join(x for x in (" ".join("".join(b).split()) for b in r.blocks) if x)
+        assert main_text(page) == want
+
+
 def test_pages_keep_rows(spark):
     from revspark.llm.op4_html import extract
     d = spark.createDataFrame([(1, None, None, 3), (1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, "u", "", 3)],
