@@ -11,12 +11,16 @@ from ..functions.columns import ymd
 from ..functions.dates import relative_date
 from ..operators import ingest as I
 from ..operators import scores as S
-from ..sources import fixture
+from ..session import scratch_path
+from ..sources import fixture, io
 from ..sources import pages as PAGE
 from ..sources.io import balanced, json_ready
+from ..sources.store import Store
 from .params import AS_OF, H1_2001, JULY_2001
+from .pipeline import PipelineConfig, run_batch, run_pipeline
+from .q_labels import DOC_REVIEWS, STOP_TEST, WINDOW, sentiment_sql, topics_sql
 from .q_scores import brand_scores_all_ctes
-from .registry import register
+from .registry import ORACLE, register
 
 SPLIT_DAY = "1998-01-01"          # rows before it are "stored", later ones arrive
 CUTOFF = (dt.date.fromisoformat(AS_OF) - dt.timedelta(days=10)).isoformat()
@@ -173,13 +177,96 @@ def q_json_projection(spark, sf):
                                 "review_date"))
 
 
-@register("pipeline_day")
+@register("reviews_merge_buckets", ORACLE["reviews_upsert"])
+def q_reviews_merge_buckets(spark, sf):
+    """B10 over a hashed table: the batch rewrites the buckets it touches; same rows as the whole-table upsert."""
+    fx = fixture(spark, sf)
+    store = Store(spark, scratch_path(spark, "reviews-store"))
+    for name, rows, merge in (("stored", _old(fx), lambda old, new: new),
+                              ("batch", _batch(fx), lambda old, new: I.upsert_reviews(old, new, AS_OF))):
+        c = store.begin(name)
+        c.merge("reviews", rows, "review_id", 32, merge)
+        c.publish()
+    return store.read("reviews")
+
+
+@register("landing_accumulate", f"""{LANDED}
+SELECT {RCOLS} FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord DESC) AS rn FROM landed WHERE review_date IS NOT NULL) t WHERE rn = 1""")
+def q_landing_accumulate(spark, sf):
+    """A4: three crawls of one day gathered by review id (last row wins), a bucket at a time."""
+    every = I.landing_rows(fixture(spark, sf).landing, AS_OF, None, extra=("ord",))
+    store = Store(spark, scratch_path(spark, "landing-store"))
+    for i in range(3):
+        c = store.begin(f"crawl-{i}")
+        io.accumulate_day(c, every.where(F.pmod(F.xxhash64("ord"), F.lit(3)) == i), "day", "ord", buckets=32)
+        c.publish()
+    return store.read("day").select(*I.REVIEW_COLS)
+
+
+# B13 on prose: documents are the crawl's reviews (doc_id, source, text); every third one is stored already with another
+# product and text, and the day's two crawls overlap.
+CRAWLS = ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id % 5 = 0")
+PROSE_SQL = DOC_REVIEWS.replace("source AS product_id", "CASE WHEN doc_id % 3 = 0 THEN 'old-' || source ELSE source END AS product_id")
+
+
+def _prose_store(spark, sf):
+    """The store after both crawls, and their metrics."""
+    docs = balanced(fixture(spark, sf).table("documents"))
+    base = scratch_path(spark, "prose")
+    cfg = PipelineConfig(*[f"{base}/unused"] * 4, stopwords=STOP_TEST, id_type="string", keep=T.LATIN_TEST_CLASS, window=WINDOW)
+    crawl = docs.select(F.col("doc_id").cast("string").alias("review_id"), F.col("source").alias("product_id"),
+                        (F.col("n_chars") % 5 + 1).cast("string").alias("rating"), F.col("text").alias("review_text"),
+                        F.lit(AS_OF).alias("review_date"), F.lit("M").alias("review_size"), "doc_id")
+    store = Store(spark, f"{base}/store")
+    first = store.begin("stored")
+    stored = crawl.where("doc_id % 3 = 0").select("review_id", F.concat(F.lit("old-"), "product_id").alias("product_id"), F.lit(1.0).alias("rating"),
+                                                  F.lit("old text").alias("review_text"), F.lit("2001-01-01").cast("date").alias("review_date"), "review_size")
+    first.merge("reviews", stored, "review_id", 32, lambda old, new: new)
+    first.publish()
+    metrics = [run_batch(store, cfg, AS_OF, crawl.where(c).drop("doc_id"), f"crawl-{i}", 32).withColumn("crawl", F.lit(i))
+               for i, c in enumerate(CRAWLS)]
+    return store, metrics[0].unionByName(metrics[1])
+
+
+def _prose_upsert(keys: str, value: str) -> str:
+    return f"""{PROSE_SQL},
+ lab AS (SELECT CAST(review_id AS VARCHAR) AS review_id, product_id, substr(sentence, 1, 255) AS sentence, {topics_sql('sentence')} AS category,
+         {sentiment_sql('sentence')} AS sentiment, rating, review_date, pos FROM sent)
+SELECT review_id, min(product_id) AS product_id, {value}, arg_max(sentiment, pos) AS sentiment, min(rating) AS rating,
+       min(review_date) AS review_date FROM lab GROUP BY {keys}"""
+
+
+@register("pipeline_day", _prose_upsert("review_id, category", "arg_min(sentence, pos) AS sentence, category"))
 def q_pipeline_day(spark, sf):
-    """B13 end to end at AS_OF: the crawl's landing rows for the day are written
+    """B13 end to end on prose: the cumulative analysis after two crawls of a day."""
+    return _prose_store(spark, sf)[0].read("analysis")
+
+
+@register("pipeline_day_daily", _prose_upsert("review_id, sentence", "sentence, arg_max(category, pos) AS category"))
+def q_pipeline_day_daily(spark, sf):
+    """The same day's daily analysis table."""
+    return _prose_store(spark, sf)[0].read("daily")
+
+
+@register("pipeline_day_metrics", f"""
+ d AS (SELECT doc_id, doc_id % 3 = 0 AS stored, {CRAWLS[0]} AS c0, {CRAWLS[1]} AS c1 FROM documents),
+ m AS (SELECT 0 AS crawl, count(*) FILTER (stored) AS before_count, count(*) FILTER (c0) AS batch_count, count(*) FILTER (c0 AND stored) AS already_existing,
+              0 AS unchanged, count(*) FILTER (stored OR c0) AS after_count FROM d
+       UNION ALL SELECT 1, count(*) FILTER (stored OR c0), count(*) FILTER (c1), count(*) FILTER (c1 AND (stored OR c0)), count(*) FILTER (c1 AND c0),
+              count(*) FILTER (stored OR c0 OR c1) FROM d)
+SELECT crawl, before_count, batch_count, already_existing, CAST(unchanged AS BIGINT) AS unchanged, after_count, after_count - before_count AS inserted,
+       CASE WHEN after_count > before_count THEN 'inserted' WHEN already_existing = batch_count THEN 'all_existing'
+            WHEN unchanged = batch_count THEN 'all_unchanged' ELSE 'changes_not_inserted' END AS verdict FROM m""")
+def q_pipeline_day_metrics(spark, sf):
+    """B11 of both crawls: metrics over the touched buckets plus the rows of the others."""
+    return _prose_store(spark, sf)[1]
+
+
+@register("pipeline_day_tables")
+def q_pipeline_day_tables(spark, sf):
+    """B13 over three plain tables, end to end at AS_OF: the crawl's landing rows for the day are written
     as the landing folder, stored reviews are those before SPLIT_DAY; the result is
     the cumulative analysis table after labelling (rows-only check)."""
-    from ..session import scratch_path
-    from .pipeline import PipelineConfig, run_pipeline
     fx = fixture(spark, sf)
     base = scratch_path(spark, "pipeline")
     cfg = PipelineConfig(landing_path=f"{base}/landing", reviews_path=f"{base}/reviews",

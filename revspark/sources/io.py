@@ -73,7 +73,7 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     A replacement that was cut short between its two renames is undone first."""
     path = path.rstrip("/")
     if not table_exists(spark, path) and table_exists(spark, f"{path}.previous"):
-        _rename(spark, f"{path}.previous", path)
+        rename(spark, f"{path}.previous", path)
     return spark.read.parquet(path) if table_exists(spark, path) else None
 
 
@@ -85,18 +85,53 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
     fs, old = _fs(spark, f"{path}.previous")
     if table_exists(spark, path):
         fs.delete(old, True)
-        _rename(spark, path, f"{path}.previous")
-    _rename(spark, f"{path}.next", path)
+        rename(spark, path, f"{path}.previous")
+    rename(spark, f"{path}.next", path)
     fs.delete(old, True)
     return spark.read.parquet(path)
 
 
-def _rename(spark: SparkSession, a: str, b: str) -> None:
+def rename(spark: SparkSession, a: str, b: str) -> None:
     fs, p = _fs(spark, a)
     if not fs.rename(p, _fs(spark, b)[1]):
         raise OSError(f"cannot rename {a} to {b}")
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in the folder at ``path``, sorted; none where there is no folder."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file (manifests, journals), replacing one at ``path``."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 # --- A4 / A5: the day's landing file ---------------------------------------------------------
 def accumulate(existing: DataFrame | None, new: DataFrame, order: str, key: str = "review_id") -> DataFrame:
     """existing ∪ new, keeping the last row per key in ``order`` (new rows come after
@@ -117,6 +152,12 @@ def save_day(spark: SparkSession, new: DataFrame, path: str, order: str,
     return replace_table(merged, path)
 
 
+def accumulate_day(commit, new: DataFrame, table: str, order: str, key: str = "review_id", buckets: int = 64) -> list[str]:
+    """``save_day`` over a table of a ``store.Store``: a batch rewrites only the buckets of the day that hold one of
+    its keys. Visible once the commit is published."""
+    return commit.merge(table, new, key, buckets, lambda old, batch: accumulate(old, batch, order, key))
+
+
 def empty_typed(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

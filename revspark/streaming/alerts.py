@@ -4,10 +4,13 @@ Source: labelled rows landing as Parquet files (``readStream`` with an explicit
 schema). Event time is cast to ``timestamp`` (watermarks reject
 ``timestamp_ntz``) and watermarked, so every piece of state is bounded:
 
+* late rows: ``split_late_sink`` runs before the stateful steps. A committed ledger of the greatest event time splits
+  each micro-batch into rows that are on time and rows behind the watermark, which go to a counted late table, so the stateful
+  steps drop nothing unseen;
 * seen ids (I2): ``dropDuplicatesWithinWatermark`` on review_id;
 * send-once per (review_id, product_id, category) with a one-hour expiry (I6):
-  ``applyInPandasWithState`` keeps one timestamp per key and drops it by an
-  event-time timeout once the watermark passes the expiry;
+  ``transformWithStateInPandas`` keeps one entry per key in RocksDB and drops it by an
+  event-time timer once the watermark passes the expiry; ``whole_set_sink`` expires all keys together;
 * the recent-negatives list (I7) is a <= 100-row snapshot merged per micro-batch.
 
 Sinks are ``foreachBatch`` writers keyed by ``batch_id``: a replayed batch after a
@@ -22,14 +25,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
-                               StructType, TimestampType)
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+                               TimestampType)
 
 from ..functions import constants as K
 from ..operators import alerts as A
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import io
 
 EVENT_SCHEMA = StructType([
@@ -40,8 +43,8 @@ EVENT_SCHEMA = StructType([
 ])
 
 SENT_SCHEMA = StructType(EVENT_SCHEMA.fields + [StructField("type", StringType())])
-# Per hash bucket of alert keys: the keys sent within the expiry and their last send.
-SENT_STATE = StructType([StructField("keys", ArrayType(StringType())), StructField("last_us", ArrayType(LongType()))])
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def anomaly_stream(spark: SparkSession, path: str, schema: StructType = EVENT_SCHEMA,
@@ -59,64 +62,71 @@ def seen_once(alerts: DataFrame) -> DataFrame:
     return alerts.dropDuplicatesWithinWatermark(["review_id"])
 
 
-def _key_strings(pdf: pd.DataFrame) -> pd.Series:
-    return (pdf["review_id"].astype(str) + "\x1f" + pdf["product_id"].astype(str) + "\x1f"
-            + pdf["category"].astype(str))
-
-
-def _send_once(expiry_us: int):
-    cols = [f.name for f in SENT_SCHEMA.fields]
-
-    def fn(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = dict(zip(*state.get)) if state.exists else {}
-        wm_us = max(state.getCurrentWatermarkMs(), 0) * 1000
-        frames = [p for p in pdfs if len(p)]
-        if frames:
-            pdf = pd.concat(frames, ignore_index=True)
-            pdf["_k"] = _key_strings(pdf)
-            pdf = pdf.sort_values(["_k", "event_time", "event_id"], kind="stable").reset_index(drop=True)
-            t = pdf["event_time"].astype("datetime64[us]").astype(np.int64).to_numpy()
-            k = pdf["_k"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[starts[1:], len(k)]
-            keep = []
-            for lo, hi in zip(starts, ends):          # one pass per key, jumps between sends
-                key, seg = k[lo], t[lo:hi]
-                prev = last.get(key)
-                i = 0 if prev is None else int(np.searchsorted(seg, prev + expiry_us, side="left"))
-                while i < len(seg):
-                    keep.append(lo + i)
-                    prev = int(seg[i])
-                    i = int(np.searchsorted(seg, prev + expiry_us, side="left"))
-                if prev is not None:
-                    last[key] = prev
-            if keep:
-                yield pdf.iloc[keep][cols]
-        # Forget keys whose expiry the watermark has passed: no later event can be
-        # suppressed by them any more. Empty bucket -> drop the state.
-        last = {key: v for key, v in last.items() if v + expiry_us > wm_us}
-        if not last:
-            state.remove()
-            return
-        state.update((list(last.keys()), list(last.values())))
-        state.setTimeoutTimestamp(max(min(last.values()) // 1000 + expiry_us // 1000, wm_us // 1000 + 1))
-    return fn
+class SendOnce(StatefulProcessor):
+    """Map state of a bucket of alert keys: key -> time of its last send (event time, microseconds), an
+    entry of its own in the state store each. A micro-batch reads and writes the entries of its own keys only.
+
+    Keys share a bucket only so that one vectorised call serves many of them. A timer per bucket and batch forgets the keys whose expiry
+    the watermark has passed: no later row that isn't late can be suppressed by them any more."""
+
+    def __init__(self, expiry_us: int):
+        self.expiry_us = expiry_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getMapState("sent", "key string", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf = pdf.set_axis([*(f.name for f in SENT_SCHEMA.fields), "_key", "_bucket"], axis=1)   # computed columns come unnamed
+        pdf = pdf.sort_values(["_key", "event_time", "event_id"], kind="stable").reset_index(drop=True)
+        t = pdf["event_time"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        k = pdf["_key"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        keep: list[int] = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(k)]):
+            old = self.sent.getValue((k[lo],))
+            out = sends(t[lo:hi], None if old is None else old[0], self.expiry_us)
+            if out:
+                keep += [lo + i for i in out]
+                self.sent.updateValue((k[lo],), (int(t[keep[-1]]),))
+        if keep:
+            self.handle.registerTimer(-(-int(t[keep].max() + self.expiry_us) // 1000))
+            yield pdf.iloc[keep][[f.name for f in SENT_SCHEMA.fields]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for k in [k for k, last in self.sent.iterator() if last[0] + self.expiry_us <= due]:
+            self.sent.removeKey(k)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def sends(t: np.ndarray, last: int | None, expiry: int) -> list[int]:
+    """Positions in sorted times at which an alert goes out: the first one, then each first one at
+    least ``expiry`` after the last send. Jumps from send to send."""
+    out, i = [], 0 if last is None else int(np.searchsorted(t, last + expiry, side="left"))
+    while i < len(t):
+        out.append(i)
+        i = int(np.searchsorted(t, int(t[i]) + expiry, side="left"))
+    return out
 
 
 def send_once(alerts: DataFrame, expiry_seconds: int = K.ALERT_EXPIRY_SECONDS, buckets: int = 64) -> DataFrame:
     """Per (review_id, product_id, category) send the first alert, then again
     only once ``expiry_seconds`` have passed since the last send (event time).
 
-    Keys are grouped into ``buckets`` hash buckets so one vectorised pandas call
-    serves many keys (per-key Python calls dominate otherwise). A bucket's state
-    holds only the keys sent within the expiry; the watermark prunes the rest and
-    an event-time timeout clears idle buckets. Size ``buckets`` to a few times the
-    executor cores."""
-    b = F.pmod(F.xxhash64(*A.ALERT_KEYS), F.lit(buckets)).alias("_bucket")
-    return (alerts.select(*[f.name for f in SENT_SCHEMA.fields], b)
-            .groupBy("_bucket")
-            .applyInPandasWithState(_send_once(expiry_seconds * 1_000_000), SENT_SCHEMA, SENT_STATE,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+    A state entry per key in RocksDB, grouped into ``buckets`` so that one vectorised call serves many keys (a call per
+    key takes 8 times as long). Size ``buckets`` to a few times the executor cores. For the form in which all keys expire
+    together see ``whole_set_sink``."""
+    spark = alerts.sparkSession
+    ship_package(spark)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    keyed = alerts.select(*[f.name for f in SENT_SCHEMA.fields], F.to_json(F.struct(*A.ALERT_KEYS)).alias("_key"),
+                          F.pmod(F.xxhash64(*A.ALERT_KEYS), F.lit(buckets)).alias("_bucket"))
+    return keyed.groupBy("_bucket").transformWithStateInPandas(SendOnce(expiry_seconds * 1_000_000), SENT_SCHEMA, "Append", "EventTime")
 
 
 def batch_writer(path: str, fmt: str = "parquet"):
@@ -150,6 +160,123 @@ def _before(spark, base: str, batch_id: int) -> DataFrame | None:
     return None if last is None else spark.read.parquet(f"{base}/v={last}")
 
 
+# --- I1: rows behind the watermark -----------------------------------------------------------
+def split_late_sink(path: str, delay_seconds: int = 3600):
+    """Splits each micro-batch before the stateful steps: rows more than ``delay_seconds`` behind the greatest event time
+    of all earlier batches go to ``late/batch_id=``, the others to ``on_time/batch_id=``, the next job's source.
+
+    ``ledger/v=`` holds a row per batch: greatest event time so far, rows on time and late. A batch reads the
+    ledger of the batch before it, so a replay splits alike; its rows on time appear by one rename and aren't written
+    twice, as the next job may have read them. Rows without event time count as late."""
+    base = path.rstrip("/")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        before = _before(spark, f"{base}/ledger", batch_id)
+        top = before.first().greatest if before is not None else None
+        t = F.col("event_time")
+        late = t.isNull() if top is None else t.isNull() | (t < F.lit(top) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS"))
+        df.where(late).write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
+        done = f"{base}/on_time/batch_id={batch_id}"
+        if not io.table_exists(spark, done):
+            df.where(~late).write.mode("overwrite").parquet(f"{base}/_next/batch_id={batch_id}")
+            io.make_folder(spark, f"{base}/on_time")
+            io.rename(spark, f"{base}/_next/batch_id={batch_id}", done)
+        counts = df.agg(F.greatest(F.max(t), F.lit(top)).alias("greatest"), F.count_if(~late).alias("on_time"), F.count_if(late).alias("late"))
+        counts.write.mode("overwrite").parquet(f"{base}/ledger/v={batch_id}")
+    return write
+
+
+def on_time_stream(spark: SparkSession, path: str, schema: StructType = SENT_SCHEMA, delay: str = "1 hour") -> DataFrame:
+    """The rows that ``split_late_sink`` left on time, watermarked. All batches that wait are read together, never part of
+    one, so the watermark of this stream can't pass the ledger's and none of its rows is late."""
+    return spark.readStream.schema(schema).parquet(f"{path.rstrip('/')}/on_time/*").withWatermark("event_time", delay)
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The late table, with the batch in which each row came."""
+    return spark.read.parquet(f"{path.rstrip('/')}/late")
+
+
+def late_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, greatest, on_time, late of each batch."""
+    return spark.read.option("basePath", f"{path.rstrip('/')}/ledger").parquet(f"{path.rstrip('/')}/ledger/v=*") \
+        .withColumnRenamed("v", "batch_id")
+
+
+# --- I6, all keys expire together ------------------------------------------------------------
+def whole_set_sends(alerts: DataFrame, known: DataFrame | None = None, last: int | None = None,
+                    expiry_seconds: int = K.ALERT_EXPIRY_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Alerts that go out when the whole set of sent keys is forgotten ``expiry_seconds`` after the last send of any key.
+
+    ``known`` holds the keys in the set, ``last`` the last send (microseconds); rows older than that are taken at its time.
+    Returns the alerts to send, and the set afterwards: keys, ``_us`` (when the key went in) and ``event_id`` (null
+    for keys that were known before).
+
+    A pause of the expiry's length between any rows empties the set, so the sessions between such pauses are independent and are
+    walked together. In each turn the first row per session and key is a candidate; candidates go out up to the first
+    pause after one of them, and the session's rows behind that pause go into the next turn with an empty set. Pauses are found from the least
+    and greatest time per slot of the expiry's length, as two times in one slot are never that far apart."""
+    e, keys = expiry_seconds * 1_000_000, list(A.ALERT_KEYS)
+    cols = [f.name for f in SENT_SCHEMA.fields]
+    rows = alerts.select(*cols).withColumn("_us", F.greatest(F.unix_micros("event_time"), F.lit(last).cast("long")))
+    if known is not None:
+        rows = rows.unionByName(known.select(*keys, F.lit(last).cast("long").alias("_us")), allowMissingColumns=True)
+    rows = io.stage(rows.where("_us is not null").withColumn("_slot", F.floor(F.col("_us") / e)), "whole-set")
+    span = lambda df, *by: df.groupBy(*by, "_slot").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+    order = Window.orderBy("_slot")               # a row per slot of the batch's time span
+    opens = span(rows).select("_slot", (F.col("_lo") - F.lag("_hi").over(order) >= e).cast("int").alias("_opens"))
+    sessions = opens.select("_slot", F.sum(F.coalesce("_opens", F.lit(0))).over(order).alias("_session"))
+    todo = io.stage(rows.join(sessions, "_slot"), "whole-set")
+    newest = todo.agg(F.max("_session")).first()[0]
+    out = after = None
+    while True:
+        others = [c for c in cols if c not in keys] + ["_us", "_slot"]
+        first = (todo.groupBy("_session", *keys)
+                 .agg(F.min_by(F.struct(*others), F.struct("_us", F.col("event_id").isNotNull(), "event_time", "event_id")).alias("_v"))
+                 .select("_session", *keys, "_v.*"))
+        first = io.stage(first, "whole-set")
+        within = Window.partitionBy("_session").orderBy("_slot")
+        stop = (span(first, "_session").withColumn("_prev", F.lag("_hi").over(within)).groupBy("_session")
+                .agg(F.coalesce(F.min(F.when(F.col("_lo") - F.col("_prev") >= e, F.col("_prev"))), F.max("_hi")).alias("_end")))
+        stop = io.stage(stop.withColumn("_stop", F.col("_end") + e).drop("_end"), "whole-set")
+        first = first.join(stop, "_session").where("_us < _stop")
+        go = first.where("event_id is not null").select(*cols)
+        out = go if out is None else out.unionByName(go)
+        todo = io.stage(todo.join(stop, "_session").where("_us >= _stop").drop("_stop"), "whole-set")
+        if after is None and todo.where(F.col("_session") == F.lit(newest)).isEmpty():
+            after = first.where(F.col("_session") == F.lit(newest)).select(*keys, "_us", "event_id")
+        if todo.isEmpty():
+            return out, after
+
+
+def whole_set_sink(path: str, inner, expiry_seconds: int = K.ALERT_EXPIRY_SECONDS):
+    """I6 with one expiry for all keys, as a foreachBatch sink: hands the alerts that go out to ``inner``.
+
+    ``set/v=`` holds the keys that a batch added and ``state/v=`` one row: the batch in which the live set began and the last send. So a
+    batch writes its own keys only, reads those since the set began, and starts from the state of the batch before it when it is replayed."""
+    base = path.rstrip("/")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        before = _before(spark, f"{base}/state", batch_id)
+        state = before.first() if before is not None else None
+        known = None
+        if state is not None:
+            known = (spark.read.schema("review_id string, product_id long, category string, v long").option("basePath", f"{base}/set")
+                     .parquet(f"{base}/set").where(F.col("v").between(state.since, batch_id - 1)))
+        go, after = whole_set_sends(df, known, None if state is None else state.last, expiry_seconds)
+        inner(go, batch_id)
+        added = after.where("event_id is not null")
+        added.select(*A.ALERT_KEYS).write.mode("overwrite").parquet(f"{base}/set/v={batch_id}")
+        end = after.agg(F.max("_us").alias("last"), F.count_if(F.col("event_id").isNull()).alias("old")).first()
+        since = state.since if state is not None and (end.old or end.last is None) else batch_id
+        last = end.last if end.last is not None else (state.last if state is not None else None)
+        if last is not None:
+            spark.createDataFrame([(since, last)], "since long, last long").write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
+    return write
+
+
 def recent_list_sink(path: str, cap: int = K.RECENT_LIST_CAP):
     """I7 live: merge each micro-batch of negatives into the <= ``cap``-row list.
     Every batch writes a new snapshot folder (never the files it reads)."""

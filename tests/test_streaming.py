@@ -93,3 +93,84 @@ def test_seen_ids_replay_delivers_the_batch_again(spark, tmp_path):
     assert got[0] == ["1"]
     sink(row(1).union(row(2)), 1)
     assert got[1] == ["2"]
+
+
+def test_late_rows_go_to_a_counted_table(spark, tmp_path):
+    """Two micro-batches: rows more than an hour behind all earlier batches are late, nothing is lost, and the
+    stateful step that reads the rest drops none."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "split")
+    _write(spark, src, _rows([0, 300]) + _rows([10], key="early", start_id=50))
+    _write(spark, src, _rows([239, 241, 400], key="u2", start_id=100) + [(None, 999, "u3", 7, "error", "s", 0, 5.0)])
+    S.run_available_now(S.anomaly_stream(spark, src, max_files=1), S.split_late_sink(out), name="t-split")
+    late = S.late_rows(spark, out)
+    assert sorted((r.event_id, r.batch_id) for r in late.collect()) == [(100, 1), (999, 1)]
+    ledger = [(r.batch_id, r.on_time, r.late, r.greatest) for r in S.late_ledger(spark, out).orderBy("batch_id").collect()]
+    assert ledger == [(0, 3, 0, T0 + dt.timedelta(minutes=300)), (1, 2, 2, T0 + dt.timedelta(minutes=400))]
+    sent = str(tmp_path / "sent")
+    S.run_available_now(S.send_once(S.on_time_stream(spark, out)), S.batch_writer(sent), name="t-on-time")
+    got = sorted(r.event_id for r in spark.read.parquet(sent).collect())
+    assert got == [0, 1, 50, 101, 102] and late.count() + 5 == 7
+
+
+def test_late_split_is_replay_safe(spark, tmp_path):
+    out = str(tmp_path / "split")
+    sink = S.split_late_sink(out)
+    one, two = (spark.createDataFrame(r, S.EVENT_SCHEMA) for r in (_rows([0, 300]), _rows([10, 350], start_id=10)))
+    sink(one, 0)
+    sink(two, 1)
+    files = sorted(p.name for p in (tmp_path / "split" / "on_time").rglob("*.parquet"))
+    for f in (tmp_path / "split" / "ledger" / "v=1").iterdir():          # lost before the ledger of batch 1
+        f.unlink()
+    (tmp_path / "split" / "ledger" / "v=1").rmdir()
+    sink(two, 1)
+    assert files == sorted(p.name for p in (tmp_path / "split" / "on_time").rglob("*.parquet"))          # not written again
+    assert [r.event_id for r in S.late_rows(spark, out).collect()] == [10]
+    assert [(r.on_time, r.late) for r in S.late_ledger(spark, out).orderBy("batch_id").collect()] == [(2, 0), (1, 1)]
+
+
+def test_send_once_state_follows_live_keys(spark, tmp_path):
+    """One entry per key, forgotten when the watermark passes the key's expiry."""
+    src = str(tmp_path / "src")
+    for i in range(4):                                            # ten new keys every two hours
+        _write(spark, src, [(T0 + dt.timedelta(hours=3 * i), 100 * i + k, f"u{i}-{k}", 7, "error", "s", 0, 5.0) for k in range(10)])
+    q = (S.send_once(S.anomaly_stream(spark, src, max_files=1, watermark="10 minutes")).writeStream.foreachBatch(S.batch_writer(str(tmp_path / "out")))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40 and max(sizes) <= 44 and sizes[-1] <= 22, sizes
+    assert all(p["stateOperators"][0]["numRowsDroppedByWatermark"] == 0 for p in q.recentProgress if p["stateOperators"])
+
+
+def _whole_set(rows, expiry=60):
+    """Brute force: rows (minute, id, key) in time order; the set is empty once ``expiry`` minutes passed since the last send."""
+    known, last, out = set(), None, []
+    for t, i, k in sorted(rows):
+        if last is not None and t - last >= expiry:
+            known = set()
+        if k not in known:
+            known.add(k)
+            out.append(i)
+            last = t
+    return out
+
+
+def test_whole_set_expiry_in_one_and_many_batches(spark, tmp_path):
+    import random
+    rnd = random.Random(5)
+    rows, t = [], 0
+    for i in range(120):
+        t += rnd.choice([1, 5, 20, 45, 59, 60, 75])
+        rows.append((t, i, f"k{rnd.randrange(4)}"))
+    want = _whole_set(rows)
+    event = lambda r: (T0 + dt.timedelta(minutes=r[0]), r[1], r[2], 7, "error", "s", 0, 5.0)
+    one = str(tmp_path / "one")
+    frame = lambda part: spark.createDataFrame([(*event(r), "type") for r in part], S.SENT_SCHEMA)
+    S.whole_set_sink(f"{one}/state", S.batch_writer(f"{one}/out"))(frame(rows), 0)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{one}/out").collect()) == want
+    many, sink = str(tmp_path / "many"), None
+    sink = S.whole_set_sink(f"{many}/state", S.batch_writer(f"{many}/out"))
+    for b, a in enumerate(range(0, 120, 30)):
+        sink(frame(rows[a:a + 30]), b)
+        if b == 2:
+            sink(frame(rows[a:a + 30]), b)                        # a replayed batch
+    assert sorted(r.event_id for r in spark.read.parquet(f"{many}/out").collect()) == want
