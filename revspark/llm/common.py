@@ -46,11 +46,12 @@ class Stage:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def whole_groups(batches, keys: list[str], least_rows: int = 20_000):
+def whole_groups(batches, keys: list[str], least_rows: int = 20_000, most_rows: int | None = None):
     """Arrow batches sorted by ``keys`` -> tables that hold whole groups only.
 
     At most one unfinished group and ``least_rows`` rows are held, so a task needs memory for
-    its largest group (callers bound that by splitting groups into blocks)."""
+    its largest group (callers bound that by splitting groups into blocks). With ``most_rows`` a group
+    that is longer comes in pieces."""
     held, n = [], 0
     for b in batches:
         if not b.num_rows:
@@ -65,7 +66,10 @@ def whole_groups(batches, keys: list[str], least_rows: int = 20_000):
             yield t.slice(0, cut).combine_chunks()
             t = t.slice(cut)
         held, n = t.to_batches(), t.num_rows
-        if cut == 0:
+        if most_rows and n >= most_rows:
+            yield t.combine_chunks()
+            held, n = [], 0
+        elif cut == 0:
             least_rows = 2 * n                     # one group so far: look again when it has doubled
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
@@ -81,5 +85,13 @@ def bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
+def unused(taken, name: str) -> str:
+    """``name``, with underscores before it until no column of ``taken`` (in any case) has it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def flat(values: list, type_: pa.DataType) -> pa.Array:
     return pa.array(values, type=type_)

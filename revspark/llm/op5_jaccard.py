@@ -21,7 +21,8 @@ already are skipped: first each set is searched in its largest subtree only, wit
 the subtree's least member, which merges groups of near copies without all their pairs; then all
 subtrees that still hold several components are searched for all pairs that are apart: nothing is
 lost. There the members of a subtree's largest component are in blocks of their own, which need not
-meet each other.
+meet each other; each pair of blocks gets the sets themselves, verifies what its trees leave and merges as it goes, so it puts out fewer links
+than it has sets, however many pairs are alike but below the threshold.
 
 The order counts shingles over all documents in a hashed table of fixed size (``SKETCH`` counters;
 collisions only change the order, never the result); its logarithms, ``SKETCH`` bytes, are the one
@@ -36,10 +37,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, bounds, table, whole_groups
+from .common import Stage, bounds, table, unused, whole_groups
 from .graph import components
 from .kernel import Words, mix, shingle_sets, slices
 
@@ -48,6 +49,8 @@ THRESHOLD = (80, 100)          # as a fraction of integers
 SKETCH = 1 << 20               # counters of the shingle table
 CHUNK = 1 << 12                # counters per row of its pieces
 BLOCK = 256                    # members of a block of a subtree
+APART = 512                    # the same where sets of several components meet
+DENSE = 2000                   # pairs from which overlaps are counted by a matrix product
 BITS = 4096                    # token bitmap
 FAN_OUT = 8                    # children of a tree node
 
@@ -303,11 +306,71 @@ def _search_sets(t: tuple):
     return run
 
 
-def _search_signatures(t: tuple, alive: bool = False):
-    """Rows (key, a, b, side, node, label, size, excess, bits) sorted by key, a, b -> pairs to verify.
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` x ``right`` sets, by products of 0/1 matrices over slices of the
+    tokens that several sets have."""
+    every, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, at = every[order], at[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    token = np.cumsum(new) - 1
+    several = np.bincount(token) > 1
+    keep = several[token]
+    token, at = (np.cumsum(several) - 1)[token[keep]], at[keep]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for t in range(0, int(several.sum()), 4096):
+        a, b = np.searchsorted(token, [t, t + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[at[a:b], token[a:b] - t] = 1
+        out += (m[left] @ m[right].T).astype(np.int64)
+    return out
+
+
+def _merge(label: np.ndarray, pairs: np.ndarray, ok: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that join two labels, in turn; ``label`` is changed."""
+    out = []
+    for i, j in pairs[ok].tolist():
+        if label[i] != label[j]:
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+    return out
+
+
+def _search_apart(t: tuple):
+    """Rows (key, a, b, side, node, label, tokens) sorted by key, a, b -> links that connect the sets of a pair of
+    blocks as far as their labels leave them apart. Sets of one label aren't compared."""
+    def run(batches):
+        for tab in whole_groups(batches, ["key", "a", "b"], 1024):
+            cut = bounds(tab, ["key", "a", "b"])
+            node, label, side = (tab.column(c).to_numpy() for c in ("node", "label", "side"))
+            tokens, found = tab.column("tokens"), []
+            for p, q in zip(cut[:-1], cut[1:]):
+                lab = np.unique(label[p:q], return_inverse=True)[1]
+                if q - p < 2 or lab.max() == 0:
+                    continue
+                sets = [np.frombuffer(tokens[int(k)].as_buffer(), np.uint64) for k in range(p, q)]
+                size = np.array([len(s) for s in sets])
+                words, excess = zip(*map(signature, sets))
+                left, right = np.flatnonzero(side[p:q] == 0), np.flatnonzero(side[p:q] == 1)
+                pairs = survivors(np.array(words), size, np.array(excess), left, right, t)
+                pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
+                if len(pairs) >= DENSE:
+                    other = right if len(right) else left
+                    place = np.zeros((2, q - p), np.int64)
+                    place[0, left], place[1, other] = np.arange(len(left)), np.arange(len(other))
+                    both = overlaps(sets, left, other)[place[0, pairs[:, 0]], place[1, pairs[:, 1]]]
+                    ok = t[1] * both >= t[0] * (size[pairs[:, 0]] + size[pairs[:, 1]] - both)
+                else:
+                    ok = np.array([linked(sets[i], sets[j], t) for i, j in pairs.tolist()], bool)
+                found += [(node[p + i], node[p + j]) for i, j in _merge(lab, pairs, ok)]
+            if found:
+                yield _edges(found)
+    return run
+
 
-    ``a`` and ``b`` are blocks of a subtree (the same: searched within itself). Pairs of one label are
-    left out; ``alive`` gives only the sets that are in a pair, each paired with itself."""
+def _search_alive(t: tuple):
+    """Rows (key, a, b, side, node, label, size, excess, bits) sorted by key, a, b -> the nodes that the trees leave in a pair
+    of different labels. ``a`` and ``b`` are blocks of a subtree (the same: searched within itself)."""
     def run(batches):
         for tab in whole_groups(batches, ["key", "a", "b"]):
             cut = bounds(tab, ["key", "a", "b"])
@@ -319,24 +382,9 @@ def _search_signatures(t: tuple, alive: bool = False):
                 if q - p < 2 or lab.min() == lab.max():
                     continue
                 pairs = survivors(words[p:q], size[p:q], excess[p:q], np.flatnonzero(s == 0), np.flatnonzero(s == 1), t)
-                pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
-                if alive and len(pairs):
-                    pairs = np.repeat(np.unique(pairs)[:, None], 2, axis=1)
-                if len(pairs):
-                    found.append(np.sort(node[p + pairs], axis=1))
+                found.append(node[p + np.unique(pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]])])
             if found:
-                out = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["src", "dst"])
-    return run
-
-
-def _verify(t: tuple):
-    def run(batches):
-        for b in batches:
-            x, y = b.column("x"), b.column("y")
-            keep = [linked(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64), t)
-                    for k in range(b.num_rows)]
-            yield b.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["node"])
     return run
 
 
@@ -357,16 +405,16 @@ def _homes(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
             .sortWithinPartitions("key", "a").mapInArrow(_search_sets(t), "src long, dst long"))
 
 
-def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
+def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage, most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of blocks of every subtree that holds several components; the largest component's
-    blocks come first and meet the others' blocks only."""
-    rows = stage.save(members.select("key", "node").join(labels, "node", "left")
-                      .select("key", "node", F.coalesce("comp", "node").alias("label")), "labels")
+    blocks come first and meet the others' blocks only. Returns the tasks and the written table that they read."""
+    rows = base = stage.save(members.select("key", "node").join(labels, "node", "left")
+                             .select("key", "node", F.coalesce("comp", "node").alias("label")), "labels")
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     live = (sizes.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max_by("label", "n").alias("major"),
                                      F.max("n").alias("most"), F.sum("n").alias("n")).filter("apart > 1")
-            .select("key", "major", F.ceil(F.col("most") / BLOCK).cast("int").alias("upper"),
-                    F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lower")))
+            .select("key", "major", F.ceil(F.col("most") / most).cast("int").alias("upper"),
+                    F.ceil((F.col("n") - F.col("most")) / most).cast("int").alias("lower")))
     h = F.xxhash64("node")
     is_major = F.col("label") == F.col("major")
     block = F.when(is_major, F.pmod(h, F.col("upper"))).otherwise(F.col("upper") + F.pmod(h, F.col("lower"))).cast("int")
@@ -374,7 +422,7 @@ def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame
     mine, end = F.col("block"), F.col("upper") + F.col("lower") - 1
     to = F.transform(F.sequence(F.when(is_major, F.col("upper")).otherwise(0), end),
                      lambda o: F.when(o < mine, _pair(o, mine, 1)).otherwise(_pair(mine, o, 0)))
-    return rows.select("key", "node", "label", F.inline(to))
+    return rows.select("key", "node", "label", F.inline(to)), base
 
 
 def _block_tasks(members: DataFrame) -> DataFrame:
@@ -384,28 +432,29 @@ def _block_tasks(members: DataFrame) -> DataFrame:
     return members.join(live, "key").select("key", "node", F.col("node").alias("label"), F.inline(F.array(_pair(mine, mine, 0))))
 
 
-def _pairs(tasks: DataFrame, sigs: DataFrame, search) -> DataFrame:
-    """Distinct (src, dst) that a signature search over tasks finds."""
-    order = ["key", "a", "b"]
-    return (tasks.join(sigs, "node").select(*order, "side", "node", "label", "size", "excess", "bits")
-            .repartition(*order).sortWithinPartitions(*order).mapInArrow(search, "src long, dst long").distinct())
-
-
 def _alive(members: DataFrame, sigs: DataFrame, t: tuple, stage: Stage) -> DataFrame:
     """(node) that keep a partner in some subtree: found within blocks, and the others across them."""
-    search = _search_signatures(t, alive=True)
-    near = stage.save(_pairs(_block_tasks(members), sigs, search), "alive").select(F.col("src").alias("node"))
+    order = ["key", "a", "b"]
+
+    def search(tasks: DataFrame) -> DataFrame:
+        return (tasks.join(sigs, "node").select(*order, "side", "node", "label", "size", "excess", "bits")
+                .repartition(*order).sortWithinPartitions(*order).mapInArrow(_search_alive(t), "node long").distinct())
+    near = stage.save(search(_block_tasks(members)), "alive")
     # what is alive already needs no partner: one label for all of it
-    far = _pairs(_all_tasks(members, near.withColumn("comp", F.lit(0).cast("long")), stage), sigs, search)
-    return stage.save(near.union(far.select("src")).distinct(), "alive")
+    tasks, base = _all_tasks(members, near.withColumn("comp", F.lit(0).cast("long")), stage, BLOCK)
+    out = stage.save(near.union(search(tasks)).distinct(), "alive")
+    stage.drop(base)
+    return out
 
 
-def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
-    """Links between sets of different components that share a subtree."""
-    pairs = stage.save(_pairs(_all_tasks(members, labels, stage), sigs, _search_signatures(t)), "pairs")
-    both = (pairs.join(sets.select(F.col("node").alias("src"), F.col("tokens").alias("x")), "src")
-            .join(sets.select(F.col("node").alias("dst"), F.col("tokens").alias("y")), "dst").select("src", "dst", "x", "y"))
-    return stage.save(both.mapInArrow(_verify(t), "src long, dst long"), "links")
+def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
+    """Links between sets of different components that share a subtree: as many as connect them."""
+    order = ["key", "a", "b"]
+    tasks, base = _all_tasks(members, labels, stage, APART)
+    out = stage.save(tasks.join(sets, "node").select(*order, "side", "node", "label", "tokens").repartition(*order)
+                     .sortWithinPartitions(*order).mapInArrow(_search_apart(t), "src long, dst long"), "links")
+    stage.drop(base)
+    return out
 
 
 def _subtrees(rows: DataFrame) -> DataFrame:
@@ -432,23 +481,31 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     shared = stage.save(d.select("text").mapInArrow(_postings(width, threshold, levels), "key long, node long, short boolean")
                         .repartition("key").sortWithinPartitions("key", "node")
                         .mapInArrow(_shared, "key long, node long, short boolean"), "shared")
-    members = stage.save(shared.join(stage.save(_subtrees(shared), "subtrees"), "key", "left_semi"), "members")
+    subtrees = stage.save(_subtrees(shared), "subtrees")
+    every = stage.save(shared.join(subtrees, "key", "left_semi"), "members")
     stage.drop(shared)
-    sigs = stage.save(nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+    stage.drop(subtrees)
+    sigs = stage.save(nodes.join(every.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.any_value("n_shingles").alias("size"), F.any_value("excess").alias("excess"), F.any_value("bits").alias("bits")), "signatures")
-    alive = _alive(members, sigs, threshold, stage)
-    members = stage.save(members.join(alive, "node", "left_semi").select("key", "node"), "members")
+    alive = _alive(every, sigs, threshold, stage)
+    members = stage.save(every.join(alive, "node", "left_semi").select("key", "node"), "members")
+    stage.drop(every)
+    stage.drop(sigs)
     # one text for each of these nodes
     one = (nodes.join(alive, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"))
            .select(F.xxhash64("o.doc_id", "o.text_hash").alias("_row")))
-    text = d.withColumn("_row", F.xxhash64("doc_id", "text_hash")).join(stage.save(one, "wanted"), "_row", "left_semi")
-    text = text.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))).filter("_no = 1")
-    sets = stage.save(text.select("text").mapInArrow(_set_rows(width), "node long, tokens binary"), "sets")
+    text = d.withColumn("_row", F.xxhash64("doc_id", "text_hash")).join(stage.save(one, "wanted").distinct(), "_row", "left_semi")
+    sets = (text.select("text").mapInArrow(_set_rows(width), "node long, tokens binary")
+            .groupBy("node").agg(F.any_value("tokens").alias("tokens")))
+    sets = stage.save(sets, "sets")
     found = stage.save(_homes(members, sets, threshold), "links")
-    found = found.union(_apart(members, components(found, stage), sigs, sets, threshold, stage))
-    comp = (nodes.drop("bits").join(components(found, stage), "node", "left")
+    more = _apart(members, components(found, stage), sets, threshold, stage)
+    stage.drop(members)
+    stage.drop(sets)
+    comp = (nodes.drop("bits").join(components(found.union(more), stage), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     comp = stage.save(comp, "labelled")
+    stage.drop(both)
     least = comp.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (comp.join(least, "comp", "left")
             .select("doc_id", "text_hash", "n_shingles", "node", "comp",
@@ -457,14 +514,22 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
 
 def one_of_each(docs: DataFrame, stage: Stage, width: int = WIDTH, threshold: tuple = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component one row with its least doc_id
-    stays (a row without id only if none has one), and every text without words."""
+    stays (a row without id only if none has one), and every text without words.
+
+    Texts meet the kept rows once, unsorted; only rows whose id and text occur more than once are reduced to one of them. All columns
+    come back as they are, whatever their names."""
+    row, n = unused(docs.columns, "_row"), unused(docs.columns, "_n")
     comp = jaccard_components(docs, stage, width, threshold).filter("n_shingles > 0")
-    first = comp.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("o"))
-    first = stage.save(first.select(F.xxhash64("o.doc_id", "o.text_hash").alias("_row"), F.lit(True).alias("_first")), "kept")
-    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    d = docs.withColumns({"_row": F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), "_blank": blank})
-    d = d.join(first, "_row", "left").withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1))))
-    return d.filter("_blank or _first and _no = 1").select(*docs.columns)
+    same = (comp.groupBy("comp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("comp")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("o")))
+    first = stage.save(same.select(F.xxhash64("o.doc_id", "o.text_hash").alias(row), F.col("o.n").alias(n)).distinct(), "kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = (docs.filter(worded).withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+             .join(first.hint("shuffle_hash"), row))
+    out = docs.filter(~worded).unionByName(found.filter(F.col(n) == 1).select(*docs.columns))
+    if not first.filter(F.col(n) > 1).isEmpty():
+        out = out.unionByName(found.filter(F.col(n) > 1).dropDuplicates([row]).select(*docs.columns))
+    return out
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,70 @@ def test_jaccard_blocks_smaller_than_groups(docs_of, stage, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in m.jaccard_components(docs_of(rows), stage).collect()) == brute_components(rows)
 
 
+def near_copies(n=160, seed=2):
+    """One group whose members are alike, most pairs just below the threshold, some above."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for j in rng.choice(120, int(rng.integers(1, 4)), replace=False):
+            t[int(j)] = f"n{rng.integers(10**6)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("apart,dense", [(512, 2000), (7, 5), (7, 10**9)])
+def test_jaccard_of_one_large_group_of_near_copies(docs_of, stage, monkeypatch, apart, dense):
+    import revspark.llm.op5_jaccard as m
+    monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "APART", apart)
+    monkeypatch.setattr(m, "DENSE", dense)
+    rows = near_copies()
+    want = brute_components(rows)
+    assert 1 < len({k[2] for k in want}) < 160
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in m.jaccard_components(docs_of(rows), stage).collect()) == want
+
+
+def test_blocks_put_out_fewer_links_than_sets():
+    """However many pairs the trees leave: none where none links, a chain at most where all do."""
+    import revspark.llm.op5_jaccard as m
+    from revspark.llm.kernel import Words, shingle_sets
+
+    def links(texts):
+        sets = shingle_sets(Words(pa.array(texts)), 5)
+        n = len(sets)
+        b = pa.RecordBatch.from_pydict({"key": [1] * n, "a": [0] * n, "b": [0] * n, "side": [0] * n, "node": list(range(n)),
+                                        "label": list(range(n)), "tokens": [x.tobytes() for x in sets]})
+        return [(i, j) for out in m._search_apart((80, 100))([b]) for i, j in zip(*out.to_pydict().values())]
+    base = [f"b{i}" for i in range(100)]
+    apart = [" ".join(f"x{i}-{j}" if j in (10 + i % 20, 40 + i % 20, 70 + i % 20) else w for j, w in enumerate(base)) for i in range(80)]
+    sets = shingle_sets(Words(pa.array(apart)), 5)
+    assert not any(m.linked(sets[i], sets[j], (80, 100)) for i in range(80) for j in range(i)) and links(apart) == []
+    alike = [" ".join([*base, f"x{i}"]) for i in range(80)]
+    assert len(links(alike)) == 79
+
+
+def test_overlaps_by_products():
+    from revspark.llm.op5_jaccard import overlaps
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9000, int(rng.integers(1, 6000))).astype(np.uint64)) for _ in range(12)]
+    got = overlaps(sets, np.arange(5), np.arange(5, 12))
+    assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in range(5, 12)] for i in range(5)]
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark, stage):
+    from revspark.llm.op5_jaccard import one_of_each
+    names = ["_first", "_row", "_no", "_blank", "n", "comp", "_N"]
+    text = "one two three four five six"
+    rows = [(1, text, *[f"{n}1" for n in names]), (2, text.upper(), *[f"{n}2" for n in names]), (1, text, *[f"{n}1" for n in names]),
+            (3, " ", *[f"{n}3" for n in names]), (None, None, *[f"{n}4" for n in names])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = one_of_each(d, stage)
+    assert got.columns == d.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, d.filter("`_first` != '_first2'").distinct().collect()))
+
+
 def test_jaccard_no_rows(docs_of, stage):
     from revspark.llm.op5_jaccard import jaccard_components
     assert jaccard_components(docs_of([(1, "a")]).filter("doc_id < 0"), stage).count() == 0
