@@ -43,11 +43,53 @@ def test_mixing(spark, stage):
         taken[r.source] += r.taken
     for r in a:
         assert abs(taken[r.source] - r.target) <= 60
-    out = take_copies(d, mix_sources(d, stage))
+    out = take_copies(d, mix_sources(d, stage), stage)
     assert out.columns == d.columns and out.count() == sum(r.copies for r in a if r.copies > 0)
+    # what is taken: as often as decided, with all columns as they were
+    want = Counter()
+    for r in a:
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    got = Counter((r.doc_id, r.source, words(r.text)) for r in out.collect())
+    assert got == Counter({k: v for k, v in want.items() if v}) and {r.size for r in out.collect()} == {"x"}
     assert mix_sources(d.limit(0), stage).count() == 0
 
 
+def test_copies_of_repeated_rows(spark, stage):
+    """Rows that agree in id, source and size get numbers of copies that add up; columns of any name come back."""
+    from pyspark.sql import functions as F
+
+    from revspark.llm.op2_mixing import mix_sources, take_copies
+    rows = [(7, f"same {i % 3}", "a", i, i, "c") for i in range(60)] + [(i, "w " * (i % 9), "b", i, i, "c") for i in range(100, 140)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, _k1 long, copies string")
+    mixed = stage.save(mix_sources(d, stage, factor=0.7), "mixed")
+    out = take_copies(d, mixed, stage).collect()
+    assert sum(1 for r in out if r.doc_id == 7) == mixed.filter("doc_id = 7").agg(F.sum("copies")).first()[0] > 0
+    assert {tuple(r) for r in out} <= set(rows) and len(out) == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_sources_come_near_their_targets(spark, stage):
+    """Within the size of the source's median document, on the given documents."""
+    from revspark.llm.op2_mixing import mix_sources
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = defaultdict(list)
+    for r in mix_sources(d, stage).collect():
+        by[r.source].append(r)
+    for rows in by.values():
+        gap = abs(sum(r.taken for r in rows) - rows[0].target)
+        assert gap <= sorted(r.size for r in rows)[len(rows) // 2], (rows[0].source, gap)
+
+
+def test_mixing_of_blocks_longer_than_a_task_takes(spark, stage, monkeypatch):
+    import revspark.llm.op2_mixing as m
+    monkeypatch.setattr(m, "MOST", 40)
+    d = spark.createDataFrame([(1, "a b c", "s")] * 300 + [(2, "d e", "t")] * 10, "doc_id long, text string, source string")
+    rows = m.mix_sources(d, stage).collect()
+    assert len(rows) == 310
+    for s in "st":
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 24
+
+
 def test_caps_against_brute_force(spark, stage):
     from revspark.llm.op1_caps import cap_links
     rng = np.random.default_rng(6)
