@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken 0 to 2 times, towards their sources' target words."""
-    return op2_mixing.take_copies(docs, op2_mixing.mix_sources(docs, Stage(spark, "pipeline-op2")))
+    stage = Stage(spark, "pipeline-op2")
+    return op2_mixing.take_copies(docs, op2_mixing.mix_sources(docs, stage), stage)
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
