@@ -21,8 +21,9 @@ already are skipped: first each set is searched in its largest subtree only, wit
 the subtree's least member, which merges groups of near copies without all their pairs; then all
 subtrees that still hold several components are searched for all pairs that are apart: nothing is
 lost. There the members of a subtree's largest component are in blocks of their own, which need not
-meet each other; each pair of blocks gets the sets themselves, verifies what its trees leave and merges as it goes, so it puts out fewer links
-than it has sets, however many pairs are alike but below the threshold.
+meet each other. A pair of sets is taken up in the least of the subtrees that they share only. Where the trees leave a block at most
+``FEW`` pairs per set, these are put out and verified by a join; a block with more (sets that are alike, but
+below the threshold) gets the sets themselves, verifies in the task and merges as it goes, so it puts out fewer links than it has sets.
 
 The order counts shingles over all documents in a hashed table of fixed size (``SKETCH`` counters;
 collisions only change the order, never the result); its logarithms, ``SKETCH`` bytes, are the one
@@ -49,7 +50,7 @@ THRESHOLD = (80, 100)          # as a fraction of integers
 SKETCH = 1 << 20               # counters of the shingle table
 CHUNK = 1 << 12                # counters per row of its pieces
 BLOCK = 256                    # members of a block of a subtree
-APART = 512                    # the same where sets of several components meet
+FEW = 2                        # pairs per set that a block puts out
 DENSE = 2000                   # pairs from which overlaps are counted by a matrix product
 BITS = 4096                    # token bitmap
 FAN_OUT = 8                    # children of a tree node
@@ -310,6 +311,8 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     """Sizes of the intersections of all ``left`` x ``right`` sets, by products of 0/1 matrices over slices of the
     tokens that several sets have."""
     every, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if not len(every):
+        return np.zeros((len(left), len(right)), np.int64)
     order = np.argsort(every, kind="stable")
     every, at = every[order], at[order]
     new = np.concatenate([[True], every[1:] != every[:-1]])
@@ -336,7 +339,16 @@ def _merge(label: np.ndarray, pairs: np.ndarray, ok: np.ndarray) -> list[tuple[i
     return out
 
 
-def _search_apart(t: tuple):
+def _verified(sets: list[np.ndarray], size: np.ndarray, pairs: np.ndarray, left: np.ndarray, right: np.ndarray, t: tuple) -> np.ndarray:
+    """Which pairs link."""
+    if len(pairs) < DENSE:
+        return np.array([linked(sets[i], sets[j], t) for i, j in pairs.tolist()], bool)
+    other = right if len(right) else left
+    both = overlaps(sets, left, other)[np.searchsorted(left, pairs[:, 0]), np.searchsorted(other, pairs[:, 1])]
+    return t[1] * both >= t[0] * (size[pairs[:, 0]] + size[pairs[:, 1]] - both)
+
+
+def _search_dense(t: tuple):
     """Rows (key, a, b, side, node, label, tokens) sorted by key, a, b -> links that connect the sets of a pair of
     blocks as far as their labels leave them apart. Sets of one label aren't compared."""
     def run(batches):
@@ -354,20 +366,57 @@ def _search_apart(t: tuple):
                 left, right = np.flatnonzero(side[p:q] == 0), np.flatnonzero(side[p:q] == 1)
                 pairs = survivors(np.array(words), size, np.array(excess), left, right, t)
                 pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
-                if len(pairs) >= DENSE:
-                    other = right if len(right) else left
-                    place = np.zeros((2, q - p), np.int64)
-                    place[0, left], place[1, other] = np.arange(len(left)), np.arange(len(other))
-                    both = overlaps(sets, left, other)[place[0, pairs[:, 0]], place[1, pairs[:, 1]]]
-                    ok = t[1] * both >= t[0] * (size[pairs[:, 0]] + size[pairs[:, 1]] - both)
-                else:
-                    ok = np.array([linked(sets[i], sets[j], t) for i, j in pairs.tolist()], bool)
-                found += [(node[p + i], node[p + j]) for i, j in _merge(lab, pairs, ok)]
+                found += [(node[p + i], node[p + j]) for i, j in _merge(lab, pairs, _verified(sets, size, pairs, left, right, t))]
             if found:
                 yield _edges(found)
     return run
 
 
+def _least_shared(keys: list[np.ndarray], key: int, pairs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs share no subtree whose key is less than ``key``."""
+    before = [k[:np.searchsorted(k, key)] for k in keys]
+    if len(pairs) < DENSE:
+        return np.array([not len(np.intersect1d(before[i], before[j], assume_unique=True)) for i, j in pairs.tolist()], bool)
+    other = right if len(right) else left
+    both = overlaps(before, left, other)
+    return both[np.searchsorted(left, pairs[:, 0]), np.searchsorted(other, pairs[:, 1])] == 0
+
+
+def _search_apart(t: tuple):
+    """Rows (key, a, b, side, node, label, size, excess, bits, keys) sorted by key, a, b -> pairs to verify (src, dst), or a
+    row (key, a, b) for a block that would put out more than ``FEW`` pairs per set."""
+    def run(batches):
+        for tab in whole_groups(batches, ["key", "a", "b"]):
+            cut = bounds(tab, ["key", "a", "b"])
+            node, label, side, size, excess, key, a, b = (
+                tab.column(c).to_numpy() for c in ("node", "label", "side", "size", "excess", "key", "a", "b"))
+            words = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in tab.column("bits")])
+            found, dense = [], []
+            for p, q in zip(cut[:-1], cut[1:]):
+                lab, s = label[p:q], side[p:q]
+                if q - p < 2 or lab.min() == lab.max():
+                    continue
+                left, right = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
+                pairs = survivors(words[p:q], size[p:q], excess[p:q], left, right, t)
+                pairs = pairs[lab[pairs[:, 0]] != lab[pairs[:, 1]]]
+                if len(pairs):
+                    keys = [x.values.to_numpy() for x in tab.column("keys").slice(p, q - p)]
+                    pairs = pairs[_least_shared(keys, key[p], pairs, left, right)]
+                if len(pairs) > FEW * (q - p):
+                    dense.append((key[p], a[p], b[p]))
+                elif len(pairs):
+                    found.append(np.sort(node[p + pairs], axis=1))
+            out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            n, m = len(out), len(dense)
+            if n + m:
+                null = lambda k, type_: pa.nulls(k, type_)
+                where = [pa.array([int(d[i]) for d in dense], type_) for i, type_ in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(out[:, i]), null(m, pa.int64())]) for i in (0, 1)]
+                    + [pa.concat_arrays([null(n, w.type), w]) for w in where], names=["src", "dst", "key", "a", "b"])
+    return run
+
+
 def _search_alive(t: tuple):
     """Rows (key, a, b, side, node, label, size, excess, bits) sorted by key, a, b -> the nodes that the trees leave in a pair
     of different labels. ``a`` and ``b`` are blocks of a subtree (the same: searched within itself)."""
@@ -447,14 +496,36 @@ def _alive(members: DataFrame, sigs: DataFrame, t: tuple, stage: Stage) -> DataF
     return out
 
 
-def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
+def _verify(t: tuple):
+    def run(batches):
+        for b in batches:
+            x, y = b.column("x"), b.column("y")
+            keep = [linked(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64), t)
+                    for k in range(b.num_rows)]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+    return run
+
+
+def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
     """Links between sets of different components that share a subtree: as many as connect them."""
     order = ["key", "a", "b"]
-    tasks, base = _all_tasks(members, labels, stage, APART)
-    out = stage.save(tasks.join(sets, "node").select(*order, "side", "node", "label", "tokens").repartition(*order)
-                     .sortWithinPartitions(*order).mapInArrow(_search_apart(t), "src long, dst long"), "links")
+    tasks, base = _all_tasks(members, labels, stage, BLOCK)
+    keys = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))      # at most a prefix's length
+    found = (tasks.join(sigs.join(keys, "node"), "node").select(*order, "side", "node", "label", "size", "excess", "bits", "keys")
+             .repartition(*order).sortWithinPartitions(*order)
+             .mapInArrow(_search_apart(t), "src long, dst long, key long, a int, b int"))
+    found = stage.save(found, "pairs")
+    pairs = found.filter("src is not null").select("src", "dst").distinct()
+    both = (pairs.join(sets.select(F.col("node").alias("src"), F.col("tokens").alias("x")), "src")
+            .join(sets.select(F.col("node").alias("dst"), F.col("tokens").alias("y")), "dst").select("src", "dst", "x", "y"))
+    dense = tasks.join(found.filter("src is null").select(*order), order, "left_semi").join(sets, "node")
+    links = stage.save(
+        both.mapInArrow(_verify(t), "src long, dst long").union(
+            dense.select(*order, "side", "node", "label", "tokens").repartition(*order).sortWithinPartitions(*order)
+            .mapInArrow(_search_dense(t), "src long, dst long")), "links")
     stage.drop(base)
-    return out
+    stage.drop(found)
+    return links
 
 
 def _subtrees(rows: DataFrame) -> DataFrame:
@@ -490,7 +561,6 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     alive = _alive(every, sigs, threshold, stage)
     members = stage.save(every.join(alive, "node", "left_semi").select("key", "node"), "members")
     stage.drop(every)
-    stage.drop(sigs)
     # one text for each of these nodes
     one = (nodes.join(alive, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"))
            .select(F.xxhash64("o.doc_id", "o.text_hash").alias("_row")))
@@ -499,8 +569,9 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
             .groupBy("node").agg(F.any_value("tokens").alias("tokens")))
     sets = stage.save(sets, "sets")
     found = stage.save(_homes(members, sets, threshold), "links")
-    more = _apart(members, components(found, stage), sets, threshold, stage)
+    more = _apart(members, components(found, stage), sigs, sets, threshold, stage)
     stage.drop(members)
+    stage.drop(sigs)
     stage.drop(sets)
     comp = (nodes.drop("bits").join(components(found.union(more), stage), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))

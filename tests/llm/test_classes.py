@@ -84,11 +84,11 @@ def near_copies(n=160, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("apart,dense", [(512, 2000), (7, 5), (7, 10**9)])
-def test_jaccard_of_one_large_group_of_near_copies(docs_of, stage, monkeypatch, apart, dense):
+@pytest.mark.parametrize("block,few,dense", [(256, 2, 2000), (16, 0, 5), (16, 2, 10**9)])
+def test_jaccard_of_one_large_group_of_near_copies(docs_of, stage, monkeypatch, block, few, dense):
     import revspark.llm.op5_jaccard as m
-    monkeypatch.setattr(m, "BLOCK", 16)
-    monkeypatch.setattr(m, "APART", apart)
+    monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "FEW", few)
     monkeypatch.setattr(m, "DENSE", dense)
     rows = near_copies()
     want = brute_components(rows)
@@ -106,7 +106,7 @@ def test_blocks_put_out_fewer_links_than_sets():
         n = len(sets)
         b = pa.RecordBatch.from_pydict({"key": [1] * n, "a": [0] * n, "b": [0] * n, "side": [0] * n, "node": list(range(n)),
                                         "label": list(range(n)), "tokens": [x.tobytes() for x in sets]})
-        return [(i, j) for out in m._search_apart((80, 100))([b]) for i, j in zip(*out.to_pydict().values())]
+        return [(i, j) for out in m._search_dense((80, 100))([b]) for i, j in zip(*out.to_pydict().values())]
     base = [f"b{i}" for i in range(100)]
     apart = [" ".join(f"x{i}-{j}" if j in (10 + i % 20, 40 + i % 20, 70 + i % 20) else w for j, w in enumerate(base)) for i in range(80)]
     sets = shingle_sets(Words(pa.array(apart)), 5)
