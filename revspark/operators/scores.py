@@ -61,10 +61,11 @@ def _with_topic_scores(df: DataFrame, topics: Sequence[str]) -> DataFrame:
 
 
 def topic_scores(analysis: DataFrame, products: DataFrame, entity: str = "brand",
-                 topics: Sequence[str] = K.SCORE_TOPICS) -> DataFrame:
+                 topics: Sequence[str] = K.SCORE_TOPICS, stats: DataFrame | None = None) -> DataFrame:
     """(entity, topic, score, count) for every entity with analysis rows and every
-    topic; topics without mentions get score 0 and count 0."""
-    stats = product_stats(analysis, topics)
+    topic; topics without mentions get score 0 and count 0. ``stats`` are the product
+    statistics where they are known already (here and below)."""
+    stats = product_stats(analysis, topics) if stats is None else stats
     if entity == "product_id":
         ent = stats
     else:
@@ -88,7 +89,7 @@ def _cap_round(x: Column) -> Column:
 
 
 def brand_scores(analysis: DataFrame, products: DataFrame, *, all_brands: bool = True,
-                 topics: Sequence[str] = K.SCORE_TOPICS) -> DataFrame:
+                 topics: Sequence[str] = K.SCORE_TOPICS, stats: DataFrame | None = None) -> DataFrame:
     """Brand score = avg sentiment * 50 * w_n * w_pos * w_topic, 2 dp, capped at 100.
 
     ``all_brands=True`` is the batch re-scoring of every brand: the topic minimum is
@@ -96,7 +97,7 @@ def brand_scores(analysis: DataFrame, products: DataFrame, *, all_brands: bool =
     ``all_brands=False`` is the single-brand page: only brands with rows, the
     minimum over topics with at least one mention; no such topic -> NULL score.
     """
-    stats = product_stats(analysis, topics)
+    stats = product_stats(analysis, topics) if stats is None else stats
     prods = products.where(F.col("brand").isNotNull()).select("product_id", "brand")
     how = "left" if all_brands else "inner"
     per = _rollup(prods.join(stats, "product_id", how), "brand", topics)
@@ -179,10 +180,11 @@ def product_profile(analysis: DataFrame, products: DataFrame, as_of) -> DataFram
 
 
 def product_scores(analysis: DataFrame, products: DataFrame, as_of,
-                   topics: Sequence[str] = K.SCORE_TOPICS) -> DataFrame:
+                   topics: Sequence[str] = K.SCORE_TOPICS, stats: DataFrame | None = None) -> DataFrame:
     """Product score for every product with analysis rows: one aggregation of the analysis table
     (topic sums and profile together) meets the product dimension."""
-    st = _with_topic_scores(product_stats(analysis, topics, _profile_counts(as_of)), topics)
+    stats = product_stats(analysis, topics, _profile_counts(as_of)) if stats is None else stats
+    st = _with_topic_scores(stats, topics)
     pairs = F.arrays_zip(F.array(*[F.col(f"score{i}") for i in range(len(topics))]).alias("s"),
                          F.array(*[F.col(f"tc{i}") for i in range(len(topics))]).alias("c"))
     st = st.select("product_id", "n", "sent_sum", "review_count", "recent_reviews", "past_reviews",
