@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..functions import constants as K
 from ..functions.columns import count_in, grade, round_half_even, topic_list
 from ..functions.dates import as_date
+from ..sources.io import stage
 
 
 def _topic_sums(topics: Sequence[str]) -> list[Column]:
@@ -229,9 +230,10 @@ def _ends(df: DataFrame, key: str, kind: str, k: int) -> DataFrame:
 def rankings_top_bottom(brand_scores_df: DataFrame, product_scores_df: DataFrame, k: int = 3,
                         min_reviews: int = K.MIN_BRAND_REVIEWS) -> DataFrame:
     """Top k and bottom k (bottom listed in descending order) of both rankings.
-    Each side is a TakeOrderedAndProject; the window only numbers k rows."""
+    Each score table (a row per entity) is written once, as both ends read it; each side is a
+    TakeOrderedAndProject and the window only numbers k rows."""
     b = brand_scores_df.where(F.col("review_count") >= min_reviews).select(
         F.col("brand").alias("key"), "overall_score")
     p = product_scores_df.where(F.col("overall_score") > 0).select(
         F.col("product_id").cast("string").alias("key"), "overall_score")
-    return _ends(b, "key", "brands", k).unionByName(_ends(p, "key", "products", k))
+    return _ends(stage(b, "brand-ends"), "key", "brands", k).unionByName(_ends(stage(p, "product-ends"), "key", "products", k))

@@ -110,9 +110,8 @@ def size_satisfaction_topk(stats: DataFrame, k: int = 3) -> DataFrame:
     desc = Window.partitionBy("product_id").orderBy(F.col("satisfaction_score").desc(), F.col("review_size"))
     asc = Window.partitionBy("product_id").orderBy(F.col("satisfaction_score").asc(), F.col("review_size").desc())
     r = s.select("*", F.row_number().over(desc).alias("pos"), F.row_number().over(asc).alias("_back"))
-    top = r.where(F.col("pos") <= k).withColumn("kind", F.lit("top"))
-    bottom = r.where(F.col("_back") <= k).withColumn("kind", F.lit("bottom"))
-    return top.unionByName(bottom).drop("_back")
+    kinds = F.filter(F.array(F.when(F.col("pos") <= k, "top"), F.when(F.col("_back") <= k, "bottom")), lambda x: x.isNotNull())
+    return (r.where((F.col("pos") <= k) | (F.col("_back") <= k)).withColumn("kind", F.explode(kinds)).drop("_back"))
 
 
 def split_joined_rows(df: DataFrame, c: str, sep: str = " || ", out: str = "sentence") -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 from ..sources.fixtures import duckdb_with
 from .registry import ORACLE, QUERIES
 
-MODULES = ["q_scores", "q_anomalies", "q_trends", "q_search", "q_sizes", "q_ingest", "q_labels", "q_alerts", "q_maintained"]
+MODULES = ["q_scores", "q_anomalies", "q_trends", "q_search", "q_sizes", "q_ingest", "q_labels", "q_alerts", "q_maintained", "q_sources"]
 
 
 def _load():

@@ -231,7 +231,21 @@ def q_alerts_seen_once(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
-@register("alert_sink_messages")
+def _json(*fields: str) -> str:
+    """SQL text of a JSON object's fields; names ending in = are text."""
+    return " || ',' || ".join(f"'\"{f[:-1]}\":\"' || {f[:-1]} || '\"'" if f.endswith("=") else f"'\"{f}\":' || CAST({f} AS VARCHAR)" for f in fields)
+
+
+SENT_ALERTS = ORACLE["alerts_send_once"].split("SELECT strftime(event_time")[0].rstrip()
+
+
+@register("alert_sink_messages", f"""{SENT_ALERTS},
+ m AS (SELECT k.review_id, k.product_id, coalesce(p.product_name, '상품명 없음') AS product_name, coalesce(p.brand, '브랜드 없음') AS brand,
+              coalesce(p.price, '가격 정보 없음') AS price, coalesce(p.image_url, '') AS image_url, k.category, k.sentence, k.rating, k.sentiment, k.type,
+              strftime(k.event_time, '%Y-%m-%d') AS review_date, '{K.ALERT_PREFIX}' || k.type AS alert
+       FROM pick k LEFT JOIN products p ON k.product_id = p.product_id WHERE k.rn = 1)
+SELECT *, '{{' || {_json('alert=')} || ',"review":{{' || {_json('review_id=', 'product_id', 'product_name=', 'brand=', 'price=', 'image_url=', 'category=',
+                                                                 'sentence=', 'rating', 'sentiment', 'type=', 'review_date=')} || '}}}}' AS message FROM m""")
 def q_alert_sink_messages(spark, sf):
     fx = fixture(spark, sf)
     src = stage_events(spark, sf)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import html.entities
 
 from pyspark.sql import functions as F
 
@@ -281,13 +282,13 @@ def q_pipeline_day_tables(spark, sf):
 
 def _page_text_sql(x: str) -> str:
     t = f"regexp_replace({x}, '{PAGE.TAG}', ' ', 'g')"
-    for name, char in PAGE.NAMED.items():
-        t = f"replace({t}, '{name}', chr({ord(char)}))"
+    for name in (*PAGE.FREQUENT[1:], PAGE.FREQUENT[0]):        # the given pages' names; &amp; last
+        t = f"replace({t}, '&{name}', chr({ord(html.entities.html5[name])}))"
     return f"regexp_replace(regexp_replace({t}, '[{T.WS}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-# The given pages hold no review blocks and no numeric references: the twin covers the paragraphs of
-# their articles; blocks are held against unit tests.
+# The given pages hold no review blocks and no numeric references: this twin covers the paragraphs of
+# their articles; page_blocks covers blocks.
 @register("page_reviews", f"""
  hs AS (SELECT page_id, regexp_replace(html, '{PAGE.UNSEEN}', ' ', 'g') AS h FROM pages),
  ar AS (SELECT page_id, h, regexp_extract_all(h, '{PAGE.scope_pattern("article")}', 1) AS a FROM hs),
@@ -301,3 +302,33 @@ FROM ix WHERE t[i + 1] <> ''""")
 def q_page_reviews(spark, sf):
     """B9 over the fetched pages: review blocks with their fields."""
     return PAGE.page_reviews(balanced(fixture(spark, sf).pages))
+
+
+# Pages with review blocks in front of the job: documents as reviews, with nested elements of one name, named and
+# numeric references, and a block without fields. The twin reads the documents, not the pages.
+def _piece_sql(k: int) -> str:
+    return f"substr(text, {k} * (length(text) // 3) + 1, {'length(text)' if k == 2 else 'length(text) // 3'})"
+
+
+def _squeezed_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[{T.WS}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@register("page_blocks", f"""
+ d AS (SELECT doc_id, n_chars, {_squeezed_sql(" || ' ' || ".join(_piece_sql(k) for k in range(3)) + " || ' caf' || chr(233) || ' ' || chr(8217) || chr(233)")} AS t FROM documents)
+SELECT doc_id AS page_id, 0 AS block, CAST(doc_id AS VARCHAR) AS review_id, CAST(n_chars % 5 + 1 AS VARCHAR) AS rating,
+       CASE WHEN doc_id % 2 = 0 THEN '3일 전' END AS date_text, t AS review_text, 'FREE' AS size_opt1, n_chars || ' 구매' AS size_opt2 FROM d
+UNION ALL SELECT doc_id, 1, '{K.DEFAULT_REVIEW_ID}', '{K.DEFAULT_RATING}', NULL, '{K.DEFAULT_REVIEW_TEXT}', NULL, NULL FROM d""")
+def q_page_blocks(spark, sf):
+    d = balanced(fixture(spark, sf).table("documents").select("doc_id", "text", "n_chars"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    piece = lambda k: F.replace(F.replace(F.substr(F.col("text"), third * k + 1, F.length("text") if k == 2 else third),
+                                          F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(
+        F.lit('<section><div data-content-id="'), F.col("doc_id").cast("string"), F.lit('"><div><span class="x review-rating">'),
+        (F.col("n_chars") % 5 + 1).cast("string"), F.lit("</span>"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit('<span class="date"> 3일&nbsp;전 </span>')).otherwise(""),
+        F.lit('</div><div class="review-content">'), piece(0), F.lit("<div>"), piece(1), F.lit("<div><DIV></DIV></div></div>"), piece(2),
+        F.lit(' caf&eacute; &rsquo;&#233;<br></div><i>not this</i><span class="option">FREE</span><p class="option">'), F.col("n_chars").cast("string"),
+        F.lit(' 구매</p></div><div data-content-id=""><p>no fields</p></div></section>'))
+    return PAGE.page_reviews(d.select(F.col("doc_id").alias("page_id"), page.alias("html")))

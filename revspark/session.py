@@ -66,7 +66,7 @@ def ship_package(spark: SparkSession) -> None:
     package once per SparkContext into the shared checkpoint folder and register
     it with ``addPyFile`` -- what ``--py-files`` does at submit time."""
     sc = spark.sparkContext
-    key = id(sc)
+    key = sc.applicationId               # never used twice, unlike an object's id
     with _SHIP_LOCK:
         if key in _SHIPPED:
             return

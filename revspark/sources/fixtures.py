@@ -167,7 +167,7 @@ _CACHE_LOCK = threading.Lock()
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     from ..session import ship_package
     ship_package(spark)          # executors' Python workers need the package too
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _CACHE_LOCK:
         if key not in _CACHE:
             _CACHE[key] = Fixture(spark, sf_dir.rstrip("/"))

@@ -111,6 +111,25 @@ def test_page_article_paragraphs(spark):
     assert [r[5] for r in page_rows(spark, html)] == ["One two three.", "A &lt; 0A&#xD800; &#; B", "Two"]
 
 
+def test_page_fields_end_at_their_own_tag(spark):
+    block = '<div data-content-id="r1">{}</div>'
+    text = lambda x: page_rows(spark, block.format(x))[0][5]
+    assert text('<div class="review-content">one<div>two</div> <DIV><div >three</div></Div> four</div> five') == "one two three four"
+    assert text('<div class="review-content">one<divider>two</divider><div/>x</div> y') == "one two x y"        # <div/> opens one
+    assert text('<span class="review-text">a<span class="review-text">b</span>c</span>d') == "a b c"
+    assert text('<img class="review-text" src=x>later') == ""
+    assert text('<p class="review-text">never closed <b>x</b>') == "never closed x"
+    sizes = page_rows(spark, block.format('<b class="option">a<b class="option">b</b></b><i class="option">c</i>'))[0]
+    assert sizes[6:] == ("a b", "b")
+
+
+def test_page_references(spark):
+    block = '<p>{}</p>'
+    text = lambda x: page_rows(spark, block.format(x))[0][5]
+    assert text("caf&eacute; &rsquo; &amp;lt; &hearts;&NotEqualTilde; &copy 2 &copyright &bogus; &; & x &#233;&#x41; &lt") == \
+        "café ’ &lt; ♥≂̸ © 2 &copyright &bogus; &; & x éA <"
+
+
 def test_page_nested_articles(spark):
     nested = "<p>x</p><article><p>a</p><article><p>b</p></article><p>c</p></article><p>foot</p><article><p>d</p></article>"
     assert [r[5] for r in page_rows(spark, nested)] == ["a", "b", "c", "d"]
