@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 
@@ -85,6 +86,13 @@ def bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
+def one_text_each(docs: DataFrame, pick: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, ``names`` of ``pick`` and a text for each of its ids that ``docs`` has: the one of least hash where an id has several, so a sample is
+    as bounded as ``pick``, however often an id repeats."""
+    found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    return found.groupBy("doc_id", *names).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def unused(taken, name: str) -> str:
     """``name``, with underscores before it until no column of ``taken`` (in any case) has it."""
     taken = {c.lower() for c in taken}

@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -30,9 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 from .common import table
+from .kernel import slices
 
-CACHED_WORDS = 400_000        # bound of a worker's word table (besides one slice's words); it is emptied when full
+CACHED_WORDS = 100_000        # bound of a worker's word table (besides one slice's words); it is emptied when full
+CACHED_PAIRS = 500_000        # the same for known pairs of tokens
 SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 22         # bytes of texts handled at once
+LONG_WORD = 100               # symbols from which a word is merged by a heap
 # The file's word pattern, and the same pattern spelled out for text up to U+024F.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _DIGITS, _BLANKS = "a-zA-Z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe", "\\t-\\r \\x85\\xa0"
@@ -111,7 +116,9 @@ class Bpe:
 
     # --- exact merging -----------------------------------------------------------------------
     def merge(self, parts: list[str]) -> list[str]:
-        """Merge the leftmost pair of lowest rank until no rule applies (changes ``parts``)."""
+        """Merge the leftmost pair of lowest rank until no rule applies (may change ``parts``)."""
+        if len(parts) >= LONG_WORD:
+            return self.merge_long(parts)
         rank, none = self.rank.get, self.none
         ranks = [rank(p, none) for p in zip(parts, parts[1:])]
         while ranks:
@@ -127,6 +134,25 @@ class Bpe:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """The same by a heap of (rank, place) over linked symbols: a word of n symbols takes n log n steps."""
+        n, rank, part = len(parts), self.rank.get, list(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank((part[i], part[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if part[i] is None or j >= n or rank((part[i], part[j])) != r:
+                continue                                     # one of the two has been merged since
+            part[i], part[j], after[i] = part[i] + part[j], None, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := rank((part[k], part[after[k]]))) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [p for p in part if p is not None]
+
     def exact(self, word: str) -> list[int]:
         return [self.ids[p] for p in self.merge(self.symbols(word)) if p in self.ids]
 
@@ -154,6 +180,8 @@ class Bpe:
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Verdicts for pairs of ids (left * 2^32 + right), new ones worked out by the rules."""
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         new = np.setdiff1d(pairs, self.pairs)
         if len(new):
             verdict = np.fromiter((self._fits(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in new), bool, len(new))
@@ -214,6 +242,13 @@ class Bpe:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _by_bytes(batches, column: str):
+    """The batches in slices of about ``SLICE_BYTES`` of texts, so that few are held as Python strings."""
+    for b in batches:
+        for a, n in slices(b.column(column), SLICE_BYTES):
+            yield b.slice(a, n)
+
+
 def _slices(texts: list[str]):
     a = n = 0
     for i, t in enumerate(texts):
@@ -242,7 +277,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple = ("do
 
     def run(batches):
         bpe = _bpe(handle.value)
-        for b in batches:
+        for b in _by_bytes(batches, "_text"):
             ids = bpe.encode_batch([t or "" for t in b.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
@@ -278,7 +313,7 @@ def digests(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         bpe = _bpe(handle.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in _by_bytes(batches, "text"):
             ids = bpe.encode_batch([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(sha, ids), pa.string()),

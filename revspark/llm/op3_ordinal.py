@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import table
+from .common import one_text_each, table
 from .features import Adam, Rows, linear, packed, sigmoid
 
 BITS = 18
@@ -73,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     grade = F.col("quality") * (2 - F.coalesce(F.col("toxic"), F.lit(0)))
     pick = (labels.filter("doc_id is not null and quality is not null").select("doc_id", grade.cast("int").alias("grade"))
             .orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(FIT_ROWS))
-    found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "grade", "text")
+    found = one_text_each(docs, pick, ["grade"])
     sample = found.mapInArrow(lambda it: packed(it, BITS, ["doc_id", "grade"]), "doc_id long, grade int, features binary").collect()
     sample.sort(key=lambda r: (r.doc_id, r.features))
     return fit_ordinal(Rows([r.features for r in sample]), np.array([r.grade for r in sample], np.int64), 1 << BITS)

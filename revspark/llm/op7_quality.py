@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import table
+from .common import one_text_each, table
 from .kernel import Words, mix, slices, windows
 
 SYMBOLS = "#*$%&|<>"
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple:
             s = statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(base_failed(s)),
                                               *(pa.array(s[k]) for k in FEATURES)], names=["doc_id", "quality", "failed", *FEATURES])
-    found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "quality", "text")
+    found = one_text_each(docs, pick, ["quality"])
     rows = found.mapInArrow(run, "doc_id long, quality int, failed boolean, " + ", ".join(f"{k} double" for k in FEATURES)).toPandas()
     rows = rows[~rows.failed].sort_values(["doc_id", *FEATURES])
     return fit(rows[list(FEATURES)].to_numpy(float), rows.quality.to_numpy(float), np.array(list(FEATURES.values())))

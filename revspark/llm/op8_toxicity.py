@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import table
+from .common import one_text_each, table
 from .features import Adam, Rows, linear, packed, sigmoid
 
 BITS = 20
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tup
     order = F.xxhash64("doc_id", F.lit(8))
     pick = (ids.filter("toxic = 1").orderBy(order, "doc_id").limit(FIT_TOXIC)
             .union(ids.filter("toxic is null").orderBy(order, "doc_id").limit(FIT_OTHER)))
-    found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", "text")
+    found = one_text_each(docs, pick, ["toxic"])
     sample = found.mapInArrow(lambda it: packed(it, BITS, ["doc_id", "toxic"]), "doc_id long, toxic int, features binary").collect()
     sample.sort(key=lambda r: (r.doc_id, r.features))
     toxic, other = Rows([r.features for r in sample if r.toxic == 1]), Rows([r.features for r in sample if r.toxic is None])

@@ -319,6 +319,97 @@ def test_bpe_equals_library(spark):
     assert {r.decoded for r in decode(coded, model_bytes()).collect()} == {"", "x</w> y</w>"}
 
 
+def test_bpe_long_words():
+    """Merged by a heap, as by the plain rule; a word of 200,000 letters in seconds."""
+    import time
+    pytest.importorskip("public_tokenizers")
+    from revspark.llm import op10_bpe as m
+    b = m.Bpe(m.model_bytes())
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 50, 400, 3000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aaab", "thequickbrown"):
+            word = "".join(rng.choice(list(letters), n))
+            plain = b.symbols(word)
+            while True:                                       # the rule itself: leftmost pair of lowest rank
+                ranks = [b.rank.get(p, b.none) for p in zip(plain, plain[1:])]
+                if not ranks or min(ranks) == b.none:
+                    break
+                i = ranks.index(min(ranks))
+                plain[i:i + 2] = [plain[i] + plain[i + 1]]
+            assert b.merge_long(b.symbols(word)) == plain, (n, letters)
+    t = time.time()
+    b.exact("".join(rng.choice(list("etaoinshrdlu"), 200_000)))
+    assert time.time() - t < 20
+
+
+def test_fit_samples_hold_a_text_an_id(spark, stage):
+    """An id that repeats a thousand times comes once to the fit."""
+    from revspark.llm.common import one_text_each
+    d = spark.createDataFrame([(1, f"text {i % 7}", "x") for i in range(1000)] + [(2, None, "x"), (3, "other", "x")], "doc_id long, text string, grade string")
+    pick = spark.createDataFrame([(1, 0), (2, None), (1, 0)], "doc_id long, quality int")
+    got = one_text_each(d, pick, ["quality"]).collect()
+    assert sorted((r.doc_id, r.quality) for r in got) == [(1, 0), (2, None)] and all(r.text is None or r.text.startswith("text") for r in got)
+
+
+def test_held_out_accuracy(spark):
+    """Labels of sf0.1 that the fit doesn't see: toxic texts found, others left alone; grades in order."""
+    from pyspark.sql import functions as F
+
+    from revspark.llm import op3_ordinal, op8_toxicity
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = op8_toxicity.op8_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert len(toxic) > 100 and sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * (len(rows) - len(toxic))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = op3_ordinal.train(docs, labels.filter(~third))
+    graded = op3_ordinal.grade_texts(docs, model).join(labels.filter(third), "doc_id").collect()
+    pairs = sorted((r.expected_grade, r.quality) for r in graded)
+    rank = np.array([i for i, (_, q) in enumerate(pairs) if q == 1])
+    n1, n0 = len(rank), len(pairs) - len(rank)
+    assert (rank.sum() - n1 * (n1 - 1) / 2) / (n1 * n0) > 0.8         # share of pairs in the right order (measured: 0.845)
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage of the pipeline on its own input, with nulls, repeats and clashing columns, against its plain version."""
+    import corpus_pipeline as c
+    from test_classes import brute_components
+
+    from revspark.llm import op7_quality, op8_toxicity
+    P = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = spark.createDataFrame([(None, None, None, None, None), (90001, "", "en", "s", 0)], base.schema)
+    docs = base.unionByName(extra).unionByName(base.filter("doc_id < 4")).selectExpr("*", "'n' AS node")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = lambda df: Counter(map(tuple, df.select(*docs.columns).collect()))
+    step = dict(c.STAGES)
+
+    one = step["toxicity"](spark, docs, sf)
+    scores = {r.doc_id: r.score for r in op8_toxicity.score(docs, op8_toxicity.train(docs, labels)).collect()}
+    assert rows(one) == Counter({k: n for k, n in rows(docs).items() if scores[k[0]] < 0.7})
+    two = step["quality rules"](spark, one, sf)
+    kept = {r.doc_id for r in op7_quality.judge(one, op7_quality.train(one, labels)).collect() if r.kept}
+    assert rows(two) == Counter({k: n for k, n in rows(one).items() if k[0] in kept}) and 0 < two.count() < docs.count()
+    three = step["n-gram Jaccard join"](spark, two, sf)
+    some = [(r.doc_id, r.text) for r in two.collect()]
+    worded = {k[2] for k in brute_components(some) if k[1]}
+    assert sorted(r.doc_id for r in three.collect()) == sorted(worded)
+    four = step["mixing sources"](spark, three, sf).cache()
+    assert four.columns == docs.columns and set(rows(four)) <= set(rows(three)) and max(rows(four).values()) <= 2
+    five = step["BPE ids"](spark, four, sf).collect()
+    t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    want = Counter((r.doc_id, r.source, tuple(t.encode(r.text or "", add_special_tokens=False).ids)) for r in four.collect())
+    assert Counter((r.doc_id, r.source, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in five) == want
+    for _, f in c.STAGES:                                             # no documents
+        assert f(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
     out = c.run(spark, "/root/testdata/sf0.001")
