@@ -6,9 +6,10 @@ PARTS`` directions. Each vector is list-decoded to all filters whose inner produ
 sums over the first and the second half of the parts are pruned by the best possible other half, so
 the product is never listed. Vectors meet on filters and are verified by cosine in double precision.
 
-``t`` grows with the number of distinct vectors so that unrelated vectors rarely share a filter; the
-threshold is fitted on at most ``FIT_ROWS`` vectors to give ``PER_VECTOR`` filters each on average, and lowered
-for a vector that would have fewer than ``LEAST``. Equal vectors are one node. A filter's members are dealt into blocks;
+``t`` grows with the number of distinct vectors so that unrelated vectors rarely share a filter. The
+threshold is fitted on at most ``FIT_ROWS`` vectors to give ``PER_VECTOR`` filters each on average. One code misses more partners the greater
+``t`` is, so codes are added, each with a rotation of its own, until the measured share of synthetic partners just above the least cosine
+that meet on a filter is ``HIT_RATE``. The threshold is lowered for a vector that would have fewer than ``LEAST`` filters. Equal vectors are one node. A filter's members are dealt into blocks;
 pairs of blocks are tasks, and a pair of vectors is counted only at the least filter they share, so
 links are counted without a list of all pairs.
 
@@ -34,6 +35,9 @@ PER_VECTOR = 16         # filters of a vector above the threshold, on average
 LEAST = 16               # every vector gets so many best filters at least
 SPARE = 16               # filters per vector-filter incidence
 FIT_ROWS = 1000
+HIT_RATE = 0.995         # share of synthetic partners that must meet on a filter
+MOST_CODES = 32          # rotations at which the fit gives up
+SUMS = 1 << 23           # codeword sums held at once
 BLOCK = 512
 SEED = 29
 
@@ -45,15 +49,19 @@ class Caps:
         rng = np.random.default_rng([SEED, dim])
         self.width = -(-dim // PARTS)
         self.dim = dim
-        self.rotation = np.linalg.qr(rng.standard_normal((self.width * PARTS, self.width * PARTS)))[0][:dim]
+        self.rotations = [self._rotation(0)]
         self.t = max(2, math.ceil((SPARE * PER_VECTOR * max(n_vectors, 1)) ** (1 / PARTS)))
         words = rng.standard_normal((PARTS, self.t, self.width))
         self.words = words / np.linalg.norm(words, axis=2, keepdims=True)
         self.threshold = 0.0
 
-    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inner products with all codeword tuples of each half of the parts."""
-        y = (x @ self.rotation).reshape(len(x), PARTS, self.width)
+    def _rotation(self, r: int) -> np.ndarray:
+        side = self.width * PARTS
+        return np.linalg.qr(np.random.default_rng([SEED, self.dim, 2, r]).standard_normal((side, side)))[0][:self.dim]
+
+    def halves(self, x: np.ndarray, r: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products with all codeword tuples of each half of the parts, under rotation ``r``."""
+        y = (x @ self.rotations[r]).reshape(len(x), PARTS, self.width)
         out = []
         for half in (range(PARTS // 2), range(PARTS // 2, PARTS)):
             s = np.zeros((len(x), 1))
@@ -64,41 +72,72 @@ class Caps:
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Sorted ids of the filters that each unit vector exceeds."""
-        first, second = self.halves(x)
-        out = []
-        for a, b in zip(first, second):
-            cut = min(self.threshold, self._nth_best(a, b))
-            i = np.flatnonzero(a >= cut - b.max())
-            j = np.flatnonzero(b >= cut - a.max())
-            p, q = np.nonzero(a[i][:, None] + b[j][None, :] >= cut)
-            out.append(np.sort(i[p] * len(b) + j[q]))
+        out, step, size = [], self.step(), self.t ** PARTS
+        for k in range(0, len(x), step):
+            codes = [[self._above(a, b) + r * size for a, b in zip(*self.halves(x[k:k + step], r))] for r in range(len(self.rotations))]
+            out += [np.concatenate(found) for found in zip(*codes)]
         return out
 
+    def step(self) -> int:
+        """Vectors decoded at once, so that memory doesn't grow with ``t``."""
+        return max(1, SUMS // self.t ** (PARTS // 2))
+
+    def _above(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        cut = min(self.threshold, self._nth_best(a, b))
+        i = np.flatnonzero(a >= cut - b.max())
+        j = np.flatnonzero(b >= cut - a.max())
+        p, q = np.nonzero(a[i][:, None] + b[j][None, :] >= cut)
+        return np.sort(i[p] * len(b) + j[q])
+
     def _nth_best(self, a: np.ndarray, b: np.ndarray) -> float:
         """The ``LEAST``-th greatest sum: it lies among the greatest of each half."""
         k = min(LEAST, len(a), len(b))
         s = (np.partition(a, -k)[-k:, None] + np.partition(b, -k)[None, -k:]).ravel()
         return float(np.partition(s, -k)[-k])
 
-    def fit(self, x: np.ndarray) -> None:
-        """Threshold that gives ``PER_VECTOR`` filters on average over a sample."""
+    def fit(self, x: np.ndarray, cosine: float = THRESHOLD) -> None:
+        """Threshold that gives ``PER_VECTOR`` filters of a code on average over a sample, and codes until partners at ``cosine`` meet."""
+        self._aim(x, PER_VECTOR)
+        rng = np.random.default_rng([SEED, self.dim, 1])
+        y = rng.standard_normal(x.shape)
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        c = min(cosine + 0.0005, 1.0)
+        y = c * x + math.sqrt(1 - c * c) * y
+        missed = np.arange(len(x))
+        while True:
+            r = len(self.rotations) - 1
+            found = [len(np.intersect1d(self._above(a, b), self._above(d, e), assume_unique=True)) > 0 for k in range(0, len(missed), self.step())
+                     for a, b, d, e in zip(*self.halves(x[missed[k:k + self.step()]], r), *self.halves(y[missed[k:k + self.step()]], r))]
+            missed = missed[~np.array(found, bool)]
+            if len(missed) <= (1 - HIT_RATE) * len(x) or len(self.rotations) == MOST_CODES:
+                return
+            self.rotations.append(self._rotation(r + 1))
+
+    def hit_rate(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Share of the pairs (row of x, row of y) that have a filter in common."""
+        hits = sum(len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(self.decode(x), self.decode(y)))
+        return hits / max(len(x), 1)
+
+    def _aim(self, x: np.ndarray, aim: float) -> None:
+        """Threshold that gives ``aim`` filters on average."""
         low, high = 0.0, 2.0
         for _ in range(12):
             self.threshold = (low + high) / 2
-            if self._count(x) > PER_VECTOR * len(x):
+            if self._count(x, aim) > aim * len(x):
                 low = self.threshold
             else:
                 high = self.threshold
         self.threshold = high
 
-    def _count(self, x: np.ndarray) -> int:
+    def _count(self, x: np.ndarray, aim: float) -> int:
         """Number of filters above the threshold; stops once it is well over the aim."""
-        n = 0
-        for k in range(0, len(x), 64):
-            for a, b in zip(*self.halves(x[k:k + 64])):
+        n, step = 0, min(64, self.step())
+        for k in range(0, len(x), step):
+            for a, b in zip(*self.halves(x[k:k + step])):
                 b = np.sort(b[b >= self.threshold - a.max()])
                 n += int((len(b) - np.searchsorted(b, self.threshold - a[a >= self.threshold - b[-1]])).sum()) if len(b) else 0
-            if n > 2 * PER_VECTOR * len(x):
+            if n > 2 * aim * len(x):
                 break
         return n
 
@@ -218,7 +257,7 @@ def cap_links(vectors: DataFrame, stage: Stage, threshold: float = THRESHOLD) ->
     for r in nodes.groupBy("dim").count().collect():             # one row per vector length
         caps[r.dim] = Caps(r.dim, r["count"])
         sample = nodes.filter(F.col("dim") == r.dim).orderBy("node").limit(FIT_ROWS).select("embedding").collect()
-        caps[r.dim].fit(_scaled(np.array([s.embedding for s in sample], float)))
+        caps[r.dim].fit(_scaled(np.array([s.embedding for s in sample], float)), threshold)
     handle = sc.broadcast(caps)
     hits = stage.save(nodes.select("node", "dim", "embedding").mapInArrow(_decode(handle), "filter long, node long, dim int"), "filters")
     live = (hits.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

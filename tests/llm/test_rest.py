@@ -248,6 +248,36 @@ def test_all_pages_against_a_plain_reader():
         assert main_text(page) == want
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_caps_recall_at_any_size(n):
+    """Partners at cosine 0.951 meet on a filter of the codes that ``n`` vectors get; memory doesn't grow with them."""
+    from revspark.llm.op1_caps import PARTS, SUMS, Caps
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    caps = Caps(64, n)
+    caps.fit(unit(rng.standard_normal((600, 64))))
+    x, y = unit(rng.standard_normal((400, 64))), rng.standard_normal((400, 64))
+    y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    assert caps.hit_rate(x, 0.951 * x + np.sqrt(1 - 0.951 ** 2) * y) >= 0.98
+    assert caps.step() * caps.t ** (PARTS // 2) <= SUMS and np.mean([len(f) for f in caps.decode(x)]) < 200
+
+
+def test_caps_find_planted_pairs(spark, stage):
+    """1,000 pairs just above the threshold among 4,000 vectors, against all cosines."""
+    from revspark.llm.op1_caps import cap_links
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((4000, 64)))
+    y = rng.standard_normal((1000, 64))
+    y = unit(y - (y * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
+    c = rng.uniform(0.9505, 0.954, (1000, 1))
+    x[3000:] = c * x[:1000] + np.sqrt(1 - c * c) * y
+    x = x.astype(np.float32).astype(float)
+    want = (unit(x) @ unit(x).T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in cap_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), stage).collect()}
+    assert all(got[i] <= want[i] for i in range(4000)) and sum(got.values()) >= 0.985 * want.sum() > 1900
+
+
 def test_pages_keep_rows(spark):
     from revspark.llm.op4_html import extract
     d = spark.createDataFrame([(1, None, None, 3), (1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, "u", "", 3)],
