@@ -33,8 +33,8 @@ from ..session import ship_package
 from .common import table
 from .kernel import slices
 
-CACHED_WORDS = 100_000        # bound of a worker's word table (besides one slice's words); it is emptied when full
-CACHED_PAIRS = 500_000        # the same for known pairs of tokens
+CACHED_WORDS = 120_000        # bound of a worker's word table (besides one slice's words); when full it becomes the older of two tables
+CACHED_PAIRS = 500_000        # bound of the known pairs of tokens
 SLICE_CHARS = 1 << 20
 SLICE_BYTES = 1 << 22         # bytes of texts handled at once
 LONG_WORD = 100               # symbols from which a word is merged by a heap
@@ -79,6 +79,7 @@ class Bpe:
         self.data, self.library = data, None
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.table: dict[str, bytes] = {}                # word -> ids as bytes
+        self.older: dict[str, bytes] = {}                # the table before it; words found there move up
         self.pairs = np.zeros(0, np.int64)               # known pairs, sorted, and their verdicts
         self.fits = np.zeros(0, bool)
 
@@ -223,8 +224,15 @@ class Bpe:
             split = [self._split(t) for t in texts[a:b]]
             words = set().union(*(x for parts in split for x in parts if isinstance(x, list)))
             if len(self.table) > CACHED_WORDS:
-                self.table.clear()
-            self.learn([w for w in words if w not in self.table])
+                self.table, self.older = {}, self.table
+            unknown = []
+            for w in words:
+                if w not in self.table:
+                    if (known := self.older.get(w)) is not None:
+                        self.table[w] = known
+                    else:
+                        unknown.append(w)
+            self.learn(unknown)
             get = self.table.__getitem__
             for parts in split:
                 out.append(b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in parts))
