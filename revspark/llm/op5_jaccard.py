@@ -454,9 +454,10 @@ def _homes(members: DataFrame, sets: DataFrame, t: tuple) -> DataFrame:
             .sortWithinPartitions("key", "a").mapInArrow(_search_sets(t), "src long, dst long"))
 
 
-def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage, most: int) -> tuple[DataFrame, DataFrame]:
+def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of blocks of every subtree that holds several components; the largest component's
-    blocks come first and meet the others' blocks only. Returns the tasks and the written table that they read."""
+    blocks come first and meet the others' blocks only. Returns the tasks, (key, node) of these subtrees, and the
+    written table that both read."""
     rows = base = stage.save(members.select("key", "node").join(labels, "node", "left")
                              .select("key", "node", F.coalesce("comp", "node").alias("label")), "labels")
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -471,7 +472,7 @@ def _all_tasks(members: DataFrame, labels: DataFrame, stage: Stage, most: int) -
     mine, end = F.col("block"), F.col("upper") + F.col("lower") - 1
     to = F.transform(F.sequence(F.when(is_major, F.col("upper")).otherwise(0), end),
                      lambda o: F.when(o < mine, _pair(o, mine, 1)).otherwise(_pair(mine, o, 0)))
-    return rows.select("key", "node", "label", F.inline(to)), base
+    return rows.select("key", "node", "label", F.inline(to)), rows.select("key", "node"), base
 
 
 def _block_tasks(members: DataFrame) -> DataFrame:
@@ -490,7 +491,7 @@ def _alive(members: DataFrame, sigs: DataFrame, t: tuple, stage: Stage) -> DataF
                 .repartition(*order).sortWithinPartitions(*order).mapInArrow(_search_alive(t), "node long").distinct())
     near = stage.save(search(_block_tasks(members)), "alive")
     # what is alive already needs no partner: one label for all of it
-    tasks, base = _all_tasks(members, near.withColumn("comp", F.lit(0).cast("long")), stage, BLOCK)
+    tasks, _, base = _all_tasks(members, near.withColumn("comp", F.lit(0).cast("long")), stage, BLOCK)
     out = stage.save(near.union(search(tasks)).distinct(), "alive")
     stage.drop(base)
     return out
@@ -509,8 +510,9 @@ def _verify(t: tuple):
 def _apart(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, t: tuple, stage: Stage) -> DataFrame:
     """Links between sets of different components that share a subtree: as many as connect them."""
     order = ["key", "a", "b"]
-    tasks, base = _all_tasks(members, labels, stage, BLOCK)
-    keys = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))      # at most a prefix's length
+    tasks, live, base = _all_tasks(members, labels, stage, BLOCK)
+    # two sets of different labels share live subtrees only; a list is at most as long as a prefix
+    keys = live.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     found = (tasks.join(sigs.join(keys, "node"), "node").select(*order, "side", "node", "label", "size", "excess", "bits", "keys")
              .repartition(*order).sortWithinPartitions(*order)
              .mapInArrow(_search_apart(t), "src long, dst long, key long, a int, b int"))
@@ -558,6 +560,8 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     stage.drop(subtrees)
     sigs = stage.save(nodes.join(every.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.any_value("n_shingles").alias("size"), F.any_value("excess").alias("excess"), F.any_value("bits").alias("bits")), "signatures")
+    nodes = stage.save(nodes.drop("bits", "excess"), "nodes")
+    stage.drop(both)
     alive = _alive(every, sigs, threshold, stage)
     members = stage.save(every.join(alive, "node", "left_semi").select("key", "node"), "members")
     stage.drop(every)
@@ -573,10 +577,10 @@ def jaccard_components(docs: DataFrame, stage: Stage, width: int = WIDTH, thresh
     stage.drop(members)
     stage.drop(sigs)
     stage.drop(sets)
-    comp = (nodes.drop("bits").join(components(found.union(more), stage), "node", "left")
+    comp = (nodes.join(components(found.union(more), stage), "node", "left")
             .withColumn("comp", F.coalesce("comp", "node")))
     comp = stage.save(comp, "labelled")
-    stage.drop(both)
+    stage.drop(nodes)
     least = comp.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (comp.join(least, "comp", "left")
             .select("doc_id", "text_hash", "n_shingles", "node", "comp",
