@@ -3,8 +3,9 @@
 Every capture is written as three records: the request, the response (or a revisit of an equal
 payload) and a metadata record; request and metadata name the response in
 ``WARC-Concurrent-To``. Archives are written by Spark's text writer with the record terminator as
-line separator (gzip), so the commit protocol covers lost tasks, and read back as whole files of at most
-``RECORDS_PER_FILE`` records, cut by ``Content-Length`` alone: payloads may hold anything. The
+line separator (gzip), so the commit protocol covers lost tasks. Files hold ``RECORDS_PER_FILE`` records of payloads up to ``LARGE`` bytes; larger payloads go to files of their own
+folder, as many to a file as fit ``FILE_BYTES`` at the largest (one capture at least), so no file outgrows that or one capture by far. They are
+read back a file a row, decompressed as a stream, and cut by ``Content-Length`` alone: payloads may hold anything. The
 three kinds are then joined through their concurrent-to identifiers into one nested row.
 
 Cases: a null html is an empty payload, a null url an empty target; equal payloads of at least
@@ -14,8 +15,9 @@ apart: a record id holds the page_id and a number among the rows of that id.
 """
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import Stage, table
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 3000
+RECORDS_PER_FILE = 1500
+LARGE = 1 << 18
+FILE_BYTES = 1 << 27
 END = "\r\n\r\n"
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 FIELDS = ("type string, record_id string, concurrent_to string, refers_to string, uri string, date string, "
@@ -85,9 +89,14 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.lit("metadata"), [("WARC-Record-ID", _urn(pid, "metadata", F.col("no"))), ("WARC-Concurrent-To", main), *common,
                             ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), F.coalesce(pid.cast("string"), F.lit("null")), F.lit("\r\n")))
-    (captures.select(F.explode(F.array(request, response, metadata)).alias("value"))
-     .write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
-     .option("compression", "gzip").text(path))
+    def write(some: DataFrame, folder: str, per_file: int) -> None:
+        (some.select(F.explode(F.array(request, response, metadata)).alias("value"))
+         .write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder))
+    large = F.when(F.col("first").isNull(), F.col("n_bytes")).otherwise(0) > LARGE
+    most = captures.filter(large).agg(F.max("n_bytes")).first()[0]
+    write(captures.filter(~large) if most else captures, f"{path}/files", RECORDS_PER_FILE)
+    if most:
+        write(captures.filter(large), f"{path}/large", 3 * max(1, FILE_BYTES // most))
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -98,27 +107,31 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def records(data: bytes):
-    """(header fields, content) of each record, found by Content-Length."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        fields = _fields(data[at:stop])
-        a = stop + 4
-        b = a + int(fields["content-length"])
-        if b > end or data[b:b + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} isn't closed after its Content-Length")
-        yield fields, data[a:b]
-        at = b + 4
+def records(stream):
+    """(header fields, content) of each record of an uncompressed stream, found by Content-Length; one is held at a time."""
+    while line := stream.readline():
+        head = [line]
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        fields = _fields(b"".join(head))
+        n = int(fields["content-length"])
+        content = stream.read(n)
+        if len(content) < n or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {fields.get('warc-record-id')} isn't closed after its Content-Length")
+        yield fields, content
+
+
+def _opened(file: pa.Buffer):
+    raw = pa.BufferReader(file)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if file[:2].to_pybytes() == b"\x1f\x8b" else io.BytesIO(file)
 
 
 def _parser(schema: pa.Schema, with_payload: bool):
     def run(batches):
         for batch in batches:
             for file in batch.column("content"):
-                rows = []
-                data = file.as_buffer()
-                for f, content in records(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data.to_pybytes()):
+                rows, held = [], 0
+                for f, content in records(_opened(file.as_buffer())):
                     kind, payload = f["warc-type"], None
                     if kind == "response":
                         payload = content[content.index(b"\r\n\r\n") + 4:]
@@ -132,9 +145,10 @@ def _parser(schema: pa.Schema, with_payload: bool):
                                  f.get("warc-target-uri"), f.get("warc-date"), digest, n,
                                  payload.decode() if with_payload and payload is not None else None,
                                  content.decode() if kind in ("request", "metadata") else None))
-                    if len(rows) >= 500:
+                    held += len(payload) if with_payload and payload is not None else 0
+                    if len(rows) >= 500 or held >= 1 << 25:
                         yield _batch(rows, schema)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows, schema)
     return run
@@ -149,7 +163,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     text = ["type", "record_id", "concurrent_to", "refers_to", "uri", "date", "payload_digest"]
     schema = pa.schema([*[(n, pa.string()) for n in text], ("payload_bytes", pa.int64()), ("payload", pa.string()),
                         ("content", pa.string())])
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_parser(schema, with_payload), FIELDS)
 
 

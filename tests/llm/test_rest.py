@@ -1,8 +1,10 @@
 """Mixing, embeddings, pages, conversations, archives and BPE: small cases and brute force."""
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -327,6 +329,23 @@ def test_warc_round_trip(spark, stage):
     assert {x.type for k in "3457" for x in by[k]} == {"response"} and len(by["7"]) == 2
 
 
+def test_warc_of_large_payloads(spark, stage, monkeypatch):
+    """Payloads above ``LARGE`` go to files of a few captures; both kinds come back whole, as streams."""
+    import revspark.llm.op9_warc as m
+    monkeypatch.setattr(m, "LARGE", 2000)
+    monkeypatch.setattr(m, "FILE_BYTES", 12_000)
+    rng, same = np.random.default_rng(2), "x" * 3000
+    rows = [(i, f"http://{i}", "".join(rng.choice(list("ab\r\n<é"), int(rng.integers(0, 5000))))) for i in range(60)]
+    rows += [(99, "http://99", same), (98, "u", same)]
+    path = stage.path("warc-large")
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    m.write_warc(m.plan_captures(d, stage), path)
+    got = {r.response.record_id.split(":")[2]: r.response for r in m.assemble(m.read_warc(spark, path)).collect()}
+    assert len(got) == 62 and all(got[str(i)].payload == h for i, _, h in rows if i != 98) and got["98"].type == "revisit"
+    files = [len(list(m.records(m._opened(pa.py_buffer(f.read_bytes()))))) for f in Path(path, "large").glob("part-*")]
+    assert len(files) > 5 and max(files) <= 3 * (12_000 // 2000)
+
+
 def test_bpe_equals_library(spark):
     P = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
