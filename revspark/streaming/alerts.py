@@ -119,7 +119,7 @@ def send_once(alerts: DataFrame, expiry_seconds: int = K.ALERT_EXPIRY_SECONDS, b
     only once ``expiry_seconds`` have passed since the last send (event time).
 
     A state entry per key in RocksDB, grouped into ``buckets`` so that one vectorised call serves many keys (a call per
-    key takes 8 times as long). Size ``buckets`` to a few times the executor cores. For the form in which all keys expire
+    key took six times as long). Size ``buckets`` to a few times the executor cores. For the form in which all keys expire
     together see ``whole_set_sink``."""
     spark = alerts.sparkSession
     ship_package(spark)
