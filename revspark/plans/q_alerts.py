@@ -114,7 +114,7 @@ def _stage_in_order(spark, sf, arrival, days: int) -> str:
     ev = _events(spark, sf).select(*[f.name for f in S.EVENT_SCHEMA.fields]).withColumn("event_time", F.col("event_time").cast("timestamp"))
     ev = ev.withColumn("slice", F.floor(arrival / (days * 86400)))
     for r in ev.select("slice").distinct().orderBy("slice").collect():
-        ev.where(F.col("slice") == r.slice).drop("slice").coalesce(1).write.mode("append").parquet(path)
+        ev.where(F.col("slice") == r.slice).drop("slice").repartition(1).write.mode("append").parquet(path)
     return path
 
 

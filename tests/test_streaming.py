@@ -174,3 +174,50 @@ def test_whole_set_expiry_in_one_and_many_batches(spark, tmp_path):
         if b == 2:
             sink(frame(rows[a:a + 30]), b)                        # a replayed batch
     assert sorted(r.event_id for r in spark.read.parquet(f"{many}/out").collect()) == want
+
+
+def test_send_once_calls_the_state_store_per_slot():
+    """3,000 keys of a bucket cost a read and a write per slot, and a later batch still finds their last sends."""
+    import pandas as pd
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, k):
+            Map.calls += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            Map.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            self.pop(k, None)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        timers: list = []
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return Handle.timers[0]
+
+    def batch(minute):
+        return pd.DataFrame([(T0 + dt.timedelta(minutes=minute), i, f"u{i}", 7, "error", "s", 0, 5.0, "type", f"k{i}", i % 256, 0) for i in range(3000)])
+    p = S.SendOnce(3_600_000_000)
+    p.handle, p.sent = Handle(), Map()
+    assert sum(map(len, p.handleInputRows((0,), iter([batch(0)]), Times()))) == 3000
+    assert Map.calls <= 2 * 256
+    assert sum(map(len, p.handleInputRows((0,), iter([batch(59)]), Times()))) == 0
+    list(p.handleExpiredTimer((0,), Times(), Expired()))
+    assert not p.sent
+    assert sum(map(len, p.handleInputRows((0,), iter([batch(60)]), Times()))) == 3000
