@@ -223,3 +223,21 @@ def test_empty_day_resets_its_partition(spark, tmp_path):
     io.write_day_partitions(df, str(tmp_path))
     io.write_day_partitions(df.limit(0), str(tmp_path), day="2025-03-17")
     assert not io.day_exists(spark, str(tmp_path), "2025-03-17") and io.day_exists(spark, str(tmp_path), "2025-03-18")
+
+
+def test_balanced_counts_rows_not_splits(spark, tmp_path):
+    """One row group in a file that is cut into many splits is read by one task: its rows are dealt out, evenly."""
+    import os
+    path, cores = str(tmp_path / "one"), spark.sparkContext.defaultParallelism
+    spark.range(20000).selectExpr("id", "repeat(md5(cast(id as string)), 4) as text").coalesce(1).write.parquet(path)
+    size = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size // (2 * cores))
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= 2 * cores
+        even = io.balanced(df)
+        per = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per) == 20000 and max(per) * cores <= 2 * 20000
+        assert even.columns == ["id", "text"] and even.agg(F.sum("id")).first()[0] == 20000 * 19999 // 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
