@@ -18,16 +18,19 @@ from pyspark.sql.window import Window
 from ..functions import constants as K
 from ..functions.columns import round_half_even, topic_list
 from ..functions.sizes import normalise_size
+from ..sources import io
 
 PRODUCT_COLS = ("product_name", "brand", "category", "gender", "price", "image_url")
 
 
-def size_stats(analysis: DataFrame, reviews: DataFrame, size_topic: str = K.SIZE_TOPIC) -> DataFrame:
+def size_stats(analysis: DataFrame, reviews: DataFrame, size_topic: str = K.SIZE_TOPIC, pieces: int | None = None) -> DataFrame:
     """Per (product_id, raw review_size): analysed rows on the size topic, mean
-    rating, class counts and the negative share in percent."""
+    rating, class counts and the negative share in percent. ``pieces``: into how many the join
+    deals both sides (``io.pieces`` of the reviews)."""
     a = (analysis.where(F.array_contains(topic_list("category"), size_topic))
          .select("review_id", "product_id", "sentiment", "rating"))
-    j = a.join(reviews.select("review_id", "review_size"), "review_id")
+    r = reviews.select("review_id", "review_size")
+    j = io.dealt(a, pieces, "review_id").join(io.dealt(r, pieces, "review_id"), "review_id")
     g = j.groupBy("product_id", "review_size").agg(
         F.count(F.lit(1)).alias("total_reviews"), F.avg("rating").alias("avg_rating"),
         F.count_if(F.col("sentiment") == 2).alias("positive_count"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from ..functions.sizes import normalise_size
 from ..operators import sizes as Z
 from ..sources import fixture
-from ..sources.io import stage
+from ..sources.io import pieces, stage
 from .params import rounded
 from .registry import register
 
@@ -44,7 +44,7 @@ DETAIL = f"""{STATS},
 
 def _stats(spark, sf):
     fx = fixture(spark, sf)
-    return Z.size_stats(fx.review_analysis, fx.reviews)
+    return Z.size_stats(fx.review_analysis, fx.reviews, pieces=pieces(spark, fx.reviews.count()))
 
 
 def _detail(spark, sf):
