@@ -85,4 +85,4 @@ class KnownIds:
             maybe = marked.where("_maybe")
             known = self.store.read("ids", parts).select(F.col(self.key).alias("_known"))
             fresh = fresh.unionByName(maybe.join(known, F.col(self.key).eqNullSafe(F.col("_known")), "left_anti"))
-        return dedup_keep_first(fresh.select(*batch.columns), order, [self.key])
+        return dedup_keep_first(fresh.select(*batch.columns), order, [self.key], counted=marked)
