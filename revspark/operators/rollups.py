@@ -58,7 +58,10 @@ def apply_changes(commit: Commit, added: DataFrame | None, removed: DataFrame |
     touched = sorted(r[0] for r in delta.select(_part(F.col(DAY), grain).alias("d")).distinct().collect())     # months or days of the batch
     old = commit.read(table, touched)
     if touched or old is None:
-        commit.put(table, delta if old is None else merged(old, delta), _part(F.col(DAY), grain), touched)
+        rows = delta.count() + (0 if old is None else old.count())                            # from the files' footers
+        spread = max(1, -(-rows // (io.PIECE_ROWS * max(1, len(touched)))))
+        commit.put(table, delta if old is None else merged(old, delta), _part(F.col(DAY), grain), touched,
+                   spread, io.pieces(delta.sparkSession, rows))
     return touched
 
 

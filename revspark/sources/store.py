@@ -115,13 +115,17 @@ class Commit:
         """The table as this commit has it so far."""
         return self.store.read(table, parts, {"tables": self.tables})
 
-    def put(self, table: str, df: DataFrame, part: Column, replaces: Sequence[str] = (), spread: int = 1) -> None:
+    def put(self, table: str, df: DataFrame, part: Column, replaces: Sequence[str] = (), spread: int = 1,
+            pieces: int | None = None) -> None:
         """Write ``df``'s parts under the new version. Parts named in ``replaces`` go if ``df`` has no row for
-        them; all others stay as they are. ``spread`` tasks write each part (for parts that may be large)."""
+        them; all others stay as they are. ``spread`` tasks write each part (for parts that may be large);
+        ``pieces`` is into how many the rows are dealt (``io.pieces``)."""
         path = f"{self.store.root}/data/{table}/v={self.version}"
         schema = df.schema
         deal = [PART] if spread == 1 else [PART, F.pmod(F.xxhash64(*df.columns), F.lit(spread))]
-        df.withColumn(PART, part).repartition(*deal).write.mode("overwrite").option("partitionOverwriteMode", "static") \
+        rows = df.withColumn(PART, part)
+        rows = rows.repartition(*deal) if pieces is None else io.dealt(rows, pieces, *deal)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static") \
             .partitionBy(PART).parquet(path)
         written = [n[len(PART) + 1:] for n in io.folder_names(self.store.spark, path) if n.startswith(PART)]
         entry = self.tables.setdefault(table, {"schema": schema.jsonValue(), "parts": {}})
