@@ -26,12 +26,20 @@ from pyspark.sql.types import StructType
 from . import io
 
 PART = "_part"
+SLOTS = 256                         # of a bucket, counted to deal its rows
 
 
 def bucket_of(key, buckets: int) -> Column:
     """Name of the part that holds a key (string keys and numbers alike; null keys in one part)."""
-    name = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("string")
-    return F.lpad(name, len(str(buckets - 1)), "0")
+    return _bucket_name(_hashed(key, buckets), buckets)
+
+
+def _hashed(key, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n))
+
+
+def _bucket_name(bucket: Column, buckets: int) -> Column:
+    return F.lpad(bucket.cast("string"), len(str(buckets - 1)), "0")
 
 
 class Store:
@@ -120,11 +128,14 @@ class Commit:
         """Write ``df``'s parts under the new version. Parts named in ``replaces`` go if ``df`` has no row for
         them; all others stay as they are. ``spread`` tasks write each part (for parts that may be large);
         ``pieces`` is into how many the rows are dealt (``io.pieces``)."""
-        path = f"{self.store.root}/data/{table}/v={self.version}"
-        schema = df.schema
         deal = [PART] if spread == 1 else [PART, F.pmod(F.xxhash64(*df.columns), F.lit(spread))]
         rows = df.withColumn(PART, part)
-        rows = rows.repartition(*deal) if pieces is None else io.dealt(rows, pieces, *deal)
+        self._write(table, rows.repartition(*deal) if pieces is None else io.dealt(rows, pieces, *deal), replaces)
+
+    def _write(self, table: str, rows: DataFrame, replaces: Sequence[str]) -> None:
+        """``put`` of rows with their part, as they lie."""
+        path = f"{self.store.root}/data/{table}/v={self.version}"
+        schema = rows.drop(PART).schema
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static") \
             .partitionBy(PART).parquet(path)
         written = [n[len(PART) + 1:] for n in io.folder_names(self.store.spark, path) if n.startswith(PART)]
@@ -144,6 +155,33 @@ class Commit:
             self.put(table, merge(old, batch), of, touched)
         return touched
 
+    def reduce(self, table: str, batch: DataFrame, key: str, buckets: int, reduce) -> list[str]:
+        """``merge`` for a reduction by key: ``reduce(rows, keys)`` gives the rows that stay of old and new ones together, by an
+        aggregate over ``keys`` (the key and columns that follow from it). Rows are sent once, into pieces of the buckets that a
+        task sorts in its memory, and are reduced and written there; only those of a slot that very many rows of
+        the batch share (a key of a third of them) are reduced within their tasks first."""
+        slot = _hashed(key, buckets * SLOTS)                    # its remainder is the bucket
+        sizes = dict(batch.groupBy(slot.alias("s")).count().collect())                       # a row per slot
+        width = len(str(buckets - 1))
+        touched = sorted({f"{s % buckets:0{width}d}" for s in sizes})
+        old = self.read(table, touched)
+        if not touched and old is not None:
+            return touched
+        rows, n = batch, sum(sizes.values())
+        if old is not None:
+            rows, n = old.unionByName(batch, allowMissingColumns=True), n + old.count()      # from file footers
+        spread = min(SLOTS, max(1, -(-n // (max(1, len(touched)) * io.PIECE_ROWS))))
+        crowded = sorted(s for s, k in sizes.items() if k > 2 * n / (buckets * SLOTS) + io.PIECE_ROWS)
+        piece = (F.col("_slot") % buckets * spread + F.floor(F.col("_slot") / buckets) % spread).cast("int")
+        placed = rows.withColumn("_slot", slot).withColumn(PART, _bucket_name(F.col("_slot") % buckets, buckets)).withColumn("_piece", piece)
+        even = placed.where(~F.col("_slot").isin(crowded)) if crowded else placed
+        keys = [PART, "_piece", key]
+        out = reduce(even.drop("_slot").repartitionById(buckets * spread, F.col("_piece")), keys)
+        if crowded:
+            out = out.unionByName(reduce(placed.where(F.col("_slot").isin(crowded)).drop("_slot"), keys))
+        self._write(table, out.drop("_piece"), touched)
+        return touched
+
     def publish(self, result: dict | None = None) -> None:
         """The one step that makes everything visible: a rename of the manifest."""
         store = self.store

@@ -241,3 +241,20 @@ def test_balanced_counts_rows_not_splits(spark, tmp_path):
         assert even.columns == ["id", "text"] and even.agg(F.sum("id")).first()[0] == 20000 * 19999 // 2
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_landing_rows_convert_each_date_once(spark):
+    """The filter on the converted date stays above the conversion, also where the date text is an expression."""
+    import __spark_entry__ as E
+    for q in ("field_defaults", "cutoff_filter"):
+        plan = E.queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("gettimestamp") == 1, q
+
+
+def test_crawls_are_read_from_landed_rows(spark, monkeypatch):
+    """landing_accumulate makes its landing rows once, not twice per crawl."""
+    import __spark_entry__ as E
+    seen, step = [], io.accumulate_day
+    monkeypatch.setattr(io, "accumulate_day", lambda c, new, *a, **k: (seen.extend(new.inputFiles()), step(c, new, *a, **k))[1])
+    E.queries()["landing_accumulate"](spark, "/root/testdata/sf0.001")
+    assert seen and not [f for f in seen if "lineitem" in f]

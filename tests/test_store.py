@@ -175,3 +175,30 @@ def test_stream_into_the_store(spark):
     m = [r.inserted for r in spark.read.parquet(f"{base}/metrics").orderBy("batch_id").collect()]
     sink(_landing(spark, DAY1), 0)                                # a replay of the first batch
     assert sum(m) == 4 and [r.inserted for r in spark.read.parquet(f"{base}/metrics").orderBy("batch_id").collect()] == m
+
+
+def test_reduce_sends_rows_once_and_keeps_each_last_row(spark, tmp_path, monkeypatch):
+    """Pieces of buckets, a key of a third of all rows, null keys: as the whole-table form, by one shuffle where no key is that frequent."""
+    from revspark.sources.store import Commit
+    monkeypatch.setattr(io, "PIECE_ROWS", 20)
+    plans, write = [], Commit._write
+
+    def written(self, table, rows, replaces):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(self, table, rows, replaces)
+    monkeypatch.setattr(Commit, "_write", written)
+    key = lambda hot: F.when(F.col("id") % 3 == 0, F.lit("hot") if hot else F.col("id").cast("string")) \
+        .when(F.col("id") % 41 != 1, (F.col("id") % 700).cast("string"))
+    crawl = lambda a, hot: spark.range(a, a + 900).select(key(hot).alias("review_id"), F.col("id").alias("v"), (F.col("id") * 7919 % 3001).alias("ord"))
+    crawls = [crawl(0, False), crawl(500, True), crawl(300, False)]
+    store, plain = Store(spark, f"{tmp_path}/store"), None
+    for i, rows in enumerate(crawls):
+        c = store.begin(f"c{i}")
+        touched = io.accumulate_day(c, rows, "day", "ord", buckets=4)
+        c.publish()
+        plain = io.accumulate(plain, rows, "ord")
+        assert touched == ["0", "1", "2", "3"] and store.read("day").columns == ["review_id", "v", "ord"]
+        assert sorted(map(str, store.read("day").collect())) == sorted(map(str, plain.collect()))
+        parts = {p: {r[0] for r in store.read("day", [p]).select(bucket_of("review_id", 4)).collect()} for p in touched}
+        assert parts == {p: {p} for p in touched}
+    assert [p.count("Exchange") for p in plans] == [1, 2, 1] and all(len(f) > 2 for f in _files(store, "day").values())

@@ -223,3 +223,15 @@ def test_centroid_logits_read_whole_vectors(spark):
     model = L.class_centroids(df, "v", F.col("c"), 3)
     assert model == [[1.0, 0.0, 0.0], [0.0, 0.0, 2.0], [0.0, 0.0, 0.0]]
     assert [r.l for r in df.select(L.centroid_logits("v", model).alias("l")).collect()] == [[1.0, 0.0, 0.0], [0.0, 2.0, 0.0], [0.0, 6.0, 0.0]]
+
+
+def test_dates_and_options_as_their_plain_forms(spark):
+    """The pattern in front of the date's parse leaves out no text that it takes; trimming equals the regex over all white space."""
+    part = ["", "0", "1", "01", "001", "9", "12", "012", "13", "1a", " 1", "-1", "+1", "28", "29", "30", "31", "031", "32", "٣"]
+    texts = [f"{y}.{m}.{d}" for y in ("24", "25", "2", "025", " 24") for m in part for d in part] + ["24.3", "24.3.1.", "24.3.1\n", "24.3.1 10:00", "."]
+    df = one_col(spark, texts).select(relative_date("x", "2025-03-17").alias("d"), F.try_to_date(F.concat(F.lit("20"), "x"), "yyyy.M.d").alias("p"))
+    assert df.where("NOT d <=> p").count() == 0 and df.where("d IS NOT NULL").count() > 50
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    cases = [None, "", "a"] + [s + "a" + s + "b" + s + " " + s for s in spaces] + spaces + ["​a​", "﻿a"]
+    got = one_col(spark, cases).select("x", T.strip_ws("x").alias("s")).collect()
+    assert {r.x: r.s for r in got} == {c: c if c is None else c.strip() for c in cases}
